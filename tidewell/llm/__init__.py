@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("token_counts",)
+_MODULES = ("token_counts", "packing", "quality_rules")
 
 
 def _gather(name: str) -> dict:
