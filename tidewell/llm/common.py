@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import contextlib
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of every word and line rule here: \x20 and \x09-\x0D, which is what bytes.split() splits at.
@@ -38,20 +40,47 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, which driver and executors share; a temporary folder only where that is unset (tests, one machine)."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/tidewell-checkpoints"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """`df`, written once to the folder that the cluster shares, so that a lost executor costs no second computation.
+    """`df`, written once to the shared folder and read from there: later jobs start from it, whichever executor is lost."""
+    path = f"{shared_folder(df.sparkSession)}/tidewell/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append((df.sparkSession, path))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one is set.
-    """
+def checkpointed(df: DataFrame) -> DataFrame:
+    """As durable(), but partitions stay as they are, in number, order and rows: for streams over sorted partitions."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "tidewell-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def uid(*columns: str) -> Column:
-    """A null-safe row identity that joins use in place of a nullable or repeated id: equal rows share it, and fate."""
-    return F.struct(*[F.xxhash64(F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in columns]).alias(f"h{seed}") for seed in (1, 2)])
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def clean() -> None:
+    """Delete the durable tables made so far; their frames must not be used afterwards. Runs when the driver ends."""
+    while _written:
+        spark, path = _written.pop()
+        with contextlib.suppress(Exception):  # the session may have ended before
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+ROW_KEY = ["_h1", "_h2"]
+
+
+def with_row_key(df: DataFrame, *columns: str) -> DataFrame:
+    """Adds ROW_KEY, a never-null 128-bit identity for joins in place of a nullable or repeated id; equal rows share it."""
+    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return df.withColumns({name: F.xxhash64(F.lit(name), *parts) for name in ROW_KEY})
 
 
 class WordHash(dict):
