@@ -35,6 +35,10 @@ def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict[str, object
     return df.mapInArrow(run, schema)
 
 
+def schema_of(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """Whole texts of a batch, null as the empty text."""
     return [t or "" for t in batch.column(name).to_pylist()]

@@ -103,7 +103,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
         kept = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
         return kept | {"lang_pred": pa.array([x for x, _ in found], pa.string()), "score": pa.array([s for _, s in found], pa.float64())}
 
-    return common.map_batches(docs, rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double")
+    return common.map_batches(docs, rows, common.schema_of(docs) + ", lang_pred string, score double")
 
 
 def rejected(min_score: float = 0.6) -> Column:

@@ -151,13 +151,14 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """`docs` with its columns as they were and the dropped lines gone from text; null stays null."""
-    marked = with_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs))
+    marked, names = with_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs)), docs.columns
 
     def rows(batch: pa.RecordBatch) -> dict:
         pairs = zip(batch.column("text").to_pylist(), batch.column("bitmap").to_pylist())
-        return {f.name: batch.column(f.name) for f in docs.schema if f.name != "text"} | {"text": pa.array([t if t is None else kept_text(t, b) for t, b in pairs], pa.string())}
+        kept = pa.array([t if t is None else kept_text(t, b) for t, b in pairs], pa.string())
+        return {name: kept if name == "text" else batch.column(name) for name in names}
 
-    return common.map_batches(marked, lambda b: {n: rows(b)[n] for n in docs.columns}, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return common.map_batches(marked, rows, common.schema_of(docs))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
