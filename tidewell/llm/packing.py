@@ -21,31 +21,57 @@ from pyspark.sql import functions as F
 from . import common
 
 SCHEMA = "doc_id {}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-CHUNK = re.compile(r"[^ \n]+")
+LETTERS_SIGN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([.,]?)")  # without U+0130, whose lower case ends in a mark
 
 
-class ChunkIds(dict):
-    """Text between spaces -> its ids as little-endian 32-bit bytes. The tokenizer drops white space before it splits, so nothing crosses a space."""
+class Recent(dict):
+    """A bounded memory: what was used in the last two rounds of `limit` new keys stays. `make` gives the value of a new key."""
 
-    def __init__(self, path: str, limit: int):
-        from tokenizers import Tokenizer
+    def __init__(self, limit: int, make):
+        self.limit, self.make, self.old = limit, make, {}
 
-        self.model, self.limit = Tokenizer.from_file(path), limit
-
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, key: str) -> bytes:
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[chunk] = np.array(self.model.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        value = self.old.get(key)
+        self[key] = value = self.make(key) if value is None else value
         return value
 
 
+class ChunkIds:
+    """Text between spaces -> its ids as little-endian 32-bit bytes. The tokenizer drops white space before it splits, so nothing crosses a space.
+
+    It also splits letters from the sign after them, and lower-cases; so `Word,` and `word` share the letters' ids.
+    """
+
+    def __init__(self, path: str, limit: int):
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path)
+        self.letters, self.chunks = Recent(limit, self.encode), Recent(limit, self.parts)
+        self.chunks[""] = b""
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def parts(self, chunk: str) -> bytes:
+        if not (split := LETTERS_SIGN.fullmatch(chunk)):
+            return self.encode(chunk) if chunk else b""
+        letters, sign = split.groups()
+        return self.letters[letters.lower() if letters.isascii() else letters] + (self.letters[sign] if sign else b"")
+
+    def __call__(self, text: str) -> bytes:
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+
+
 _ids: dict[tuple, ChunkIds] = {}
 
 
-def document_ids(text: str, path: str, end_id: int, limit: int = 200_000) -> bytes:
+def document_ids(text: str, path: str, end_id: int, limit: int = 350_000) -> bytes:
     if (path, limit) not in _ids:
         _ids[path, limit] = ChunkIds(path, limit)
-    return b"".join(map(_ids[path, limit].__getitem__, CHUNK.findall(text))) + np.array([end_id], "<u4").tobytes()
+    return _ids[path, limit](text) + np.array([end_id], "<u4").tobytes()
 
 
 def deal(rests: list[int], seq_len: int, linear: float, quadratic: float) -> tuple[list[tuple[int, int, int, int, int]], int]:
