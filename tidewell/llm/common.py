@@ -87,6 +87,13 @@ def with_row_key(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({name: F.xxhash64(F.lit(name), *parts) for name in ROW_KEY})
 
 
+def keyed_rows(df: DataFrame, *columns: str) -> DataFrame:
+    """ROW_KEY beside whole rows in one struct `row`, so that no column of `df` meets a name of ours; select("row.*") gives them back."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    parts = [x for c in columns for x in (F.col(f"row.`{c}`").isNull(), F.col(f"row.`{c}`"))]
+    return rows.withColumns({name: F.xxhash64(F.lit(name), *parts) for name in ROW_KEY})
+
+
 class WordHash(dict):
     """bytes -> 64-bit hash as numpy's int64, remembered for the words seen of late."""
 

@@ -86,9 +86,9 @@ def contained(docs: DataFrame, items: DataFrame, size: int = 5, threshold: float
 
 def clean(docs: DataFrame, items: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """`docs` without the documents that contain an item; its columns as they were. Rows without an id are judged by their text alone."""
-    keyed = common.with_row_key(docs, "text")
-    gone = contained(keyed.select(F.struct(*common.ROW_KEY).alias("doc_id"), "text"), items, size, threshold).select("doc_id._h1", "doc_id._h2").distinct()
-    return keyed.join(gone, common.ROW_KEY, "left_anti").select(*docs.columns)
+    keyed = common.keyed_rows(docs, "text")
+    gone = contained(keyed.select(F.struct(*common.ROW_KEY).alias("doc_id"), "row.text"), items, size, threshold).select("doc_id._h1", "doc_id._h2").distinct()
+    return keyed.join(gone, common.ROW_KEY, "left_anti").select("row.*")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,11 @@ odds of that language `1 / BYTES` times, which gives the score; narrow margins g
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -106,9 +107,16 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     return common.map_batches(docs, rows, common.schema_of(docs) + ", lang_pred string, score double")
 
 
-def rejected(min_score: float = 0.6) -> Column:
-    """True where the margin is narrow or there is no letter."""
-    return F.col("score") < min_score
+def accepted(docs: DataFrame, dictionaries: dict[str, bytes], min_score: float = 0.6) -> DataFrame:
+    """The rows of `docs`, as they are, whose language is told with a margin: those without a letter and those between languages go."""
+    model = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    key = model._jbroadcast.id() if model._jbroadcast is not None else id(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([classifier(key, model.value)(t)[1] >= min_score for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, common.schema_of(docs))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

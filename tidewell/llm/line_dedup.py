@@ -144,21 +144,24 @@ def kept_text(text: str, bitmap: bytes | None) -> str:
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """All columns of `docs`, with n_dropped and bitmap (input columns of these names are replaced)."""
-    docs = common.with_row_key(docs.drop("n_dropped", "bitmap", *common.ROW_KEY), "doc_id", "text")
-    return docs.join(bitmaps, common.ROW_KEY, "left").drop(*common.ROW_KEY)
+    """Each row of `docs` as the struct `row`, with n_dropped and bitmap, null where all lines stay."""
+    return common.keyed_rows(docs, "doc_id", "text").join(bitmaps, common.ROW_KEY, "left").select("row", "n_dropped", "bitmap")
+
+
+def fields(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+    row = batch.column("row")
+    return dict(zip((f.name for f in row.type), row.flatten()))
 
 
 def dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """`docs` with its columns as they were and the dropped lines gone from text; null stays null."""
-    marked, names = with_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs)), docs.columns
 
     def rows(batch: pa.RecordBatch) -> dict:
-        pairs = zip(batch.column("text").to_pylist(), batch.column("bitmap").to_pylist())
-        kept = pa.array([t if t is None else kept_text(t, b) for t, b in pairs], pa.string())
-        return {name: kept if name == "text" else batch.column(name) for name in names}
+        columns = fields(batch)
+        pairs = zip(columns["text"].to_pylist(), batch.column("bitmap").to_pylist())
+        return columns | {"text": pa.array([t if t is None else kept_text(t, b) for t, b in pairs], pa.string())}
 
-    return common.map_batches(marked, rows, common.schema_of(docs))
+    return common.map_batches(with_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs)), rows, common.schema_of(docs))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,10 +169,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def digests(batch: pa.RecordBatch) -> dict:
-        texts = common.texts(batch)
+        columns = fields(batch)
+        texts = [t or "" for t in columns["text"].to_pylist()]
         kept = [kept_text(t, b) for t, b in zip(texts, batch.column("bitmap").to_pylist())]
         return {
-            "doc_id": batch.column("doc_id"), "n_lines": pa.array([t.count("\n") + 1 for t in texts], pa.int64()),
+            "doc_id": columns["doc_id"], "n_lines": pa.array([t.count("\n") + 1 for t in texts], pa.int64()),
             "n_dropped": batch.column("n_dropped").fill_null(0), "kept_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in kept], pa.string()),
         }
 

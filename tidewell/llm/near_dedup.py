@@ -195,7 +195,7 @@ def components(docs: DataFrame, size: int = 5, threshold: str = "0.8") -> DataFr
 def deduplicate(docs: DataFrame, size: int = 5, threshold: str = "0.8") -> DataFrame:
     """`docs` without the rows that aren't kept; its columns as they were."""
     gone = components(docs, size, threshold).where("not kept").select(*common.ROW_KEY).distinct()
-    return common.with_row_key(docs, "doc_id", "text").join(gone, common.ROW_KEY, "left_anti").select(*docs.columns)
+    return common.keyed_rows(docs, "doc_id", "text").join(gone, common.ROW_KEY, "left_anti").select("row.*")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

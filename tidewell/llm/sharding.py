@@ -8,6 +8,8 @@ equal texts only where the group itself is too large for that. Rows are then exc
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -45,7 +47,7 @@ def histogram(keyed: DataFrame, inside: set[int], depth: int) -> dict[int, tuple
         rows = rows.where(prefix(depth).isin([signed(p) for p in inside]))
     elif depth > WORD:
         places = [(p >> depth - WORD, p & (1 << depth - WORD) - 1) for p in inside]
-        rows = rows.where(F.struct(F.col("_k1"), prefix(depth)).isin([F.struct(F.lit(a + MIN), F.lit(signed(b))) for a, b in places]))
+        rows = rows.where(reduce(lambda x, y: x | y, [(F.col("_k1") == a + MIN) & (prefix(depth) == b) for a, b in places]))
     first = (F.col("_k1").bitwiseXOR(F.lit(MIN)) if deeper > WORD else F.lit(0)).alias("a")
     found = rows.groupBy(first, prefix(deeper).alias("b")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
     width = deeper - WORD if deeper > WORD else deeper
@@ -119,8 +121,9 @@ def assign(docs: DataFrame, shards: int = 16, tolerance: float = 0.001, rows_per
 def write(docs: DataFrame, path: str, shards: int = 16, tolerance: float = 0.001) -> None:
     """Whole rows as Parquet under path/shard=N, by the same boundaries; one exchange."""
     bounds, _ = splitters(common.durable(with_keys(docs.select("doc_id", "text")).drop("text")), shards, tolerance)
-    placed = with_keys(docs.drop("shard", "size", "text_crc32")).withColumns({"shard": shard_of(bounds), "_run": F.pmod("_k2", F.lit(64))})
-    placed.repartition("shard", "_run").drop("_k1", "_k2", "_run", "size", "text_crc32").write.partitionBy("shard").parquet(path)
+    rest = docs.drop("shard")  # replaced
+    placed = with_keys(rest.select(F.struct("*").alias("row"), "doc_id", "text")).withColumns({"shard": shard_of(bounds), "_run": F.pmod("_k2", F.lit(64))})
+    placed.repartition("shard", "_run").select("row.*", "shard").write.partitionBy("shard").parquet(path)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
