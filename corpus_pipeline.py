@@ -14,8 +14,7 @@ from tidewell.llm import decontamination, language_id, line_dedup, near_dedup, p
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a margin; those without a letter and those between two languages go."""
-    found = language_id.identify(docs, language_id.fit(docs.select("text", "lang")))
-    return found.where(~language_id.rejected()).select(*docs.columns)
+    return language_id.accepted(docs, language_id.fit(docs.select("text", "lang")))
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
