@@ -10,15 +10,37 @@ from pyspark.sql import functions as F
 from . import values as V
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Match in a text that is already in lower case; word edges are ASCII, whatever letters stand beside them."""
+def openings(pattern: str) -> list[str]:
+    """What the alternatives of `\\b(a|b|c)...` start with, as plain text; empty if one has no plain start of two characters."""
+    group = re.match(r"\\b(\((?:[^()]|\([^()]*\))*\))?", pattern)
+    body = group[1][1:-1] if group and group[1] else pattern.removeprefix(r"\b")
+    out = []
+    for choice in re.split(r"\|(?![^()]*\))", body):
+        plain = re.match(r"[a-z ]*", choice)[0]
+        out.append(plain[:-1] if choice[len(plain) :][:1] in ("?", "*", "{") else plain)
+    return out if min(map(len, out)) >= 2 else []
+
+
+def matches(text: str, pattern: str) -> str:
+    """SQL of a match in a text that is already in lower case; word edges are ASCII, whatever letters stand beside them.
+
+    Plain searches for the alternatives' openings come first: they are many times cheaper than the expression, and most
+    texts hold none of them. Terms are SQL text, as one parse is much quicker than hundreds of column calls.
+    """
     opening = re.sub(r"\\b(?=[(\w])", "(?<![a-z0-9_])", pattern)
-    return text.rlike(re.sub(r"\\b", "(?![a-z0-9_])", opening))
+    edges = re.sub(r"\\b", "(?![a-z0-9_])", opening)
+    found = f"rlike({text}, r'{edges}')"
+    plain = openings(pattern)
+    return f"(({' or '.join(f'contains({text}, {x!r})' for x in plain)}) and {found})" if plain else found
+
+
+def weights(text: str, lexicon: list[tuple[str, int]]) -> str:
+    return "(" + " + ".join(f"if({matches(text, p)}, {w}, 0)" for p, w in lexicon) + ")"
 
 
-def weighted(text: Column, lexicon: list[tuple[str, int]]) -> Column:
+def weighted(text: str, lexicon: list[tuple[str, int]]) -> Column:
     """Sum of the weights of the patterns that match."""
-    return sum((F.when(matches(text, p), w).otherwise(0) for p, w in lexicon), F.lit(0))
+    return F.expr(weights(text, lexicon))
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
@@ -54,42 +76,36 @@ def sentiment_label(sentiment: Column) -> Column:
     return F.when(sentiment.isNotNull(), names)
 
 
-def catalyst(text: Column) -> Column:
+def catalyst(text: str) -> Column:
     """struct(macro, volatility, duration, category, bias, cancelling, known) of all matching catalysts together.
 
     Numbers are maxima; the category is that of the first catalyst with the highest macro; the bias is the first there is;
     cancelling factors are the union in order. `known` is false where the default holds.
     """
+    def literal(x: object) -> str:
+        return "cast(null as string)" if x is None else str(x) if isinstance(x, int) else '"' + x + '"'
 
-    def rule(ordinal: int, macro: int, volatility: int, duration: int, category: str, bias: str | None, cancelling: list[str]) -> Column:
-        named = {"ordinal": F.lit(ordinal), "macro": F.lit(macro), "volatility": F.lit(volatility), "duration": F.lit(duration), "category": F.lit(category), "bias": F.lit(bias).cast("string")}
-        factors = F.array(*map(F.lit, cancelling)) if cancelling else F.array().cast("array<string>")
-        return F.struct(*[c.alias(n) for n, c in named.items()], factors.alias("cancelling"))
-
-    found = F.array_compact(F.array(*[F.when(matches(text, r[0]), rule(i, *r[1:])) for i, r in enumerate(V.CATALYSTS)]))
-    macro, volatility, duration, category, bias, _ = V.DEFAULT_CATALYST
-
-    def merged(all_: Column) -> Column:
-        top = F.array_max(F.transform(all_, lambda r: F.struct(r.macro, -r.ordinal, r.category)))
-        return F.struct(
-            F.coalesce(F.array_max(all_.macro), F.lit(macro)).alias("macro"), F.coalesce(F.array_max(all_.volatility), F.lit(volatility)).alias("volatility"),
-            F.coalesce(F.array_max(all_.duration), F.lit(duration)).alias("duration"), F.coalesce(top.category, F.lit(category)).alias("category"),
-            F.get(F.array_compact(all_.bias), 0).alias("bias"), F.array_distinct(F.flatten(all_.cancelling)).alias("cancelling"), (F.size(all_) > 0).alias("known"),
-        )
+    def rule(i: int, pattern: str, macro: int, volatility: int, duration: int, category: str, bias: str | None, cancelling: list[str]) -> str:
+        return f"if({matches(text, pattern)}, named_struct('rank', {-i}, 'macro', {macro}, 'volatility', {volatility}, 'duration', {duration}, 'category', {literal(category)}, 'bias', {literal(bias)}, 'cancelling', array({', '.join(map(literal, cancelling))})), null)"
 
-    return F.element_at(F.transform(F.array(found), merged), 1)
+    macro, volatility, duration, category, _, _ = V.DEFAULT_CATALYST
+    found = "array_compact(array(" + ", ".join(rule(i, *r) for i, r in enumerate(V.CATALYSTS)) + "))"
+    return F.expr(f"""element_at(transform(array({found}), a -> named_struct('macro', coalesce(array_max(a.macro), {macro}), 'volatility', coalesce(array_max(a.volatility), {volatility}), 'duration', coalesce(array_max(a.duration), {duration}),
+        'category', coalesce(array_max(transform(a, r -> named_struct('macro', r.macro, 'rank', r.rank, 'category', r.category))).category, {literal(category)}), 'bias', get(array_compact(a.bias), 0),
+        'cancelling', array_distinct(flatten(a.cancelling)), 'known', size(a) > 0)), 1)""")
 
 
-def surprise(text: Column) -> Column:
+def surprise(text: str) -> Column:
     """struct(score, proven): from a reported against an expected number, else from terms, else assumed."""
-    pair = [F.regexp_replace(F.regexp_extract(text, V.NUMBER_PAIR, i), ",", ".").try_cast("double") for i in (1, 2)]
-    by_number = F.when(pair[1] != 0, clamp(F.abs((pair[0] - pair[1]) / pair[1]) * 333))
+    a, b = (F.expr(f"try_cast(replace(regexp_extract({text}, r'{V.NUMBER_PAIR}', {i}), ',', '.') as double)") for i in (1, 2))
+    by_number = F.when(b != 0, clamp(F.abs((a - b) / b) * 333))
     terms = weighted(text, V.SURPRISE)
     by_terms = F.when(terms > 0, clamp(terms.cast("double")))
-    return F.struct(F.coalesce(by_number, by_terms, F.when(matches(text, V.SCHEDULED), 50.0).otherwise(25.0)).alias("score"), F.coalesce(by_number, by_terms).isNotNull().alias("proven"))
+    scheduled = F.expr(f"if({matches(text, V.SCHEDULED)}, 50D, 25D)")
+    return F.struct(F.coalesce(by_number, by_terms, scheduled).alias("score"), F.coalesce(by_number, by_terms).isNotNull().alias("proven"))
 
 
-def direction(text: Column, bias: Column) -> Column:
+def direction(text: str, bias: Column) -> Column:
     """struct(direction, sentiment): net weight of terms, and its share with the sign turned."""
     bull = weighted(text, V.BULLISH) + F.when(bias == "bullish", 2).otherwise(0)
     bear = weighted(text, V.BEARISH) + F.when(bias == "bearish", 2).otherwise(0)
@@ -98,11 +114,11 @@ def direction(text: Column, bias: Column) -> Column:
     return F.struct(F.when(net >= 2, "bullish").when(net <= -2, "bearish").otherwise("neutral").alias("direction"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sentiment)).alias("sentiment"))
 
 
-def region(text: Column) -> Column:
-    return F.coalesce(*[F.when(matches(text, p), name) for p, name in V.REGIONS], F.lit("GLOBAL"))
+def region(text: str) -> Column:
+    return F.expr("case " + " ".join(f"when {matches(text, p)} then '{name}'" for p, name in V.REGIONS) + " else 'GLOBAL' end")
 
 
-def relevance(text: Column) -> Column:
+def relevance(text: str) -> Column:
     """Number of term groups that match."""
     return weighted(text, [(p, 1) for p in V.RELEVANCE])
 

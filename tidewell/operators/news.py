@@ -18,12 +18,10 @@ def resolve_source(articles: DataFrame, sources: DataFrame) -> DataFrame:
 
     The registry is looked up as one literal map (a few dozen rows), so no join and no shuffle.
     """
-    known = {r.source_domain: (r.code, r.reliability) for r in sources.collect()}
-    table = F.create_map(*[x for d, (code, rel) in known.items() for x in (F.lit(d), F.struct(F.lit(code).alias("code"), F.lit(rel).alias("reliability")))])
-    labels = F.split(F.lower("domain"), r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    hit = F.get(F.array_compact(F.transform(suffixes, lambda s: F.try_element_at(table, s))), 0)
-    return articles.withColumn("_hit", F.when(F.size(labels) >= 1, hit)).withColumns(
+    entries = ", ".join(f"'{r.source_domain}', named_struct('code', '{r.code}', 'reliability', {r.reliability}D)" for r in sources.collect())
+    hit = F.expr(f"""get(array_compact(transform(sequence(1, greatest(size(split(lower(domain), '[.]')) - 1, 1)),
+        i -> try_element_at(map({entries}), array_join(slice(split(lower(domain), '[.]'), i, 1000), '.')))), 0)""")
+    return articles.withColumn("_hit", hit).withColumns(
         {"source": F.coalesce("_hit.code", F.lit(V.FALLBACK[0])), "reliability": F.coalesce("_hit.reliability", F.lit(V.FALLBACK[1]))}
     ).drop("_hit")
 
@@ -45,9 +43,9 @@ def body() -> Column:
 
 def score(articles: DataFrame, least_relevance: int = 1) -> DataFrame:
     """Relevant articles (title, content, reliability, source) with every derived column of a news row."""
-    out = articles.withColumn("_text", body()).where(scoring.relevance(F.col("_text")) >= least_relevance)
-    out = out.withColumns({"_c": scoring.catalyst(F.col("_text")), "_s": scoring.surprise(F.col("_text")), "region": scoring.region(F.col("_text"))})
-    out = out.withColumn("_d", scoring.direction(F.col("_text"), F.col("_c.bias")))
+    out = articles.withColumn("_text", body()).where(scoring.relevance("_text") >= least_relevance)
+    out = out.withColumns({"_c": scoring.catalyst("_text"), "_s": scoring.surprise("_text"), "region": scoring.region("_text")})
+    out = out.withColumn("_d", scoring.direction("_text", F.col("_c.bias")))
     points = scoring.news_score(F.col("_c.macro"), F.col("_c.volatility"), F.col("reliability"), F.col("_s.score"), F.col("_c.duration"))
     out = out.withColumns({"category": F.col("_c.category"), "news_score": points, "direction": F.col("_d.direction"), "sentiment": F.col("_d.sentiment"), "cancelling": F.col("_c.cancelling")})
     out = out.withColumns({

@@ -49,7 +49,7 @@ def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalyst_resolution(spark, sf_dir):
-    c = _bodies(spark, sf_dir).select("id", scoring.catalyst(F.col("low")).alias("c"))
+    c = _bodies(spark, sf_dir).select("id", scoring.catalyst("low").alias("c"))
     return c.select("id", *[F.col(f"c.{n}").cast("long").alias(n) for n in ("macro", "volatility", "duration")], "c.category", "c.bias", F.concat_ws("|", "c.cancelling").alias("cancelling"), "c.known")
 
 
@@ -58,11 +58,11 @@ def direction_sentiment(spark, sf_dir):
 
 
 def surprise_score(spark, sf_dir):
-    return _bodies(spark, sf_dir).select("id", scoring.surprise(F.col("low")).alias("s")).select("id", F.col("s.score").cast("double").alias("surprise"), "s.proven")
+    return _bodies(spark, sf_dir).select("id", scoring.surprise("low").alias("s")).select("id", F.col("s.score").cast("double").alias("surprise"), "s.proven")
 
 
 def region_relevance(spark, sf_dir):
-    return _bodies(spark, sf_dir).select("id", scoring.region(F.col("low")).alias("region"), scoring.relevance(F.col("low")).cast("long").alias("relevance"))
+    return _bodies(spark, sf_dir).select("id", scoring.region("low").alias("region"), scoring.relevance("low").cast("long").alias("relevance"))
 
 
 def scored_news(spark, sf_dir):
