@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from . import common
 
 STEP, WORD = 12, 64
+#: Share of a shard's bytes by which a boundary may miss its target rather than part a group of equal texts.
+GROUP_TOLERANCE = 0.01
 MIN = -(1 << 63)
 
 
@@ -78,7 +80,8 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float) -> tuple[list[int
             for p, (size, n) in mine:
                 if low + size >= target or p == mine[-1][0]:
                     edge, error = min(((p, abs(target - low)), (p + 1, abs(low + size - target))), key=lambda x: x[1])
-                    if error <= tolerance * total / shards or n == 1 or deeper == 2 * WORD:
+                    near = tolerance if deeper < WORD else max(tolerance, GROUP_TOLERANCE)
+                    if error <= near * total / shards or n == 1 or deeper == 2 * WORD:
                         found[j] = edge << 2 * WORD - deeper
                     else:
                         still[j] = (p, low)
