@@ -54,7 +54,19 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/tidewell/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((df.sparkSession, path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a durable table early; nothing may read it any more."""
+    _delete(df.sparkSession, df._durable_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -74,8 +86,7 @@ def clean() -> None:
     while _written:
         spark, path = _written.pop()
         with contextlib.suppress(Exception):  # the session may have ended before
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
 
 
 ROW_KEY = ["_h1", "_h2"]

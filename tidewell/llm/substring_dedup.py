@@ -83,48 +83,58 @@ def key_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
             yield keys, np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]), batch
 
 
-def block_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First and last key of the block."""
-    first = last = None
-    for keys, _, _ in key_runs(batches):
-        first, last = keys[0] if first is None else first, keys[-1]
-    if first is not None:
-        part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part, part], pa.int32()), "last": [False, True], "w1": pa.array([first[0], last[0]], pa.int64()), "w2": pa.array([first[1], last[1]], pa.int64())})
+def plain(ids: np.ndarray, starts: np.ndarray) -> dict:
+    """Columns row_id and start of a block's repeated windows, and the empty columns of an edge."""
+    none = pa.nulls(len(ids), pa.int32())
+    return {"row_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int32()), "part": none, "edge": none, "w1": pa.nulls(len(ids), pa.int64()), "w2": none, "alone": pa.nulls(len(ids), pa.bool_())}
+
+
+def repeated_in_block(batches: Iterator[pa.RecordBatch], flush: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """(row_id, start) of windows that the block has twice or more; then its first and last key with a row, alone if the block has just that one."""
+    ids, starts, n = [], [], 0
+    first, first_rows, held, held_alone = None, 0, None, False
+    for keys, new, batch in key_runs(batches):
+        rows, at = batch.column("row_id").to_numpy(), batch.column("start").to_numpy()
+        begin = np.flatnonzero(new)
+        sizes = np.diff(np.append(begin, len(new)))
+        twice = np.repeat(sizes > 1, sizes)
+        opening = tuple(keys[0].tolist())
+        if held is not None and held[0] == opening:
+            twice[: sizes[0]] = True
+            if held_alone:
+                ids.append(np.array([held[1]]))
+                starts.append(np.array([held[2]]))
+        first = first or (opening, int(rows[0]), int(at[0]))
+        first_rows += int((keys == first[0]).all(1).sum())
+        ids.append(rows[twice])
+        starts.append(at[twice])
+        n += len(ids[-1])
+        held, held_alone = (tuple(keys[-1].tolist()), int(rows[-1]), int(at[-1])), not twice[-1]
+        if n >= flush:
+            yield pa.RecordBatch.from_pydict(plain(np.concatenate(ids), np.concatenate(starts)))
+            ids, starts, n = [], [], 0
+    if held is None:
+        return
+    found = np.concatenate(ids or [np.empty(0, np.int64)])
+    if len(found):
+        yield pa.RecordBatch.from_pydict(plain(found, np.concatenate(starts)))
+    ends = [(first, first_rows == 1), (held, held_alone)]
+    yield pa.RecordBatch.from_pydict({
+        "row_id": pa.array([e[1] for e, _ in ends], pa.int64()), "start": pa.array([e[2] for e, _ in ends], pa.int32()),
+        "part": pa.array([TaskContext.get().partitionId()] * 2, pa.int32()), "edge": pa.array([0, 1], pa.int32()),
+        "w1": pa.array([e[0][0] for e, _ in ends], pa.int64()), "w2": pa.array([e[0][1] for e, _ in ends], pa.int32()), "alone": pa.array([bool(x) for _, x in ends], pa.bool_()),
+    })
 
 
 def repeated_starts(windows: DataFrame) -> DataFrame:
-    """(row_id, start) of the rows whose (w1, w2) two or more rows have."""
+    """(row_id, start) of the windows whose key (w1, w2) two or more rows have."""
     order = ["w1", "w2", "row_id", "start"]
-    blocks = common.checkpointed(windows.repartitionByRange(*order).sortWithinPartitions(*order))
-    edges = sorted(((r.part, r.last, (r.w1, r.w2)) for r in blocks.mapInArrow(block_edges, "part int, last boolean, w1 long, w2 long").collect()), key=lambda e: e[:2])  # two rows a block
-    crossing = windows.sparkSession.sparkContext.broadcast({a[2] for a, b in zip(edges, edges[1:]) if a[0] != b[0] and a[2] == b[2]})
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_key, held_twice = None, None, False  # the last row of the batch before, not yet given out unless it was repeated
-        for keys, new, batch in key_runs(batches):
-            ends = np.append(np.flatnonzero(new)[1:], len(new))
-            starts = np.flatnonzero(new)
-            twice = np.repeat(ends - starts > 1, ends - starts)
-            first, last = tuple(keys[0].tolist()), tuple(keys[-1].tolist())
-            if held is not None:
-                if held_key == first:
-                    twice[: ends[0]] = True
-                    if not held_twice:
-                        yield held
-                elif not held_twice and held_key in crossing.value:
-                    yield held
-            for k, (a, b) in ((first, (0, ends[0])), (last, (starts[-1], len(new)))):
-                if k in crossing.value:
-                    twice[a:b] = True
-            found = batch.select(["row_id", "start"])
-            if twice.any():
-                yield found.filter(pa.array(twice))
-            held, held_key, held_twice = found.slice(len(new) - 1), last, bool(twice[-1])
-        if held is not None and not held_twice and held_key in crossing.value:
-            yield held
-
-    return blocks.mapInArrow(stream, "row_id long, start int")
+    schema = "row_id long, start int, part int, edge int, w1 long, w2 int, alone boolean"
+    found = common.durable(windows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(repeated_in_block, schema))
+    edges = sorted(found.where("edge is not null").collect(), key=lambda e: (e.part, e.edge))  # two rows a block
+    crossing = {(r.row_id, r.start) for a, b in zip(edges, edges[1:]) if a.part != b.part and (a.w1, a.w2) == (b.w1, b.w2) for r in (a, b) if r.alone}
+    across = windows.sparkSession.createDataFrame(sorted(crossing), "row_id long, start int")
+    return found.where("edge is null").select("row_id", "start").union(across)
 
 
 def duplicate_spans(docs: DataFrame, window: int = 35) -> DataFrame:
@@ -144,8 +154,8 @@ def duplicate_spans(docs: DataFrame, window: int = 35) -> DataFrame:
             "hashes": pa.array([h for _, h in found], pa.list_(pa.int64())),
         }
 
-    base = common.durable(common.map_batches(keyed, first_pass, f"doc_id {kind}, _h1 long, _h2 long, n_words long, sha string, hashes array<bigint>"))
-    each = base.select(*common.ROW_KEY, F.explode("hashes").alias("hash"))
+    first = common.durable(common.map_batches(keyed, first_pass, f"doc_id {kind}, _h1 long, _h2 long, n_words long, sha string, hashes array<bigint>"))
+    each = first.select(*common.ROW_KEY, F.explode("hashes").alias("hash"))
     repeated = common.durable(each.groupBy("hash").count().where("count > 1").select("hash"))
     flagged = each.join(repeated, "hash").groupBy(*common.ROW_KEY).agg(F.collect_set("hash").alias("hashes"))
 
@@ -154,7 +164,11 @@ def duplicate_spans(docs: DataFrame, window: int = 35) -> DataFrame:
         return {name: batch.column(name) for name in common.ROW_KEY} | {"packed": pa.array([shorten(t.encode()) for t in common.texts(batch)], pa.binary())}
 
     whole = common.map_batches(keyed.drop("doc_id").where(F.length("text") >= 2 * window - 1), packed, "_h1 long, _h2 long, packed binary")
-    suspects = common.durable(whole.join(flagged, common.ROW_KEY).withColumn("row_id", F.xxhash64(*common.ROW_KEY)))
+    suspects = common.durable(whole.join(flagged, common.ROW_KEY).withColumn("row_id", F.monotonically_increasing_id()))
+
+    base = common.durable(first.drop("hashes"))
+    common.discard(first)  # the anchors, the larger part; suspects hold their own
+    common.discard(repeated)
 
     def index(batch: pa.RecordBatch) -> dict:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -187,9 +201,9 @@ def duplicate_spans(docs: DataFrame, window: int = 35) -> DataFrame:
         }
 
     spans_type = "array<struct<start:int,end:int>>"
-    joined = suspects.dropDuplicates(common.ROW_KEY).select("row_id", *common.ROW_KEY, "packed").join(starts, "row_id").drop("row_id")
-    parsed = common.map_batches(joined, parse, f"_h1 long, _h2 long, spans {spans_type}, n_removed long, kept string")
-    out = base.drop("hashes").join(parsed, common.ROW_KEY, "left")
+    joined = suspects.select("row_id", *common.ROW_KEY, "packed").join(starts, "row_id").drop("row_id")
+    parsed = common.map_batches(joined, parse, f"_h1 long, _h2 long, spans {spans_type}, n_removed long, kept string").dropDuplicates(common.ROW_KEY)  # equal rows have equal spans
+    out = base.join(parsed, common.ROW_KEY, "left")
     return out.select("doc_id", "n_words", F.coalesce("spans", F.array().cast(spans_type)).alias("spans"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"))
 
 
