@@ -137,6 +137,21 @@ def test_languages_are_told_apart(spark):
     assert language_id.fit(docs.limit(0).select("text", "lang")) == {} and language_id.identify(test, {}).where("lang_pred <> 'und'").count() == 0
 
 
+def test_copies_neither_fill_nor_empty_a_sample(spark):
+    rng = random.Random(5)
+    make = lambda letters, n=40: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    few = [make("nopq") for _ in range(3)]
+    hot = [make("abcdefg") for _ in range(12)]
+    rows = [(t, "few") for t in few * 300] + [(t, "hot") for t in hot for _ in range(100)] + [(make("abcdefg"), "hot") for _ in range(100)] + [("xyz", "rare")]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string").repartition(6), sample_rows=40)
+    parts = {lang: data.decode().split("\n") for lang, data in model.items()}
+    assert sorted(parts["few"]) == sorted(few) and parts["rare"] == ["xyz"]
+    assert len(parts["hot"]) == len(set(parts["hot"])) == 40 and len(model["hot"]) > 4096
+    found = language_id.identify(spark.createDataFrame([(make("nopq", 300), "few"), (make("abcdefg", 300), "hot"), (few[0][:60], "few")], "text string, lang string"), model).collect()
+    assert all(r.lang_pred == r.lang for r in found)
+    assert {k: len(v) for k, v in language_id.match_lengths({"a": b"x" * 100, "b": b"x" * 60, "c": b"x" * 10}).items()} == {"a": 60, "b": 60, "c": 10}
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     got = language_id.op5_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "text"), "doc_id").where("held_out").collect()

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -31,23 +31,41 @@ def letters(text: str) -> bytes:
 def fit(labelled: DataFrame, sample_rows: int = 300, row_bytes: int = 8192, dictionary_bytes: int = 131_072) -> dict[str, bytes]:
     """Dictionaries by language from (text, lang), null labels left out.
 
-    The bound: about `sample_rows` rows a language, chosen by the hash of their text, of each the first `row_bytes`
-    characters, and `dictionary_bytes` in all. All languages get dictionaries of about one length, so none is favoured.
+    The bound: at most `sample_rows` distinct texts a language, those of the smallest hashes, of each the first `row_bytes`
+    characters, and `dictionary_bytes` in all; no more is collected, however many copies a text has. Dictionaries of at least
+    half the longest are cut to one length, so none of these is favoured; a shorter one stays as it is and cuts no other.
     """
-    known = labelled.where("lang is not null and text is not null")
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    known = labelled.where("lang is not null and text is not null").select("lang", F.substring("text", 1, row_bytes).alias("head"), F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit("_h2"), "text").alias("_h2"))
+    counts = {r.lang: r["count"] for r in known.select("lang", *common.ROW_KEY).distinct().groupBy("lang").count().collect()}
     if not counts:
         return {}
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * sample_rows / n)))])
-    draw = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
-    rows = known.where(draw < share[F.col("lang")]).select("lang", F.substring("text", 1, row_bytes).alias("text"), draw.alias("draw")).collect()
+    draw = F.shiftrightunsigned("_h1", 11) / F.lit(float(1 << 53))
+    drawn = first_copies(known.where(draw < share[F.col("lang")])).dropDuplicates(["lang", *common.ROW_KEY])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("_h1", 11), *common.ROW_KEY))
     taken: dict[str, list[str]] = {lang: [] for lang in sorted(counts)}
-    for row in sorted(rows, key=lambda r: (r.lang, r.draw, r.text)):
-        if len(taken[row.lang]) < sample_rows:
-            taken[row.lang].append(row.text)
-    texts = {lang: "\n".join(parts).encode()[:dictionary_bytes] for lang, parts in taken.items() if parts}
-    common_size = max(4096, min(map(len, texts.values()), default=0))
-    return {lang: data[:common_size] for lang, data in texts.items()}
+    for row in drawn.withColumn("place", place).where(F.col("place") <= sample_rows).select("lang", "place", "head").orderBy("lang", "place").collect():
+        taken[row.lang].append(row["head"])
+    return match_lengths({lang: "\n".join(parts).encode()[:dictionary_bytes] for lang, parts in taken.items() if parts})
+
+
+def first_copies(rows: DataFrame) -> DataFrame:
+    """Of each partition's copies of a text of a language the first, so that a hot text is not shuffled; holds the keys of the texts drawn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            keys = list(zip(*[batch.column(name).to_pylist() for name in ("lang", *common.ROW_KEY)]))
+            new = [key not in seen and not seen.add(key) for key in keys]
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    return rows.mapInArrow(run, common.schema_of(rows))
+
+
+def match_lengths(texts: dict[str, bytes]) -> dict[str, bytes]:
+    longest = max(map(len, texts.values()), default=0)
+    size = min((len(t) for t in texts.values() if 2 * len(t) >= longest), default=0)
+    return {lang: data[:size] for lang, data in texts.items()}
 
 
 class Classifier:
