@@ -152,6 +152,20 @@ def test_copies_neither_fill_nor_empty_a_sample(spark):
     assert {k: len(v) for k, v in language_id.match_lengths({"a": b"x" * 100, "b": b"x" * 60, "c": b"x" * 10}).items()} == {"a": 60, "b": 60, "c": 10}
 
 
+def test_all_of_a_very_long_text_counts():
+    rng = random.Random(6)
+    parts = {"aa": ["the", "ing", "wh", "er", "th"], "bb": ["sch", "ung", "ein", "ich", "pf"]}
+    vocabulary = {lang: ["".join(rng.choice(p) for _ in range(rng.randint(2, 4))) for _ in range(3000)] for lang, p in parts.items()}
+    make = lambda lang, size: " ".join(rng.choice(vocabulary[lang]) for _ in range(size // 6))[:size]
+    found = language_id.Classifier({lang: make(lang, 131_072).encode() for lang in parts})
+    for first, last in (("aa", "bb"), ("bb", "aa")):
+        assert found(make(first, 260_000) + " " + make(last, 2_000_000)) == (last, 1.0)
+        assert found(make(last, 1_200_000) + " " + make(first, 500_000)) == (last, 1.0)
+    for n in (0, 1, 1025, language_id.PIECE, language_id.PIECE + 1, 100_001):
+        cut = language_id.pieces(b"x" * n)
+        assert b"".join(cut) == b"x" * n and all(len(p) <= language_id.PIECE for p in cut)
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     got = language_id.op5_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "text"), "doc_id").where("held_out").collect()

@@ -1,7 +1,7 @@
 """Language by compression: the language whose dictionary shortens a text most.
 
 Each language's zstandard raw-content dictionary is text of that language. A whole text is compressed with every
-dictionary; the smallest result names the language. Each byte by which another language's result is longer halves the
+dictionary, a long one in pieces; the smallest sum names the language. Each byte by which another language's result is longer halves the
 odds of that language `1 / BYTES` times, which gives the score; narrow margins give a low score and are rejected.
 """
 
@@ -20,6 +20,8 @@ from . import common
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes up to which a text is short, and what then stands before it and in the dictionary.
 SHORT, PREFACE, SHORT_DICTIONARY = 1024, 2048, 30_720
+#: Bytes of a long text that meet a fresh dictionary at a time: with the dictionary well inside the window, and its hash slots stay in use.
+PIECE = 32_768
 #: For bytes.translate: ASCII letters in lower case, bytes of other letters kept, the rest to spaces.
 KEEP = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -28,6 +30,12 @@ def letters(text: str) -> bytes:
     return b" ".join(text.lower().encode().translate(KEEP).split())
 
 
+def pieces(data: bytes) -> list[bytes]:
+    """`data` in consecutive pieces of about one length, PIECE at most."""
+    step = max(1, -(-len(data) // max(1, -(-len(data) // PIECE))))
+    return [data[i : i + step] for i in range(0, len(data), step)]
+
+
 def fit(labelled: DataFrame, sample_rows: int = 300, row_bytes: int = 8192, dictionary_bytes: int = 131_072) -> dict[str, bytes]:
     """Dictionaries by language from (text, lang), null labels left out.
 
@@ -71,7 +79,8 @@ def match_lengths(texts: dict[str, bytes]) -> dict[str, bytes]:
 class Classifier:
     """Whole text -> (language, score); `und` with score 0 for a text without a letter, or without learned languages.
 
-    Long texts go through a fast matcher over the whole dictionary. A short text's frame has little but overhead, so it is
+    Long texts go through a fast matcher over the whole dictionary, piece by piece, so that all of a text counts alike; sizes
+    are summed. A short text's frame has little but overhead, so it is
     measured behind `PREFACE` bytes of each language, with a careful matcher: the bytes that it adds to the preface's own.
     """
 
@@ -92,7 +101,8 @@ class Classifier:
         if not text or not self.languages or not LETTER.search(text):
             return "und", 0.0
         data = letters(text)
-        sizes = [len(c.compress(data)) for c in self.long] if len(data) > SHORT else [len(c.compress(preface + data)) - size for c, preface, size in self.short]
+        parts = pieces(data)
+        sizes = [sum(len(c.compress(piece)) for piece in parts) for c in self.long] if len(data) > SHORT else [len(c.compress(preface + data)) - size for c, preface, size in self.short]
         best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
         return self.languages[best], 1 / sum(2.0 ** max(-60, sizes[best] - s) for s in sizes)
 
