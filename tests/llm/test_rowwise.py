@@ -192,3 +192,16 @@ def test_quality_measures_and_line_frequency(spark, edge_docs, edge_rows):
     assert sorted((*key(r.doc_id), r.n_removed_words) for r in got) == want and any(w[2] for w in want)
     assert quality_rules.judge(edge_docs.limit(0)).count() == 0
     assert hashlib.sha256(b"").hexdigest()  # digests are over bytes
+
+
+def test_lines_above_the_limit_leave_the_text(spark, edge_docs):
+    rng = random.Random(8)
+    body = lambda: " ".join(f"b{rng.randrange(10**6)}" for _ in range(12))
+    rows = [(i, f"Common  FOOTER line\n{body()}\n\ncommon footer line\n{body()}\n", "h") for i in range(4)] + [(7, "common footer line\none", "h"), (7, "common footer line\none", "h"), (8, "common footer line\nkept on this host", "other"), (None, None, None)]
+    docs = spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, source string, dropped_lines int")
+    judged = {r.doc_id: r for r in quality_rules.judge(docs, max_docs=5).collect()}
+    assert judged[0].dropped_lines == [0, 3] and judged[0].n_removed_words == 6 and judged[8].dropped_lines == [] and judged[7].depleted
+    got = quality_rules.clean(docs, max_docs=5)
+    want = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in (0, 3)), h, 3) for i, t, h in rows[:4]] + [(*rows[-2], 3), (*rows[-1], 3)]
+    assert got.schema.names == docs.schema.names and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert quality_rules.clean(edge_docs).columns == edge_docs.columns and sorted(map(repr, quality_rules.clean(edge_docs).collect())) == sorted(map(repr, edge_docs.collect()))

@@ -1,7 +1,7 @@
 """Quality rules: text measures of each document, and the frequency of its lines over the documents of its host.
 
 A line's hash covers its lower-cased words joined by one space. A line that more than `max_docs` documents of one host
-hold is removed; a document that keeps less than `min_share` of its words is depleted and rejected.
+hold is removed (judge() names it by its position, clean() gives the text without it); a document that keeps less than `min_share` of its words is depleted and rejected.
 """
 
 from __future__ import annotations
@@ -33,44 +33,70 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def measure(text: str) -> tuple[dict, dict[int, int]]:
-    """The measures of MEASURES, and words by hash of each distinct line that has a word."""
+def measure(text: str) -> tuple[dict, dict[int, tuple[int, list[int]]]]:
+    """The measures of MEASURES, and by hash of each distinct line that has a word its words and the positions where it stands."""
     data = text.encode()
     lines = data.split(b"\n")
     split = [line.split() for line in lines]
     seen, dups, hashes = set(), 0, {}
-    for line, words in zip(lines, split):
+    for at, (line, words) in enumerate(zip(lines, split)):
         if words:
             dups += line in seen
             seen.add(line)
             key = xxhash.xxh3_64_intdigest(b" ".join(words).translate(common.LOWER)) - (1 << 63)
-            hashes[key] = hashes.get(key, 0) + len(words)
+            hashes.setdefault(key, (len(words), []))[1].append(at)
     words = [w for line in split for w in line]
     chars = len(text) - (len(data) - len(data.translate(None, common.SPACE)))
     return {"n_words": len(words), "word_chars": chars, "n_symbols": len(data) - len(data.translate(None, SYMBOLS)), "n_dup_lines": dups, "n_repeat_words": repeated_words(words)}, hashes
 
 
-def judge(docs: DataFrame, host: str = "source", max_docs: int = 100, min_share: float = 0.5) -> DataFrame:
-    """doc_id, the measures, n_removed_words and depleted, for each row.
-
-    A null text has no words and is not depleted; null hosts count as one host; repeated rows count as documents of their
-    own; an empty table gives no rows; columns other than doc_id, text and the host are not read.
-    """
+def judged_rows(docs: DataFrame, host: str, max_docs: int, min_share: float) -> DataFrame:
+    """judge(), with ROW_KEY over doc_id, host and text beside it."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    entry = pa.struct([("line", pa.int64()), ("words", pa.int32()), ("at", pa.list_(pa.int32()))])
 
     def rows(batch: pa.RecordBatch) -> dict:
         measured = [measure(t) for t in common.texts(batch)]
-        out = {"doc_id": batch.column("doc_id"), "host": batch.column("host")}
+        out = {name: batch.column(name) for name in (*common.ROW_KEY, "doc_id", "host")}
         out |= {name: pa.array([m[name] for m, _ in measured], pa.int64()) for name in measured[0][0]}
-        return out | {"lines": pa.array([list(h.items()) for _, h in measured], pa.map_(pa.int64(), pa.int64()))}
+        return out | {"lines": pa.array([[{"line": k, "words": n, "at": at} for k, (n, at) in h.items()] for _, h in measured], pa.list_(entry))}
 
-    read = docs.select("doc_id", F.coalesce(F.col(host).cast("string"), F.lit("\x00null")).alias("host"), "text")
-    measured = common.durable(common.map_batches(read, rows, f"doc_id {kind}, host string, {MEASURES}, lines map<bigint,bigint>").withColumn("row_id", F.monotonically_increasing_id()))
-    lines = measured.select("row_id", "host", F.explode("lines").alias("line", "words"))
+    read = common.keyed_rows(docs, "doc_id", host, "text").select(*common.ROW_KEY, "row.doc_id", F.coalesce(F.col(f"row.`{host}`").cast("string"), F.lit("\x00null")).alias("host"), "row.text")
+    schema = f"_h1 long, _h2 long, doc_id {kind}, host string, {MEASURES}, lines array<struct<line:bigint,words:int,at:array<int>>>"
+    measured = common.durable(common.map_batches(read, rows, schema).withColumn("row_id", F.monotonically_increasing_id()))
+    lines = measured.select("row_id", "host", F.inline("lines"))
     above = common.durable(lines.groupBy("host", "line").count().where(F.col("count") > max_docs).select("host", "line"))
-    removed = lines.join(above, ["host", "line"]).groupBy("row_id").agg(F.sum("words").alias("removed"))
-    out = measured.drop("lines", "host").join(removed, "row_id", "left").withColumn("n_removed_words", F.coalesce("removed", F.lit(0)))
-    return out.withColumn("depleted", F.col("n_words") - F.col("n_removed_words") < min_share * F.col("n_words")).drop("row_id", "removed")
+    here = F.transform("at", lambda at: F.struct(at.alias("at"), F.col("words").alias("words")))
+    dropped = lines.join(above, ["host", "line"]).groupBy("row_id").agg(F.array_sort(F.flatten(F.collect_list(here))).alias("dropped"))
+    out = measured.drop("lines", "host").join(dropped, "row_id", "left").withColumn("n_removed_words", F.coalesce(F.aggregate("dropped", F.lit(0).cast("long"), lambda n, line: n + line.words), F.lit(0)))
+    out = out.withColumn("dropped_lines", F.coalesce(F.col("dropped.at"), F.array().cast("array<int>")))
+    return out.withColumn("depleted", F.col("n_words") - F.col("n_removed_words") < min_share * F.col("n_words")).drop("row_id", "dropped")
+
+
+def judge(docs: DataFrame, host: str = "source", max_docs: int = 100, min_share: float = 0.5) -> DataFrame:
+    """doc_id, the measures, n_removed_words, dropped_lines (positions from 0, in order) and depleted, for each row.
+
+    A null text has no words and is not depleted; null hosts count as one host; repeated rows count as documents of their
+    own; an empty table gives no rows; columns other than doc_id, text and the host are not read.
+    """
+    return judged_rows(docs, host, max_docs, min_share).drop(*common.ROW_KEY)
+
+
+def without(text: str | None, dropped: list[int]) -> str | None:
+    """`text` without the lines at these positions."""
+    if not text or not dropped:
+        return text
+    gone = set(dropped)
+    return "\n".join(line for at, line in enumerate(text.split("\n")) if at not in gone)
+
+
+def clean(docs: DataFrame, host: str = "source", max_docs: int = 100, min_share: float = 0.5) -> DataFrame:
+    """`docs` without its depleted rows, texts without the lines above the limit; columns otherwise as they were, equal rows each kept."""
+    verdicts = judged_rows(docs, host, max_docs, min_share).select(*common.ROW_KEY, "dropped_lines", "depleted")
+    touched = common.durable(verdicts.where(F.col("depleted") | (F.size("dropped_lines") > 0)).dropDuplicates(common.ROW_KEY))
+    rows = common.keyed_rows(docs, "doc_id", host, "text").join(touched, common.ROW_KEY, "left").where(~F.coalesce("depleted", F.lit(False)))
+    cut = F.udf(without, "string", useArrow=True)
+    return rows.select("row", cut("row.text", "dropped_lines").alias("cut")).select(*[F.col("cut").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
