@@ -171,3 +171,19 @@ def test_agent_replies(spark):
     df = spark.createDataFrame([("a", "risk", '```json\n{"verdict":"APPROVED","confidence":72}\n```'), ("b", "risk", "not json"), ("c", "macro", '{"overall_bias":"UP"}')], "analysis_id string, agent string, reply_json string")
     got = [(r.verdict, r.confidence, r.overall_bias) for r in committee.coerce_replies(df).orderBy("analysis_id").collect()]
     assert got == [("APPROVED", 0.72, "neutral"), ("DATA_INSUFFICIENT", 0.5, "neutral"), (None, 0.5, "neutral")]
+
+
+@pytest.mark.parametrize("mode", ["append", "complete"])
+def test_a_stream_s_rows_are_kept_in_files(spark, tmp_path, mode):
+    source, at = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(6).selectExpr("id", "timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(id * 20 as int), 0) as ts", "'s' as symbol", "double(id) as value").write.parquet(source)
+    feed = lambda: streams.change_feed(spark, source, spark.read.parquet(source).schema)
+    run = lambda: streams.run_once(streams.dedup(feed(), "id").select("id") if mode == "append" else streams.hourly(feed(), "symbol"), at, str(tmp_path / "state"), mode)
+    first = run()
+    assert len(first.inputFiles()) > 0 and all(at in f for f in first.inputFiles())
+    spark.sql("select 99L as id, timestamp '2024-01-01 00:30:00' as ts, 's' as symbol, 7.0D as value").write.mode("append").parquet(source)
+    second = run()
+    if mode == "append":
+        assert sorted(r.id for r in second.collect()) == [0, 1, 2, 3, 4, 5, 99]
+    else:
+        assert sorted((r.window.start.hour, r.n, r.total) for r in second.collect()) == [(0, 4, 10.0), (1, 3, 12.0)]

@@ -18,8 +18,8 @@ def _events(spark, sf_dir):
 def _run(stream, mode):
     spark = stream.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/tidewell-checkpoints"
-    name = f"s{uuid.uuid4().hex}"
-    return streams.run_once(stream, name, f"{base}/tidewell/streams/{name}", mode)
+    at = f"{base}/tidewell/streams/s{uuid.uuid4().hex}"
+    return streams.run_once(stream, f"{at}/table", f"{at}/state", mode)
 
 
 def stream_dedup(spark, sf_dir):

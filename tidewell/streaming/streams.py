@@ -31,11 +31,18 @@ def bars(stream: DataFrame, size: str = "5 minutes", late: str = "1 hour") -> Da
         F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"))
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that is there now, into a memory table; for tests and backfills."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """All that is there now, into Parquet at `path`, read from there; for tests and backfills. No row passes through the driver.
+
+    In append mode new rows are added, in complete mode each batch replaces the table; update mode has no such table.
+    """
+    if mode == "complete":
+        writer = stream.writeStream.foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(path))
+    else:
+        writer = stream.writeStream.format("parquet").option("path", path)
+    query = writer.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
 def claim(path: str):
