@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import values as V
 from tidewell.operators import access, committee, constraints, ledger, market, news, views
+from tidewell.plans import market_queries
 from tidewell.sources import http, payloads
 from tidewell.streaming import streams
 
@@ -187,3 +188,15 @@ def test_a_stream_s_rows_are_kept_in_files(spark, tmp_path, mode):
         assert sorted(r.id for r in second.collect()) == [0, 1, 2, 3, 4, 5, 99]
     else:
         assert sorted((r.window.start.hour, r.n, r.total) for r in second.collect()) == [(0, 4, 10.0), (1, 3, 12.0)]
+
+
+def test_no_payload_holds_a_whole_series(spark, tmp_path, monkeypatch):
+    spark.range(9000).selectExpr("if(id = 8999, 9000, id) as event_id", "timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, cast(id div 2 % 3000 as int)) as ts", "if(id < 8990, 'hot', if(id < 8999, 'few', 'none')) as event_type", "double(id) as value", "id as user_id").write.parquet(str(tmp_path / "events.parquet"))
+    seen, parse = [], payloads.parse_series
+    monkeypatch.setattr(payloads, "parse_series", lambda docs: seen.append(docs) or parse(docs))
+    got = {r.symbol: (r.value, r.unavailable_reason) for r in market_queries.macro_last_obs(spark, str(tmp_path)).collect()}
+    most = max((i for i in range(8990) if i % 3), key=lambda i: (i // 2 % 3000, str(i)))
+    few = max((i for i in range(8990, 8999) if i % 3), key=lambda i: (i // 2 % 3000, str(i)))
+    assert got == {"hot": (most, None), "few": (few, None), "none": (None, "no_numeric_observation")}
+    sizes = seen[0].selectExpr("size(from_json(payload, 'observations array<struct<date: string>>').observations) as n").collect()
+    assert max(r.n for r in sizes) <= 1000 and sum(r.n for r in sizes) == 9000

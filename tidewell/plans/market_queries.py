@@ -99,9 +99,12 @@ def ts_number_parse(spark, sf_dir):
 
 
 def macro_last_obs(spark, sf_dir):
-    ev = S.read(spark, sf_dir, "events").selectExpr("event_type as symbol", "struct(date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS') as date, case when event_id % 3 = 0 then '.' else cast(event_id as string) end as value) as o")
-    docs = ev.groupBy("symbol").agg(F.to_json(F.struct(F.array_sort(F.collect_list("o")).alias("observations"))).alias("payload"))
-    return payloads.parse_series(docs).select("symbol", "value", "unavailable_reason")
+    """Payloads hold one hour of a symbol, and of that the events of 1,000 consecutive ids at most; the last of their observations is told by time, then text."""
+    ev = S.read(spark, sf_dir, "events").selectExpr("event_type as symbol", "date_trunc('hour', ts) as hour", "event_id div 1000 as part", "struct(date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS') as date, case when event_id % 3 = 0 then '.' else cast(event_id as string) end as value) as o")
+    docs = ev.groupBy("symbol", "hour", "part").agg(F.to_json(F.struct(F.array_sort(F.collect_list("o")).alias("observations"))).alias("payload"))
+    at = F.when(F.col("value").isNotNull(), F.struct("observed_at", F.col("value").cast("long").cast("string")))
+    last = payloads.parse_series(docs).groupBy("symbol").agg(F.max_by("value", at).alias("value"), F.min("unavailable_reason").alias("reason"))
+    return last.select("symbol", "value", F.when(F.col("value").isNull(), F.col("reason")).alias("unavailable_reason"))
 
 
 def quote_parse(spark, sf_dir):
