@@ -1,10 +1,11 @@
 """Cost-balanced packing of token ids into training sequences, within a task and without a shuffle.
 
-A task streams its rows in blocks of `block_sequences` sequences. What exceeds a sequence is cut off in full sequences.
-The rests, T tokens, are dealt over T // seq_len full sequences and one sequence for each set bit of T % seq_len, so a
-block has no padding (a length that is a power of two needs none). Rests go in descending order, each to the sequence
-with the lowest cost a * length + b * length ** 2 that still has room for it; a rest that fits nowhere whole is cut over
-the roomiest sequences. Memory is bounded by the block and its longest text.
+A task streams its rows. What exceeds a sequence is cut off in full sequences at once. The rests wait until they fill
+`block_sequences` sequences and are then dealt over full sequences, in descending order, each to the sequence with the
+lowest cost a * length + b * length ** 2 that still has room for it; a rest that fits nowhere whole is cut over the
+roomiest sequences. What finds no room, less than a sequence in all, waits for the next block. At the end of the task the
+last tokens go to one sequence for each set bit of their number, so nothing is padded (a length that is a power of two
+needs no padding). Memory is bounded by the block and its longest text.
 """
 
 from __future__ import annotations
@@ -21,16 +22,22 @@ from pyspark.sql import functions as F
 from . import common
 
 SCHEMA = "doc_id {}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-LETTERS_SIGN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([.,]?)")  # without U+0130, whose lower case ends in a mark
+#: The tokenizer's pre-tokens, over lower-cased texts of ASCII and of Latin letters that no normal form changes (without U+0130, whose lower case ends in a mark).
+LETTERS = "\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F"
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^ \\t\\n\\x0b\\x0c\\ra-z0-9{LETTERS}]+")
+VISIBLE = re.compile("[!-~]+")
+OTHER = re.compile(f"[^\\x00-\\x7f{LETTERS}]")
 
 
 class Recent(dict):
-    """A bounded memory: what was used in the last two rounds of `limit` new keys stays. `make` gives the value of a new key."""
+    """A bounded memory: what was used in the last two rounds of `limit` new keys stays, keys of over 64 characters aside. `make` gives the value of a new key."""
 
     def __init__(self, limit: int, make):
         self.limit, self.make, self.old = limit, make, {}
 
     def __missing__(self, key: str) -> bytes:
+        if len(key) > 64:
+            return self.make(key)
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -39,103 +46,126 @@ class Recent(dict):
         return value
 
 
-class ChunkIds:
-    """Text between spaces -> its ids as little-endian 32-bit bytes. The tokenizer drops white space before it splits, so nothing crosses a space.
+def is_plain(text: str) -> bool:
+    """Whether PIECE cuts the text in lower case as the tokenizer cuts the text; `<|` may open a special token."""
+    return "<|" not in text and (text.isascii() or not OTHER.search(text))
 
-    It also splits letters from the sign after them, and lower-cases; so `Word,` and `word` share the letters' ids.
+
+class TextIds:
+    """Text -> its ids as little-endian 32-bit bytes, from the chunks between its spaces, and those from their pre-tokens; recent ones are remembered.
+
+    No id crosses an edge between pre-tokens, and white space is dropped before the split, so nothing crosses a space. A chunk
+    that isn't plain is encoded whole. The byte-level alphabet keeps visible ASCII, so a pre-token of it goes to the merges as it is.
     """
 
     def __init__(self, path: str, limit: int):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.letters, self.chunks = Recent(limit, self.encode), Recent(limit, self.parts)
-        self.chunks[""] = b""
+        self.merges = self.model.model
+        self.pieces, self.chunks, self.odd = Recent(limit, self.of_piece), Recent(limit, self.of_chunk), Recent(limit, self.encode)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def parts(self, chunk: str) -> bytes:
-        if not (split := LETTERS_SIGN.fullmatch(chunk)):
-            return self.encode(chunk) if chunk else b""
-        letters, sign = split.groups()
-        return self.letters[letters.lower() if letters.isascii() else letters] + (self.letters[sign] if sign else b"")
+    def of_piece(self, piece: str) -> bytes:
+        if not VISIBLE.fullmatch(piece):
+            return self.encode(piece)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merges.tokenize(piece)])
+
+    def of_chunk(self, chunk: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, PIECE.findall(chunk)))
 
     def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+        if is_plain(text):
+            return b"".join(map(self.chunks.__getitem__, text.lower().replace("\n", " ").split(" ")))
+        return b"".join(self.chunks[c.lower()] if is_plain(c) else self.odd[c] for c in text.replace("\n", " ").split(" "))
 
 
-_ids: dict[tuple, ChunkIds] = {}
+_ids: dict[tuple, TextIds] = {}
 
 
 def document_ids(text: str, path: str, end_id: int, limit: int = 350_000) -> bytes:
     if (path, limit) not in _ids:
-        _ids[path, limit] = ChunkIds(path, limit)
+        _ids[path, limit] = TextIds(path, limit)
     return _ids[path, limit](text) + np.array([end_id], "<u4").tobytes()
 
 
-def deal(rests: list[int], seq_len: int, linear: float, quadratic: float) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Pieces (rest, start in it, length, sequence, offset) and the number of sequences, all of them full."""
-    total = sum(rests)
-    sizes = [seq_len] * (total // seq_len) + [1 << b for b in range(seq_len.bit_length(), -1, -1) if total % seq_len >> b & 1]
-    size, room, cost, pieces = np.array(sizes), np.array(sizes), np.zeros(len(sizes)), []
-
-    def put(rest: int, start: int, length: int, seq: int) -> None:
-        pieces.append((rest, start, length, seq, int(size[seq] - room[seq])))
-        room[seq] -= length
-        cost[seq] += linear * length + quadratic * length * length
+def deal(rests: list[int], sizes: list[int], linear: float, quadratic: float) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]]:
+    """Pieces (rest, start in it, length, sequence, offset) over sequences of these sizes, and what found no room (rest, start, length).
 
+    Equal rests go in their order, equal costs to the first sequence.
+    """
+    size, room, cost, pieces, over = np.array(sizes), np.array(sizes), np.zeros(len(sizes)), [], []
     for rest in sorted(range(len(rests)), key=lambda i: (-rests[i], i)):
         start, left = 0, rests[rest]
         while left:
             fits = room >= left
-            seq = int(np.argmin(np.where(fits, cost, np.inf))) if fits.any() else int(np.argmax(room))
-            length = min(left, int(room[seq]))
-            put(rest, start, length, seq)
+            seq = int(np.argmin(np.where(fits, cost, np.inf))) if fits.any() else int(np.argmax(room)) if len(sizes) else -1
+            length = min(left, int(room[seq])) if seq >= 0 else 0
+            if not length:
+                over.append((rest, start, left))
+                break
+            pieces.append((rest, start, length, seq, int(size[seq] - room[seq])))
+            room[seq] -= length
+            cost[seq] += linear * length + quadratic * length * length
             start, left = start + length, left - length
-    return pieces, len(sizes)
+    return pieces, over
+
+
+def last_sizes(total: int, seq_len: int) -> list[int]:
+    """Full sequences, then one for each set bit of what is left."""
+    return [seq_len] * (total // seq_len) + [1 << b for b in range(seq_len.bit_length(), -1, -1) if total % seq_len >> b & 1]
 
 
 def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int = 1, block_sequences: int = 256, linear: float = 1.0, quadratic: float = 1 / 2048) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (32-bit little-endian), doc_tokens, sequence_id, offset.
 
-    Null and empty texts hold the end id alone. Repeated rows and null ids are packed row by row; an empty table gives no
-    rows; further columns are not read. A task's sequences carry its partition number in the upper 31 bits of sequence_id,
-    so a repeated task makes the same rows.
+    Null and empty texts hold the end id alone. Repeated rows and null ids are packed row by row; ties go by the order of
+    rows; very long texts are cut into full sequences as they come; an empty table gives no rows; further columns are not
+    read. A task's sequences carry its partition number in the upper 31 bits of sequence_id, so a repeated task makes the
+    same rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, used, block, held = TaskContext.get().partitionId() << 32, 0, [], 0
-
-        def emit() -> pa.RecordBatch:
-            nonlocal used
-            rows, rests = [], []
-            for d, (_, ids) in enumerate(block):
-                n = len(ids) // 4
-                for start in range(0, n - n % seq_len, seq_len):
-                    rows.append((d, start, seq_len, used, 0))
-                    used += 1
-                if n % seq_len:
-                    rests.append((d, n - n % seq_len, n % seq_len))
-            pieces, sequences = deal([n for _, _, n in rests], seq_len, linear, quadratic)
-            rows += [(rests[r][0], rests[r][1] + start, n, used + seq, offset) for r, start, n, seq, offset in pieces]
-            used += sequences
-            return pa.RecordBatch.from_pydict({
-                "doc_id": pa.array([block[d][0] for d, *_ in rows], kind), "start": pa.array([r[1] for r in rows], pa.int64()), "length": pa.array([r[2] for r in rows], pa.int64()),
-                "ids": pa.array([block[d][1][4 * s : 4 * (s + n)] for d, s, n, *_ in rows], pa.binary()), "doc_tokens": pa.array([len(block[d][1]) // 4 for d, *_ in rows], pa.int64()),
-                "sequence_id": pa.array([first + r[3] for r in rows], pa.int64()), "offset": pa.array([r[4] for r in rows], pa.int64()),
+        first, used, waiting, held, rows = TaskContext.get().partitionId() << 32, 0, [], 0, []  # waiting: (doc_id, ids, start, length)
+
+        def settle(sizes: list[int]) -> None:
+            nonlocal used, waiting, held
+            pieces, over = deal([w[3] for w in waiting], sizes, linear, quadratic)
+            rows.extend((*waiting[r][:2], waiting[r][2] + start, n, used + seq, offset) for r, start, n, seq, offset in pieces)
+            used += len(sizes)
+            waiting = [(*waiting[r][:2], waiting[r][2] + start, n) for r, start, n in sorted(over)]
+            held = sum(w[3] for w in waiting)
+
+        def made() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_pydict({
+                "doc_id": pa.array([r[0] for r in rows], kind), "start": pa.array([r[2] for r in rows], pa.int64()), "length": pa.array([r[3] for r in rows], pa.int64()),
+                "ids": pa.array([ids[4 * s : 4 * (s + n)] for _, ids, s, n, *_ in rows], pa.binary()), "doc_tokens": pa.array([len(r[1]) // 4 for r in rows], pa.int64()),
+                "sequence_id": pa.array([first + r[4] for r in rows], pa.int64()), "offset": pa.array([r[5] for r in rows], pa.int64()),
             })
+            rows.clear()
+            return batch
 
         for batch in batches:
             kind = batch.column("doc_id").type
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), common.texts(batch)):
-                block.append((doc_id, document_ids(text, tokenizer_path, end_id)))
-                held += len(block[-1][1]) // 4
+                ids = document_ids(text, tokenizer_path, end_id)
+                n = len(ids) // 4
+                for start in range(0, n - n % seq_len, seq_len):
+                    rows.append((doc_id, ids, start, seq_len, used, 0))
+                    used += 1
+                if n % seq_len:
+                    waiting.append((doc_id, ids, n - n % seq_len, n % seq_len))
+                    held += n % seq_len
                 if held >= block_sequences * seq_len:
-                    yield emit()
-                    block, held = [], 0
-        if block:
-            yield emit()
+                    settle([seq_len] * (held // seq_len))
+                    yield made()
+            if rows:
+                yield made()
+        if waiting:
+            settle(last_sizes(held, seq_len))
+            yield made()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA.format(docs.schema["doc_id"].dataType.simpleString()))
 
