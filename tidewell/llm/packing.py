@@ -25,9 +25,12 @@ SCHEMA = "doc_id {}, start long, length long, ids binary, doc_tokens long, seque
 #: The tokenizer's pre-tokens, over lower-cased texts of ASCII and of Latin letters that no normal form changes (without U+0130, whose lower case ends in a mark).
 LETTERS = "\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F"
 PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^ \\t\\n\\x0b\\x0c\\ra-z0-9{LETTERS}]+")
-VISIBLE = re.compile("[!-~]+")
 OTHER = re.compile(f"[^\\x00-\\x7f{LETTERS}]")
 
+#: The byte-level alphabet of the merges: visible Latin-1 stands for its own byte, the other bytes follow from U+0100 on in their order.
+HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+ALPHABET = {b: 256 + n for n, b in enumerate(HIDDEN)}
+
 
 class Recent(dict):
     """A bounded memory: what was used in the last two rounds of `limit` new keys stays, keys of over 64 characters aside. `make` gives the value of a new key."""
@@ -55,7 +58,7 @@ class TextIds:
     """Text -> its ids as little-endian 32-bit bytes, from the chunks between its spaces, and those from their pre-tokens; recent ones are remembered.
 
     No id crosses an edge between pre-tokens, and white space is dropped before the split, so nothing crosses a space. A chunk
-    that isn't plain is encoded whole. The byte-level alphabet keeps visible ASCII, so a pre-token of it goes to the merges as it is.
+    that isn't plain is encoded whole. A pre-token goes to the merges in the byte-level alphabet.
     """
 
     def __init__(self, path: str, limit: int):
@@ -69,9 +72,7 @@ class TextIds:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of_piece(self, piece: str) -> bytes:
-        if not VISIBLE.fullmatch(piece):
-            return self.encode(piece)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.merges.tokenize(piece)])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merges.tokenize(piece.encode().decode("latin-1").translate(ALPHABET))])
 
     def of_chunk(self, chunk: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, PIECE.findall(chunk)))
