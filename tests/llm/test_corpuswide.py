@@ -100,22 +100,47 @@ def test_removed_words_equal_brute_force(spark, edge_docs, edge_rows):
     assert substring_dedup.duplicate_spans(edge_docs.limit(0)).count() == 0
 
 
-def test_block_streams_agree_with_counts():
-    import pyarrow as pa
-    from unittest import mock
-
-    rng = np.random.default_rng(3)
-    for _ in range(50):
-        keys = np.sort(rng.integers(0, 30, 60))
-        table = pa.RecordBatch.from_pydict({"w1": pa.array(keys, pa.int64()), "w2": pa.array(keys % 3, pa.int32()), "row_id": pa.array(np.arange(60), pa.int64()), "start": pa.array(np.arange(60), pa.int32())})
-        cuts = [0, *sorted(rng.choice(60, 4).tolist()), 60]
-        with mock.patch.object(substring_dedup, "TaskContext"):
-            substring_dedup.TaskContext.get().partitionId.return_value = 0
-            out = list(substring_dedup.repeated_in_block((table.slice(a, b - a) for a, b in zip(cuts, cuts[1:])), flush=7))
-        found = sorted(x for b in out[:-1] for x in b.column("start").to_pylist())
-        n = Counter(keys.tolist())
-        assert found == [i for i in range(60) if n[keys[i]] > 1]
-        assert out[-1].column("alone").to_pylist() == [n[keys[0]] == 1, n[keys[-1]] == 1]
+def test_spread_anchors_lose_nothing(spark, edge_docs, edge_rows, monkeypatch):
+    """With every anchor spread over blocks, and stretches of a few words, the result is the same."""
+    want = sorted(map(repr, substring_dedup.duplicate_spans(edge_docs, 13).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()))
+    monkeypatch.setattr(substring_dedup, "HOT", 1)
+    monkeypatch.setattr(substring_dedup, "STRETCH", 7)
+    assert sorted(map(repr, substring_dedup.duplicate_spans(edge_docs, 13).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())) == want
+
+
+def test_factors_are_the_longest_matches_at_their_place(spark):
+    """Every factor equals its reference word for word, and would not go on there; from equal windows all look to the first."""
+    rng, window = np.random.default_rng(21), 13
+    pool = [" ".join(f"p{k}_{rng.integers(60)}" for _ in range(int(rng.integers(20, 70)))) for k in range(6)]
+    make = lambda: " ".join(f"z{rng.integers(10**9)}" for _ in range(int(rng.integers(1, 30))))
+    texts = [" ".join(x for k in rng.choice(6, int(rng.integers(1, 4))) for x in (make(), pool[k][int(rng.integers(0, 40)) :])) for _ in range(60)] + ["loop the " * 50]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = substring_dedup.duplicate_spans(docs, window).collect()
+    split = {r.row_id: words(texts[r.doc_id]) for r in got if r.row_id is not None}
+    places = defaultdict(list)
+    for row, w in sorted(split.items()):
+        for k in range(len(w) - window + 1):
+            places[tuple(w[k : k + window])].append((row, k))
+    assert sum(len(r.spans) for r in got) > 60
+    for r in (r for r in got if r.row_id is not None):
+        w = split[r.row_id]
+        index = {}  # start -> its place in the reference
+        for k in range(len(w) - window + 1):
+            where = places[tuple(w[k : k + window])]
+            if len(where) > 1:
+                index[k] = where[1] if where[0] == (r.row_id, k) else where[0]
+        plain, k = [], 0
+        while k <= len(w) - window:  # greedy: as far as the reference goes on at the place
+            if k not in index:
+                k += 1
+                continue
+            (row, at), n = index[k], 1
+            while index.get(k + n) == (row, at + n):
+                n += 1
+            assert w[k : k + n + window - 1] == split[row][at : at + n + window - 1]
+            plain.append((k, k + n + window - 1, row, at))
+            k += n
+        assert [tuple(s) for s in r.spans] == plain
 
 
 def line_rule(rows, least, docs):

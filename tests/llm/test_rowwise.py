@@ -230,6 +230,8 @@ def test_scan_of_edges(spark, edge_docs, edge_rows):
     words = secret_scans.ranked_words(docs)
     counts = Counter(w for _, t in rows for w in re.findall("[^\\W\\d_]+", re.sub(secret_scans.NAMED, " ", t or "").lower()) if 3 <= len(w) <= 24)
     assert words == [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0].encode())) if n >= 3]
+    few = secret_scans.ranked_words(docs, max_words=len(words) - 1)
+    assert 0 < len(few) < len(words) and few == words[: len(few)] and counts[few[-1]] > counts[words[len(few)]]
     guesser, key = secret_scans.Guesser(words), lambda r: repr(r)
     got = sorted(((r.doc_id, [tuple(s) for s in r.spans]) for r in secret_scans.scan(docs, words).collect()), key=key)
     assert got == sorted(((i, secret_scans.find_secrets(t or "", guesser)) for i, t in rows), key=key) and sum(len(s) for _, s in got) == 4

@@ -211,8 +211,10 @@ def plain_words(text: str) -> list[bytes]:
 def ranked_words(docs: DataFrame, max_words: int = 20_000, min_count: int = 3) -> list[str]:
     """The corpus's most frequent words of 3 to 24 letters, by count, then alphabet; counted over all whole texts.
 
-    Tasks count on their own before the shuffle, so a word that a third of all rows hold is a row a task. At most `max_words`
-    words reach the driver. Null texts have no words; repeated rows count each; an empty table gives no words.
+    Words of one frequency class (a sixteenth of a doubling; up to 16 each count is its own) come in together or not at all, so
+    that ties need no order over all words: the classes from the highest down that hold at most `max_words` together. So no
+    more than these reach the driver, after a count for each class. Tasks count on their own before the shuffle: a word of a
+    third of all rows is a row a task. Null texts have no words; repeated rows count each; an empty table gives no words.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,9 +232,16 @@ def ranked_words(docs: DataFrame, max_words: int = 20_000, min_count: int = 3) -
                 yield made()
         yield made()
 
-    found = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = found.where((F.col("n") >= min_count) & F.length("word").between(3, LONGEST_WORD)).orderBy(F.col("n").desc(), "word").limit(max_words)
-    return [r.word for r in top.collect()]
+    counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = common.durable(counted.where((F.col("n") >= min_count) & F.length("word").between(3, LONGEST_WORD)).withColumn("class", F.floor(F.log2("n") * 16)))
+    taken, least = 0, None
+    for row in sorted(found.groupBy("class").agg(F.count("*").alias("words")).collect(), reverse=True):  # under 1,024 classes
+        taken += row.words
+        if taken > max_words:
+            break
+        least = row["class"]
+    top = found.where(F.col("class") >= least).select("word", "n").collect() if least is not None else []
+    return [r.word for r in sorted(top, key=lambda r: (-r.n, r.word))]
 
 
 _guessers: dict[int, Guesser] = {}

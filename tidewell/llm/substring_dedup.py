@@ -1,29 +1,36 @@
-"""Substring dedup by relative Lempel-Ziv factors against an index of all documents.
-
-The reference is the whole corpus, indexed in blocks: every window of `window` words, under its hash, in range partitions.
-Anchors keep that index small. Of each run of window - GRAM + 1 word grams the smallest hash is an anchor; equal windows hold
-equal anchors, so a window can only occur twice if its anchor does, and only windows with a repeated anchor are indexed.
-Each block is streamed in order of hash and tells which starts in which documents it also has elsewhere. A document is then
-parsed greedily: at a start that the index holds, a factor goes on word by word while its last `window` words are still in
-the index, so the windows across the edge of two factors are looked up like any other. A factor is at least a window long;
-factors are the duplicate spans. A passage that a third of all rows share is spread over blocks by document and place.
+"""Substring dedup by relative Lempel-Ziv factors against indexed blocks of the whole corpus.
+
+Words are looked up as windows of `window` words. Of each run of window - GRAM + 1 word grams the smallest hash is the window's
+anchor; equal windows have equal anchors, so a window can only stand twice if its anchor does, and only those are indexed.
+
+1. Blocks. A window goes to a block by its anchor, so windows side by side mostly meet in one block and travel as one row.
+   Anchors with very many places are spread over blocks by document and stretch. A block is bounded, and is indexed in memory:
+   each distinct window of the block has one place (document, start) in its reference, the first; the first itself has the
+   second. Every document's windows are looked up in their blocks; look-ups that go on at one place leave as one stretch.
+2. A window of a spread anchor that is alone in its block is looked up once more among those of the other blocks.
+3. Parse. A document is factored greedily from the left: a factor begins at the first start that the index holds, and goes on
+   as far as the reference goes on at that place, which is its longest match there. Starts go on being looked up behind a factor's last window,
+   so windows across the edge of two factors are found like any other. Factors are the duplicate spans.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 GRAM = 12
+#: Windows in a block, about; places of an anchor from which it is spread; words of a document that stay together then.
+BLOCK, HOT, STRETCH = 1_000_000, 20_000, 65_536
+KEY = np.dtype([("a", "<u8"), ("b", "<u4")])
 
 
 def sliding(x: np.ndarray, size: int, pick=np.minimum) -> np.ndarray:
@@ -36,128 +43,200 @@ def sliding(x: np.ndarray, size: int, pick=np.minimum) -> np.ndarray:
     return out
 
 
-def grams(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each gram, and of each window the smallest of its grams' hashes."""
-    hashes = common.window_hashes(common.word_hashes(words), min(GRAM, window))
-    return hashes, sliding(hashes, window - min(GRAM, window) + 1)
-
-
-def anchors(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the grams that are smallest in some window."""
-    if len(words) < window:
-        return np.empty(0, np.int32), np.empty(0, np.int64)
-    hashes, least = grams(words, window)
-    size = window - min(GRAM, window) + 1
-    padded = np.concatenate([np.zeros(size - 1, np.uint64), least, np.zeros(size - 1, np.uint64)])
-    at = np.flatnonzero(sliding(padded, size, np.maximum) == hashes)
-    return at.astype(np.int32), hashes[at].view(np.int64)
+class Words:
+    """The words of some texts end to end, with the hashes of their grams; windows lie inside one text."""
+
+    def __init__(self, split: list[list[bytes]], window: int):
+        self.window, self.sizes = window, np.array([len(w) for w in split], np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.hashes = common.word_hashes(list(chain.from_iterable(split)))
+        self.owner = np.repeat(np.arange(len(split)), self.sizes)
+        size = window - min(GRAM, window) + 1
+        self.grams = common.window_hashes(self.hashes, min(GRAM, window))
+        if len(self.hashes) < window:
+            self.inside, self.least = np.empty(0, bool), np.empty(0, np.uint64)
+            return
+        self.inside = self.owner[: len(self.owner) - window + 1] == self.owner[window - 1 :]
+        self.least = np.where(self.inside, sliding(self.grams, size), np.uint64(0))  # of each window its anchor
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the grams that are smallest in some window, in order, and their number in each text."""
+        if not self.inside.any():
+            return np.empty(0, np.int64), np.zeros(len(self.sizes), np.int64)
+        around = np.zeros(len(self.grams) - len(self.least), np.uint64)
+        at = np.flatnonzero(sliding(np.concatenate([around, self.least, around]), len(around) + 1, np.maximum) == self.grams)
+        at = at[self.grams[at] != 0]
+        return self.grams[at].view(np.int64), np.bincount(self.owner[at], minlength=len(self.sizes))
+
+    def keys(self, at: np.ndarray) -> np.ndarray:
+        """95 bits for each window that begins at one of these places."""
+        out = np.empty(len(at), KEY)
+        out["a"] = common.window_hashes(self.hashes, self.window)[at]
+        out["b"] = common.window_hashes(self.hashes, self.window, 0xD1B54A32D192ED03)[at] >> np.uint64(33)
+        return out
+
+
+def parts(sizes: list[int], limit: int = 1 << 21) -> Iterator[slice]:
+    """Slices of about `limit` in all, at least one item each: what is held at a time."""
+    begin, held = 0, 0
+    for i, size in enumerate(sizes):
+        if held and held + size > limit:
+            yield slice(begin, i)
+            begin, held = i, 0
+        held += size + 1
+    if held:
+        yield slice(begin, len(sizes))
 
 
 def digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def factors(starts: list[int], window: int) -> list[tuple[int, int]]:
-    """Greedy factors (start, end) in words from the sorted starts whose windows stand elsewhere; they may overlap at their edges."""
-    out: list[tuple[int, int]] = []
-    for start in starts:
-        if out and start == out[-1][1] - window + 1:  # the factor's last `window` words are in the index again
-            out[-1] = (out[-1][0], start + window)
+def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind))
+
+
+def index_rows(words: Words, row_ids: np.ndarray, repeated: np.ndarray, hot: dict[int, int], blocks: int) -> dict:
+    """Runs of windows with one repeated anchor: block, row_id, start, hot, and the windows' keys as bytes."""
+    at = np.flatnonzero(words.inside & np.isin(words.least, repeated))
+    anchor, rows, starts = words.least[at], row_ids[words.owner[at]], at - words.begin[words.owner[at]]
+    new = np.ones(len(at), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (rows[1:] != rows[:-1]) | (starts[1:] != starts[:-1] + 1) | (starts[1:] % STRETCH == 0)
+    begin = np.flatnonzero(new)
+    anchor, rows, starts = anchor[begin], rows[begin], starts[begin]
+    block, is_hot = (common.mix(anchor) >> np.uint64(33)).astype(np.int64), np.zeros(len(begin), bool)
+    if hot:
+        known = np.array(sorted(hot), np.uint64)
+        place = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
+        is_hot = known[place] == anchor
+        over = np.array([hot[int(k)] for k in known], np.int64)[place]
+        salt = (common.mix((rows * 31 + starts // STRETCH).astype(np.uint64)) >> np.uint64(33)).astype(np.int64)
+        block = np.where(is_hot, block + salt % over, block)
+    offsets = np.append(begin, len(at)) * KEY.itemsize
+    data = words.keys(at).tobytes()
+    keys = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data)])
+    return {"block": pa.array(block % blocks, pa.int32()), "row_id": pa.array(rows, pa.int64()), "start": pa.array(starts, pa.int32()), "hot": pa.array(is_hot), "keys": keys}
+
+
+def stretches(rows: np.ndarray, starts: np.ndarray, ref_rows: np.ndarray, ref_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of look-ups in order of (row, start): where those that go on at one place begin, and how many they are."""
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (starts[1:] != starts[:-1] + 1) | (ref_rows[1:] != ref_rows[:-1]) | (ref_starts[1:] != ref_starts[:-1] + 1)
+    begin = np.flatnonzero(new)
+    return begin, np.diff(np.append(begin, len(rows)))
+
+
+FOUND = "row_id long, start int, n int, ref_row long, ref_start int, a long, b int, alone boolean"
+
+
+def look_up(keys: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For windows in order of (row, start): the size of each one's group of equal windows, and the index of its reference place.
+
+    That is the group's first window, for the first itself the second (itself, where it is alone).
+    """
+    order = np.lexsort((keys["b"], keys["a"]))  # stable: groups stay in order of (row, start)
+    ordered = keys[order]
+    begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    sizes = np.diff(np.append(begin, len(order)))
+    place = np.repeat(order[begin], sizes)
+    place[begin[sizes > 1]] = order[begin[sizes > 1] + 1]
+    group, ref = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    group[order], ref[order] = np.repeat(sizes, sizes), place
+    return group, ref
+
+
+def parse_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All look-ups of one block as stretches; of spread anchors also the windows alone here, and a first place of the others."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    runs = pa.Table.from_batches(held).combine_chunks()
+    rows, starts, hot = (runs.column(name).to_numpy() for name in ("row_id", "start", "hot"))
+    order = np.lexsort((starts, rows))
+    packed = runs.column("keys").take(pa.array(order)).combine_chunks()
+    packed = packed.chunk(0) if isinstance(packed, pa.ChunkedArray) else packed
+    offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    keys = np.frombuffer(packed.buffers()[2], KEY, count=(offsets[-1] - offsets[0]) // KEY.itemsize, offset=int(offsets[0]))
+    counts = np.diff(offsets) // KEY.itemsize
+    rows, hot = np.repeat(rows[order], counts), np.repeat(hot[order], counts)
+    within = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = np.repeat(starts[order], counts) + within
+    group, ref = look_up(keys, rows, starts)
+    at = np.flatnonzero(group > 1)
+    begin, n = stretches(rows[at], starts[at], rows[ref[at]], starts[ref[at]])
+    first = at[begin]
+    none = lambda k, kind: pa.nulls(k, kind)
+    names = [f.split()[0] for f in FOUND.split(", ")]
+    for i in range(0, len(first), 100_000):
+        f, k = first[i : i + 100_000], n[i : i + 100_000]
+        columns = [pa.array(rows[f], pa.int64()), pa.array(starts[f], pa.int32()), pa.array(k, pa.int32()), pa.array(rows[ref[f]], pa.int64()), pa.array(starts[ref[f]], pa.int32()), none(len(f), pa.int64()), none(len(f), pa.int32()), none(len(f), pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, names)
+    firsts = np.zeros(len(rows), bool)
+    firsts[ref[at]] = True  # a group's first (and second) place
+    late = np.flatnonzero(hot & ((group == 1) | firsts))
+    for i in range(0, len(late), 100_000):
+        f = late[i : i + 100_000]
+        columns = [pa.array(rows[f], pa.int64()), pa.array(starts[f], pa.int32()), pa.array(np.ones(len(f), np.int32)), none(len(f), pa.int64()), none(len(f), pa.int32()), pa.array(keys["a"][f].view(np.int64)), pa.array(keys["b"][f].astype(np.int32)), pa.array(group[f] == 1)]
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def across_blocks(found: DataFrame) -> DataFrame:
+    """Look-ups of the windows that are alone in their block, among the same windows of other blocks (a few rows a block and window)."""
+    late = found.where("a is not null").select("a", "b", "alone", F.struct("row_id", "start").alias("at"))
+    groups = late.groupBy("a", "b").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.collect_list(F.when(F.col("alone"), F.col("at"))).alias("alone")).where("low <> high and size(alone) > 0")
+    each = groups.select("low", "high", F.explode("alone").alias("at")).withColumn("ref", F.when(F.col("at") == F.col("low"), F.col("high")).otherwise(F.col("low")))
+    return each.select("at.row_id", "at.start", F.lit(1).alias("n"), F.col("ref.row_id").alias("ref_row"), F.col("ref.start").alias("ref_start"))
+
+
+def factors(found: list[tuple[int, int, int, int]], window: int) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, end, ref_row, ref_start) in words, from stretches of look-ups (start, n, ref_row, ref_start); they may overlap at their edges."""
+    out: list[tuple[int, int, int, int]] = []
+    for start, n, ref_row, ref_start in sorted(found):
+        if out and ref_row == out[-1][2] and start == out[-1][1] - window + 1 and ref_start - start == out[-1][3] - out[-1][0]:  # the reference goes on
+            out[-1] = (out[-1][0], start + n + window - 1, *out[-1][2:])
         else:
-            out.append((start, start + window))
+            out.append((start, start + n + window - 1, ref_row, ref_start))
     return out
 
 
-def keep(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
-    gone = np.zeros(len(words), bool)
-    for start, end in spans:
-        gone[start:end] = True
-    return [w for w, g in zip(words, gone.tolist()) if not g]
-
-
-def key_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
-    """Of each batch of the sorted stream: its keys (w1, w2), whether a row's key is new within it, the batch."""
-    for batch in batches:
-        if batch.num_rows:
-            keys = np.stack([batch.column("w1").to_numpy(), batch.column("w2").to_numpy().astype(np.int64)], 1)
-            yield keys, np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]), batch
-
-
-def plain(ids: np.ndarray, starts: np.ndarray) -> dict:
-    """Columns row_id and start of a block's repeated windows, and the empty columns of an edge."""
-    none = pa.nulls(len(ids), pa.int32())
-    return {"row_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int32()), "part": none, "edge": none, "w1": pa.nulls(len(ids), pa.int64()), "w2": none, "alone": pa.nulls(len(ids), pa.bool_())}
-
-
-def repeated_in_block(batches: Iterator[pa.RecordBatch], flush: int = 100_000) -> Iterator[pa.RecordBatch]:
-    """(row_id, start) of windows that the block has twice or more; then its first and last key with a row, alone if the block has just that one."""
-    ids, starts, n = [], [], 0
-    first, first_rows, held, held_alone = None, 0, None, False
-    for keys, new, batch in key_runs(batches):
-        rows, at = batch.column("row_id").to_numpy(), batch.column("start").to_numpy()
-        begin = np.flatnonzero(new)
-        sizes = np.diff(np.append(begin, len(new)))
-        twice = np.repeat(sizes > 1, sizes)
-        opening = tuple(keys[0].tolist())
-        if held is not None and held[0] == opening:
-            twice[: sizes[0]] = True
-            if held_alone:
-                ids.append(np.array([held[1]]))
-                starts.append(np.array([held[2]]))
-        first = first or (opening, int(rows[0]), int(at[0]))
-        first_rows += int((keys == first[0]).all(1).sum())
-        ids.append(rows[twice])
-        starts.append(at[twice])
-        n += len(ids[-1])
-        held, held_alone = (tuple(keys[-1].tolist()), int(rows[-1]), int(at[-1])), not twice[-1]
-        if n >= flush:
-            yield pa.RecordBatch.from_pydict(plain(np.concatenate(ids), np.concatenate(starts)))
-            ids, starts, n = [], [], 0
-    if held is None:
-        return
-    found = np.concatenate(ids or [np.empty(0, np.int64)])
-    if len(found):
-        yield pa.RecordBatch.from_pydict(plain(found, np.concatenate(starts)))
-    ends = [(first, first_rows == 1), (held, held_alone)]
-    yield pa.RecordBatch.from_pydict({
-        "row_id": pa.array([e[1] for e, _ in ends], pa.int64()), "start": pa.array([e[2] for e, _ in ends], pa.int32()),
-        "part": pa.array([TaskContext.get().partitionId()] * 2, pa.int32()), "edge": pa.array([0, 1], pa.int32()),
-        "w1": pa.array([e[0][0] for e, _ in ends], pa.int64()), "w2": pa.array([e[0][1] for e, _ in ends], pa.int32()), "alone": pa.array([bool(x) for _, x in ends], pa.bool_()),
-    })
-
-
-def repeated_starts(windows: DataFrame) -> DataFrame:
-    """(row_id, start) of the windows whose key (w1, w2) two or more rows have."""
-    order = ["w1", "w2", "row_id", "start"]
-    schema = "row_id long, start int, part int, edge int, w1 long, w2 int, alone boolean"
-    found = common.durable(windows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(repeated_in_block, schema))
-    edges = sorted(found.where("edge is not null").collect(), key=lambda e: (e.part, e.edge))  # two rows a block
-    crossing = {(r.row_id, r.start) for a, b in zip(edges, edges[1:]) if a.part != b.part and (a.w1, a.w2) == (b.w1, b.w2) for r in (a, b) if r.alone}
-    across = windows.sparkSession.createDataFrame(sorted(crossing), "row_id long, start int")
-    return found.where("edge is null").select("row_id", "start").union(across)
+def keep(words: list[bytes], spans: list[tuple]) -> list[bytes]:
+    kept, at = [], 0
+    for start, end, *_ in spans:
+        kept += words[at:start]
+        at = max(at, end)
+    return kept + words[at:]
 
 
 def duplicate_spans(docs: DataFrame, window: int = 35) -> DataFrame:
-    """doc_id, n_words, spans (array of start, end in words), n_removed and kept_sha256 of each row of `docs`.
+    """doc_id, row_id, n_words, spans (start, end, ref_row, ref_start in words), n_removed and kept_sha256 of each row of `docs`.
 
     Words are maximal runs without white space, unchanged. Null and short texts have no span. A row that stands twice is
-    found in the other one. Null ids are allowed; an empty table gives no rows; columns beside doc_id and text are not read.
+    found in the other one; a factor's reference is the row of that row_id, null for rows without repeated anchors. Of equal
+    windows the first in order of row_id and start is the reference, so ties are settled. Very long texts are indexed like
+    others, in stretches. Null ids are allowed; an empty table gives no rows; columns beside doc_id and text are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = common.with_row_key(docs.select("doc_id", "text"), "doc_id", "text")
 
     def first_pass(batch: pa.RecordBatch) -> dict:
-        split = [t.encode().split() for t in common.texts(batch)]
-        found = [anchors(w, window) for w in split]
+        texts = common.texts(batch)
+        hashes, counts, n_words, shas = [], [], [], []
+        for part in parts([len(t) for t in texts]):
+            split = [t.encode().split() for t in texts[part]]
+            found, number = Words(split, window).anchors()
+            hashes.append(found)
+            counts.append(number)
+            n_words += map(len, split)
+            shas += map(digest, split)
         return {name: batch.column(name) for name in ("doc_id", *common.ROW_KEY)} | {
-            "n_words": pa.array(map(len, split), pa.int64()), "sha": pa.array(map(digest, split), pa.string()),
-            "hashes": pa.array([h for _, h in found], pa.list_(pa.int64())),
+            "n_words": pa.array(n_words, pa.int64()), "sha": pa.array(shas, pa.string()), "hashes": lists(np.concatenate(hashes), np.concatenate(counts), pa.int64()),
         }
 
     first = common.durable(common.map_batches(keyed, first_pass, f"doc_id {kind}, _h1 long, _h2 long, n_words long, sha string, hashes array<bigint>"))
-    each = first.select(*common.ROW_KEY, F.explode("hashes").alias("hash"))
-    repeated = common.durable(each.groupBy("hash").count().where("count > 1").select("hash"))
-    flagged = each.join(repeated, "hash").groupBy(*common.ROW_KEY).agg(F.collect_set("hash").alias("hashes"))
+    each = first.select(*common.ROW_KEY, "n_words", F.explode("hashes").alias("hash"))
+    repeated = common.durable(each.groupBy("hash").count().where("count > 1").select("hash", F.when(F.col("count") > HOT, F.ceil(F.col("count") / HOT).cast("int")).alias("salts")))
+    hot = F.collect_set(F.when(F.col("salts").isNotNull(), F.struct("hash", "salts")))
+    flagged = each.join(repeated, "hash").groupBy(*common.ROW_KEY).agg(F.collect_set("hash").alias("hashes"), hot.alias("hot"), F.max("n_words").alias("n_words"))
 
     def packed(batch: pa.RecordBatch) -> dict:
         shorten = zstandard.ZstdCompressor(level=1).compress
@@ -169,42 +248,38 @@ def duplicate_spans(docs: DataFrame, window: int = 35) -> DataFrame:
     base = common.durable(first.drop("hashes"))
     common.discard(first)  # the anchors, the larger part; suspects hold their own
     common.discard(repeated)
+    blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(suspects.agg(F.sum("n_words")).first()[0] or 0) // BLOCK))
 
-    def index(batch: pa.RecordBatch) -> dict:
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        w1, w2, ids, starts = [], [], [], []
-        for row_id, data, hashes in zip(batch.column("row_id").to_pylist(), batch.column("packed"), batch.column("hashes")):
-            words = unpack(data.as_py()).split()
-            _, least = grams(words, window)
-            at = np.flatnonzero(np.isin(least, hashes.values.to_numpy().view(np.uint64)))
-            h = common.word_hashes(words)
-            w1.append(common.window_hashes(h, window)[at].view(np.int64))
-            w2.append((common.window_hashes(h, window, 0xD1B54A32D192ED03)[at] >> np.uint64(33)).astype(np.int32))
-            ids.append(np.full(len(at), row_id, np.int64))
-            starts.append(at.astype(np.int32))
-        return {"w1": np.concatenate(w1), "w2": np.concatenate(w2), "row_id": np.concatenate(ids), "start": np.concatenate(starts)}
-
-    windows = common.map_batches(suspects.select("row_id", "packed", "hashes"), index, "w1 long, w2 int, row_id long, start int")
-    starts = repeated_starts(windows).groupBy("row_id").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+        for batch in batches:
+            for part in parts(batch.column("n_words").to_pylist(), 1 << 18):
+                some = batch.slice(part.start, part.stop - part.start)
+                words = Words([unpack(p.as_py()).split() for p in some.column("packed")], window)
+                hot = {h["hash"] % (1 << 64): h["salts"] for row in some.column("hot").to_pylist() for h in row}
+                yield pa.RecordBatch.from_pydict(index_rows(words, some.column("row_id").to_numpy(), some.column("hashes").flatten().to_numpy().view(np.uint64), hot, blocks))
+
+    windows = suspects.select("row_id", "packed", "hashes", "hot", "n_words").mapInArrow(index, "block int, row_id long, start int, hot boolean, keys binary")
+    found = common.durable(windows.repartitionById(blocks, F.col("block")).drop("block").mapInArrow(parse_block, FOUND))
+    all_found = found.where("a is null").select("row_id", "start", "n", "ref_row", "ref_start").union(across_blocks(found))
+    by_row = all_found.groupBy("row_id").agg(F.collect_list(F.struct("start", "n", "ref_row", "ref_start")).alias("found"))
 
     def parse(batch: pa.RecordBatch) -> dict:
         unpack, out = zstandard.ZstdDecompressor().decompress, {"spans": [], "n_removed": [], "kept": []}
-        for data, at in zip(batch.column("packed"), batch.column("starts").to_pylist()):
-            words, spans = unpack(data.as_py()).split(), factors(at, window)
+        for data, found in zip(batch.column("packed"), batch.column("found").to_pylist()):
+            words, spans = unpack(data.as_py()).split(), factors([tuple(f.values()) for f in found], window)
             kept = keep(words, spans)
-            out["spans"].append([{"start": a, "end": b} for a, b in spans])
+            out["spans"].append([dict(zip(("start", "end", "ref_row", "ref_start"), s)) for s in spans])
             out["n_removed"].append(len(words) - len(kept))
             out["kept"].append(digest(kept))
-        return {name: batch.column(name) for name in common.ROW_KEY} | {
-            "spans": pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-            "n_removed": pa.array(out["n_removed"], pa.int64()), "kept": pa.array(out["kept"], pa.string()),
-        }
-
-    spans_type = "array<struct<start:int,end:int>>"
-    joined = suspects.select("row_id", *common.ROW_KEY, "packed").join(starts, "row_id").drop("row_id")
-    parsed = common.map_batches(joined, parse, f"_h1 long, _h2 long, spans {spans_type}, n_removed long, kept string").dropDuplicates(common.ROW_KEY)  # equal rows have equal spans
-    out = base.join(parsed, common.ROW_KEY, "left")
-    return out.select("doc_id", "n_words", F.coalesce("spans", F.array().cast(spans_type)).alias("spans"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"))
+        kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ref_row", pa.int64()), ("ref_start", pa.int32())]))
+        return {name: batch.column(name) for name in (*common.ROW_KEY, "row_id")} | {"spans": pa.array(out["spans"], kinds), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept": pa.array(out["kept"], pa.string())}
+
+    spans_type = "array<struct<start:int,end:int,ref_row:bigint,ref_start:int>>"
+    joined = suspects.select("row_id", *common.ROW_KEY, "packed").join(by_row, "row_id", "left").withColumn("found", F.coalesce("found", F.array()))
+    parsed = common.map_batches(joined.select("row_id", *common.ROW_KEY, "packed", "found"), parse, f"_h1 long, _h2 long, row_id long, spans {spans_type}, n_removed long, kept string")
+    out = base.join(parsed.dropDuplicates(common.ROW_KEY), common.ROW_KEY, "left")  # equal rows lose the same words
+    return out.select("doc_id", "row_id", "n_words", F.coalesce("spans", F.array().cast(spans_type)).alias("spans"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
