@@ -65,6 +65,13 @@ def test_a_group_of_many_chunks(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(components(rows, 3, 85, 100))
 
 
+def test_large_clusters_are_labelled_like_small_ones(spark, edge_docs, edge_rows, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MANY", 2)
+    monkeypatch.setattr(near_dedup, "CHUNK", 4)
+    got = near_dedup.components(edge_docs, 3, "0.85").collect()
+    assert sorted(map(repr, ((r.doc_id, r.n_shingles, r.component_id) for r in got))) == sorted(map(repr, components(edge_rows, 3, 85, 100)))
+
+
 def test_near_copies_of_nothing(spark, edge_docs):
     assert near_dedup.components(edge_docs.limit(0)).count() == 0
     assert near_dedup.components(edge_docs.where("text is null or trim(text) = ''")).where("not kept").count() == 0
@@ -194,13 +201,19 @@ def test_items_inside_long_documents(spark):
         return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
     want = sorted((i is None, i or 0, j, len(grams(t) & grams(u)), len(grams(u))) for i, t in docs for j, u in items if grams(u) and 10 * len(grams(t) & grams(u)) >= 8 * len(grams(u)))
-    for inline in (decontamination.INLINE, 3):  # both ways to look signatures up
-        keep, decontamination.INLINE = decontamination.INLINE, inline
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for most in (threshold, "-1"):  # signatures broadcast, and shuffled
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
         try:
             got = sorted((r.doc_id is None, r.doc_id or 0, r.item_id, r.n_found, r.n_item) for r in decontamination.contained(docs_df, items_df).collect())
         finally:
-            decontamination.INLINE = keep
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         assert got == want and len(got) >= 6
+    twice = decontamination.contained(docs_df.union(docs_df.where("doc_id = 6")), items_df.union(spark.createDataFrame([(None, items[4][1])], items_df.schema))).where("doc_id = 6")
+    assert sorted(map(repr, (r.item_id for r in twice.collect()))) == ["1", "1", "4", "4", "None", "None"]
+    assert decontamination.clean(docs_df, items_df.limit(0)).count() == len(docs)
+    signed = decontamination.signatures(items_df, 5, 0.8).collect()
+    assert len({r.size_class for r in signed}) >= 4 and all(len(r.signature) > len(r.exact) - r.need and r.signature == sorted(r.signature) for r in signed)
     left = decontamination.clean(docs_df.selectExpr("*", "1 as row", "2 as hit"), items_df)
     assert left.columns == ["doc_id", "text", "row", "hit"] and sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 8]
     assert decontamination.contained(docs_df, items_df.limit(0)).count() == 0 and decontamination.contained(docs_df.limit(0), items_df).count() == 0
@@ -227,6 +240,46 @@ def test_shards_of_one_hot_text_are_even(spark):
 
 
 def test_written_shards(spark, edge_docs, tmp_path):
-    sharding.write(edge_docs, str(tmp_path / "out"), 4)
+    docs = edge_docs.withColumnRenamed("shard", "part")
+    sharding.write(docs, str(tmp_path / "out"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == edge_docs.count() and set(back.columns) == set(edge_docs.columns)
+    assert sorted(map(repr, back.select(docs.columns).collect())) == sorted(map(repr, docs.collect())) and {r.shard for r in back.collect()} <= {0, 1, 2, 3}
+    assert all(len(list(folder.glob("*.parquet"))) == 1 for folder in (tmp_path / "out").glob("shard=*"))
+    with pytest.raises(ValueError):
+        sharding.write(edge_docs, str(tmp_path / "clash"), 4)
+
+
+def test_boundaries_equal_a_sorted_walk(spark):
+    """Against all keys sorted in one list: every boundary is as near to its target as the rule allows, and shards follow from it."""
+    rng = np.random.default_rng(17)
+    rows = [(i, "copy " * 40 if i % 3 == 0 else "x" * int(rng.integers(0, 400))) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = sharding.with_keys(docs).persist()
+    shards, tolerance, group = 8, 0.002, 0.05
+    bounds, n = sharding.splitters(keyed, shards, tolerance, group)
+    keys = sorted(((r._k1 + (1 << 63)) << 64 | r._k2 + (1 << 63), r.size) for r in keyed.collect())
+    total, below = sum(s for _, s in keys), 0
+    edges = [0]
+    for _, s in keys:
+        edges.append(edges[-1] + s)
+    assert n == len(rows) and bounds == sorted(bounds)
+    for j, bound in enumerate(bounds, 1):
+        below = sum(s for k, s in keys if k < bound)
+        least = min(abs(e - total * j / shards) for e in edges)  # nearest place between any two rows
+        assert abs(below - total * j / shards) <= max(least + 1, group * total / shards)
+    assert {r[0] for r in keyed.select(sharding.shard_of(bounds)).distinct().collect()} == set(range(shards))
+    for r in keyed.select("_k1", "_k2", sharding.shard_of(bounds).alias("shard")).collect():
+        assert r.shard == sum(((r._k1 + (1 << 63)) << 64 | r._k2 + (1 << 63)) >= b for b in bounds)
+
+
+def test_equal_texts_stand_side_by_side(spark):
+    rows = [(i, f"text number {i % 700}") for i in range(2100)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), 4, 0.001).collect()
+    shards = defaultdict(set)
+    for r in got:
+        shards[rows[r.doc_id][1]].add(r.shard)
+    assert sum(len(s) > 1 for s in shards.values()) == 0  # groups are small against a hundredth of a shard
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    assert max(sizes.values()) - min(sizes.values()) <= 0.02 * sum(sizes.values()) / 4

@@ -277,6 +277,7 @@ def test_copies_neither_fill_nor_empty_a_sample(spark):
     assert len(parts["hot"]) == len(set(parts["hot"])) == 40 and len(model["hot"]) > 4096
     found = language_id.identify(spark.createDataFrame([(make("nopq", 300), "few"), (make("abcdefg", 300), "hot"), (few[0][:60], "few")], "text string, lang string"), model).collect()
     assert all(r.lang_pred == r.lang for r in found)
+    assert set(language_id.fit(spark.createDataFrame(rows, "text string, lang string"), max_languages=2)) == {"hot", "few"}
     assert {k: len(v) for k, v in language_id.match_lengths({"a": b"x" * 100, "b": b"x" * 60, "c": b"x" * 10}).items()} == {"a": 60, "b": 60, "c": 10}
 
 
@@ -294,6 +295,27 @@ def test_all_of_a_very_long_text_counts():
         assert b"".join(cut) == b"x" * n and all(len(p) <= language_id.PIECE for p in cut)
 
 
+def test_sizes_equal_a_plain_measure(spark, edge_docs, edge_rows):
+    """The choice is that of the smallest sum of added bytes, at every length alike; the edge table is judged row by row."""
+    rng = random.Random(9)
+    parts = {"aa": "abcdefg", "bb": "hijklmn", "cc": "opqrstu"}
+    make = lambda letters, size: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 5))) for _ in range(size // 4 + 1))[:size]
+    model = {lang: make(x, 33_000).encode() for lang, x in parts.items()}
+    found = language_id.Classifier(model)
+    for size in (1, 20, 1000, 1023, 1024, 1025, 5000, 32_767, 32_769, 90_000):
+        for letters in [*parts.values(), "abcdefghijklmnopqrstu"]:
+            text = make(letters, size)
+            data, want = language_id.letters(text), []
+            step = -(-len(data) // -(-len(data) // language_id.PIECE)) if data else 1
+            for own, (compressor, preface, _) in zip((model[k] for k in sorted(model)), found.measures):
+                assert language_id.letters(own.decode()).startswith(preface[:-1])
+                want.append(sum(len(compressor.compress(preface + data[i : i + step])) - len(compressor.compress(preface)) for i in range(0, len(data), step)))
+            assert found.sizes(text) == want and found(text)[0] == sorted(parts)[want.index(min(want))]
+    got = sorted(((r.doc_id, r.lang_pred, r.score) for r in language_id.identify(edge_docs, model).collect()), key=repr)
+    assert got == sorted(((i, *found(t)) for i, t in edge_rows), key=repr)
+    assert language_id.accepted(edge_docs, model).columns == edge_docs.columns and language_id.accepted(edge_docs.limit(0), model).count() == 0
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     got = language_id.op5_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "text"), "doc_id").where("held_out").collect()
@@ -319,6 +341,9 @@ def test_quality_measures_and_line_frequency(spark, edge_docs, edge_rows):
     want = sorted((*key(i), sum(len(norm(x).split(" ")) for x in t.split("\n") if norm(x) and seen[h, norm(x)] > 5)) for i, h, t in hosts)
     assert sorted((*key(r.doc_id), r.n_removed_words) for r in got) == want and any(w[2] for w in want)
     assert quality_rules.judge(edge_docs.limit(0)).count() == 0
+    n_hosts = Counter(h for _, h, _ in hosts)
+    share = sorted((*key(i), sum(len(norm(x).split(" ")) for x in t.split("\n") if norm(x) and seen[h, norm(x)] > max(1, 0.1 * n_hosts[h]))) for i, h, t in hosts)
+    assert sorted((*key(r.doc_id), r.n_removed_words) for r in quality_rules.judge(edge_docs, max_docs=1, max_share=0.1).collect()) == share != want
     assert hashlib.sha256(b"").hexdigest()  # digests are over bytes
 
 

@@ -45,8 +45,12 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir, which driver and executors share; a temporary folder only where that is unset (tests, one machine)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/tidewell-checkpoints"
+    """The session's spark.checkpoint.dir, which driver and executors share; a temporary folder only on one machine (tests)."""
+    if named := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{tempfile.gettempdir()}/tidewell-checkpoints"
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -17,15 +17,15 @@ def connected(edges: DataFrame) -> DataFrame:
     edges, before = common.durable(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
     while True:
         both = edges.union(edges.select("v", "u"))
-        edges = common.durable(hang(both, both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        hung = hang(edges, low)
-        edges = common.durable(hung.select("u", F.col("m").alias("v")).union(hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        up = common.durable(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
+        large = common.durable(both.join(up, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = common.durable(large.groupBy("u").agg(F.min("v").alias("m")))
+        hung = large.join(low, "u")
+        small = common.durable(hung.select("u", F.col("m").alias("v")).union(hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        for past in (edges, up, large, low):
+            common.discard(past)
+        edges = small
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
         before = now
-
-
-def hang(edges: DataFrame, minima: DataFrame) -> DataFrame:
-    return edges.join(common.durable(minima), "u")

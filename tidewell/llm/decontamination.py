@@ -1,13 +1,17 @@
 """Benchmark decontamination, with DataFrame operations alone: short test items inside long documents.
 
 An item is contained in a document if at least `threshold` of its distinct word shingles stand there. Similarity of whole sets
-says nothing about that when the document is long, so the search works per size class of items: the items of a class (sizes
-from 2**c up) are signed with their smallest shingle hashes, as many as the class needs that a document which contains an
-item must hold one of them: of n shingles at most n - ceil(threshold * n) may be missing, one more is signed. Documents
-whose hashes meet a signature, and that have shingles enough for the item, are compared with the item's exact shingles.
+says nothing about that when the document is long, so items are partitioned by size, class c from 2**c shingles up, and each
+class is searched in its own way:
+
+* An item is signed with its smallest shingle hashes, as many as its class needs that a document which contains the item must
+  hold one of them: of n shingles at most n - ceil(threshold * n) may be missing, one more is signed. So no item is missed.
+* A class has a bound, the largest hash of its signatures, and a least size, the fewest shingles that one of its items needs.
+  A document's sketch for the class is its shingle hashes up to the bound; a document below the least size has none.
+* Sketches meet signatures by (class, hash). What meets is compared with the item's exact shingles.
 
 Words are runs of letters and digits in lower case, so marks and white space do not hide a copy. A text of fewer words than
-a shingle has one shingle, all of its words.
+a shingle has one shingle, all of its words: such an item is contained only in a text that has just these words.
 """
 
 from __future__ import annotations
@@ -17,10 +21,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Signatures up to this many hashes are looked up inside each document's row; more are joined by hash.
-INLINE = 20_000
-
-
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
@@ -46,49 +46,61 @@ def strings(text: Column, size: int) -> Column:
 
 
 def signatures(items: DataFrame, size: int, threshold: float) -> DataFrame:
-    """item_id, exact (distinct shingles), need (how many must be found), size_class, signature (smallest hashes)."""
-    several = common.durable(items.where("text is not null").select("item_id", strings(F.col("text"), size).alias("exact"), F.array_sort(F.array_distinct(hashes(F.col("text"), size))).alias("sorted"))).where(F.size("exact") > 0)
+    """item (a key of our own), item_id, exact (distinct shingles), need (how many must be found), size_class, signature (smallest hashes)."""
+    both = items.where("text is not null").select("item_id", strings(F.col("text"), size).alias("exact"), F.array_sort(F.array_distinct(hashes(F.col("text"), size))).alias("sorted"))
+    several = common.durable(both.withColumn("item", F.monotonically_increasing_id())).where(F.size("exact") > 0)
     signed = several.withColumns({"n": F.size("exact"), "need": F.ceil(F.size("exact") * F.lit(threshold) - F.lit(1e-9)).cast("int"), "size_class": F.floor(F.log2(F.size("exact"))).cast("int")})
     most = F.pow(F.lit(2), F.col("size_class") + 1) - 1  # of the class
     take = F.least(F.col("n"), F.greatest(F.col("n") - F.col("need"), F.floor((1 - threshold) * most).cast("int")) + 1)
-    return signed.withColumn("signature", F.slice("sorted", 1, take)).select("item_id", "exact", "need", "size_class", "signature")
+    return signed.withColumn("signature", F.slice("sorted", 1, take)).select("item", "item_id", "exact", "need", "size_class", "signature")
+
+
+def candidates(keyed: DataFrame, signed: DataFrame, size: int) -> DataFrame:
+    """(ROW_KEY, item) of the documents whose sketch for the item's class meets its signature.
+
+    The signatures are a table with a known size, so the join is a broadcast where they are small and a shuffle of (class, hash)
+    where they are not.
+    """
+    by_class = signed.groupBy("size_class").agg(F.max(F.array_max("signature")).alias("bound"), F.min("need").alias("least"))
+    classes = by_class.orderBy("size_class").collect()  # one row for each doubling of an item's size: under 32
+    marks = common.durable(signed.select("size_class", "need", "item", F.explode("signature").alias("hash")))
+
+    def sketch(held: Column, of) -> Column:
+        return F.when(F.size(held) >= of.least, F.filter(held, lambda h: h <= of.bound))
+
+    held = keyed.select(*common.ROW_KEY, hashes(F.col("text"), size).alias("held")).where(F.size("held") >= min((c.least for c in classes), default=0))
+    sketches = held.select(*common.ROW_KEY, F.size("held").alias("n_has"), F.posexplode(F.array(*[sketch(F.col("held"), c) for c in classes] or [F.lit(None).cast("array<bigint>")])).alias("place", "sketch"))
+    at = F.element_at(F.array(*[F.lit(c.size_class) for c in classes] or [F.lit(0)]), F.col("place") + 1)
+    each = sketches.select(*common.ROW_KEY, "n_has", at.alias("size_class"), F.explode("sketch").alias("hash"))
+    return each.join(marks, ["size_class", "hash"]).where("n_has >= need").select(*common.ROW_KEY, "item").distinct()
 
 
 def contained(docs: DataFrame, items: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, item_id, n_found, n_item for each row of `docs` and each item that it contains.
 
     Null texts, texts without a word and items without one are contained in nothing. Rows with repeated ids are compared row
-    by row and give a row each; null ids are kept. Empty tables give no rows; other columns are not read.
+    by row and give a row each, repeated items likewise; null ids are kept on both sides. A share of exactly `threshold` is
+    contained. Very long texts are compared whole. Empty tables give no rows; other columns are not read.
     """
     signed = common.durable(signatures(items, size, threshold))
-    marks = signed.select("item_id", "need", F.explode("signature").alias("hash"))
-    texts = docs.select("doc_id", "text").where(F.length("text") > 0)
-    if signed.agg(F.sum(F.size("signature"))).first()[0] or 0:
-        found = marks.select("hash").distinct().limit(INLINE + 1).collect()  # at most INLINE + 1 numbers
-    else:
-        return texts.where("false").select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("n_found"), F.lit(0).alias("n_item"))
-    held = hashes(F.col("text"), size)
-    if len(found) <= INLINE:
-        wanted = F.lit([r.hash for r in found])
-        hits = texts.withColumn("hit", F.array_intersect(held, wanted)).where(F.size("hit") > 0)
-        near = hits.withColumn("row", F.monotonically_increasing_id())
-    else:
-        keyed = common.with_row_key(texts, "doc_id", "text")
-        hit = keyed.select(*common.ROW_KEY, F.explode(F.array_distinct(held)).alias("hash")).join(marks.select("hash").distinct(), "hash", "left_semi")
-        hit = hit.groupBy(*common.ROW_KEY).agg(F.collect_set("hash").alias("hit"))
-        near = keyed.join(hit, common.ROW_KEY).withColumn("row", F.monotonically_increasing_id())
-    near = common.durable(near.select("row", "doc_id", "hit", strings(F.col("text"), size).alias("has")))
-    pairs = near.select("row", F.size("has").alias("n_has"), F.explode("hit").alias("hash")).join(marks, "hash").where("n_has >= need").select("row", "item_id").distinct()
-    both = near.select("row", "doc_id", "has").join(common.durable(pairs), "row").join(signed.select("item_id", "exact", "need"), "item_id")
+    keyed = common.with_row_key(docs.select("doc_id", "text").where(F.length("text") > 0), "doc_id", "text")
+    pairs = common.durable(candidates(keyed, signed, size))
+    rows = common.durable(pairs.select(*common.ROW_KEY).distinct())
+    near = common.durable(keyed.join(rows, common.ROW_KEY, "left_semi").select(*common.ROW_KEY, "doc_id", strings(F.col("text"), size).alias("has")))
+    both = near.join(pairs, common.ROW_KEY).join(signed.select("item", "item_id", "exact", "need"), "item")
     checked = both.withColumns({"n_found": F.size(F.array_intersect("exact", "has")), "n_item": F.size("exact")}).where("n_found >= need")
     return checked.select("doc_id", "item_id", "n_found", "n_item")
 
 
 def clean(docs: DataFrame, items: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """`docs` without the documents that contain an item; its columns as they were. Rows without an id are judged by their text alone."""
+    """`docs` without the documents that contain an item; its columns as they were.
+
+    Rows are judged by their text alone: null ids and repeated ids do no harm, equal texts stay or go together, null texts stay.
+    Without items, all rows stay; an empty table gives no rows.
+    """
     keyed = common.keyed_rows(docs, "text")
     gone = contained(keyed.select(F.struct(*common.ROW_KEY).alias("doc_id"), "row.text"), items, size, threshold).select("doc_id._h1", "doc_id._h2").distinct()
-    return keyed.join(gone, common.ROW_KEY, "left_anti").select("row.*")
+    return keyed.join(common.durable(gone), common.ROW_KEY, "left_anti").select("row.*")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,7 +94,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     """ROW_KEY, n_dropped and bitmap (zlib, bit set: the line stays, most significant first) of each row that loses lines.
 
     Rows with one doc_id (null included, the smallest) are one document when documents are counted, and equal rows share
-    their ROW_KEY and so their bitmap. Null and empty texts have no long line. An empty table gives no rows, and columns
+    their ROW_KEY and so their bitmap. Null and empty texts have no long line; a very long text is a row for each long line. Of
+    documents that hold a line the largest id keeps it, all its occurrences there. An empty table gives no rows, and columns
     beside doc_id and text are not read.
     """
     order = [F.col("hi"), F.col("lo"), F.col("doc_id").desc_nulls_last(), F.col("_h1"), F.col("_h2"), F.col("position")]

@@ -26,6 +26,8 @@ from .components import connected
 
 BANDS, ROWS, BITS = 30, 5, 512
 CHUNK, CHUNK_SHINGLES, CHUNKS = 128, 2_000_000, 20
+#: Parts that a large cluster's members are dealt in when they learn its chunks; nodes from which a component counts as one of many.
+SALTS, MANY = 32, 1_000
 
 _random = np.random.default_rng(20240229)
 _FACTOR = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -123,7 +125,8 @@ def components(docs: DataFrame, size: int = 5, threshold: str = "0.8") -> DataFr
 
     component_id is the smallest doc_id that links reach, kept whether it is the row's own. Texts without words (null too)
     link with nothing; a row without id has part in its component and is not kept if another has an id, and stands for itself
-    otherwise. Equal rows stay or go together. An empty table gives no rows; columns beside doc_id and text are not read.
+    otherwise. Equal rows stay or go together; of equal texts the smallest id is kept. Very long texts are compared by their whole
+    sets. An empty table gives no rows; columns beside doc_id and text are not read.
     """
     share, kind = Fraction(threshold), docs.schema["doc_id"].dataType.simpleString()
     keyed = common.with_row_key(docs.select("doc_id", "text"), "doc_id", "text")
@@ -168,9 +171,12 @@ def components(docs: DataFrame, size: int = 5, threshold: str = "0.8") -> DataFr
     sets = common.durable(common.map_batches(wanted.join(whole, common.ROW_KEY).drop(*common.ROW_KEY), unpack, "node long, root long, sketch binary, n_shingles long, items binary").dropDuplicates(["node"]))
 
     # groups of two chunks; a cluster has one chunk for CHUNK members or CHUNK_SHINGLES shingles, CHUNKS if that is fewer and they fit
-    sized = common.durable(sets.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total")))
+    sized = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
     chunks = F.greatest(F.least(F.ceil(F.col("n") / CHUNK), F.lit(CHUNKS)), F.ceil(F.col("total") / CHUNK_SHINGLES), F.ceil(F.col("n") / 8192)).cast("int")
-    spread = sets.join(sized.select("root", chunks.alias("chunks")), "root").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    large = common.durable(sized.select("root", chunks.alias("chunks")).where("chunks > 1"))  # of CHUNK members or CHUNK_SHINGLES shingles and more
+    salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = sets.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    spread = spread.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     grouped = spread.select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "sketch", "items")
     flips = most_flips(float(share))
@@ -185,8 +191,13 @@ def components(docs: DataFrame, size: int = 5, threshold: str = "0.8") -> DataFr
 
     linked = common.durable(grouped.groupBy("root", "i", "j").applyInArrow(compare, "u long, v long"))
     roots = common.durable(connected(linked))
-    lows = roots.join(nodes.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("component_id"))
-    found = common.durable(nodes.select("node", *same, "low").join(roots, "node", "left").join(lows, "root", "left").select(*same, F.coalesce("component_id", "low").alias("component_id")))
+    lows = common.durable(roots.join(nodes.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n")))
+    # a component of many nodes is labelled through the short table of such ones; its rows meet nothing in the other join, under keys of their own
+    many = common.durable(lows.where(F.col("n") > MANY).select("root", F.struct("component_id").alias("of_many")))
+    few = lows.where(F.col("n") <= MANY).select(F.col("root").alias("of"), "component_id")
+    parts = roots.join(many, "root", "left").withColumn("of", F.when(F.col("of_many").isNull(), F.col("root")).otherwise(-1 - F.col("node")))
+    labels = parts.join(few, "of", "left").select("node", F.coalesce("of_many.component_id", "component_id").alias("component_id"))
+    found = common.durable(nodes.select("node", *same, "low").join(labels, "node", "left").select(*same, F.coalesce("component_id", "low").alias("component_id")))
     out = signed.select("doc_id", *common.ROW_KEY, *same).join(found, same, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     kept = F.col("component_id").eqNullSafe(F.col("doc_id"))
     return out.select("doc_id", *common.ROW_KEY, "n_shingles", "component_id", kept.alias("kept"))

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from . import common
 
 STEP, WORD = 12, 64
-#: Share of a shard's bytes by which a boundary may miss its target rather than part a group of equal texts.
-GROUP_TOLERANCE = 0.01
 MIN = -(1 << 63)
 
 
@@ -64,7 +62,7 @@ def unsigned(x: int) -> int:
     return x % (1 << 64)
 
 
-def splitters(keyed: DataFrame, shards: int, tolerance: float) -> tuple[list[int], int]:
+def splitters(keyed: DataFrame, shards: int, tolerance: float, group_tolerance: float) -> tuple[list[int], int]:
     """Keys (128 bits, unsigned) at which the shards after the first begin, and the number of rows."""
     total, rows, depth, found = None, 0, 0, {}
     open_: dict[int, tuple[int, int]] = {j: (0, 0) for j in range(1, shards)}  # target -> (interval's prefix, bytes below it)
@@ -80,7 +78,7 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float) -> tuple[list[int
             for p, (size, n) in mine:
                 if low + size >= target or p == mine[-1][0]:
                     edge, error = min(((p, abs(target - low)), (p + 1, abs(low + size - target))), key=lambda x: x[1])
-                    near = tolerance if deeper < WORD else max(tolerance, GROUP_TOLERANCE)
+                    near = tolerance if deeper < WORD else max(tolerance, group_tolerance)
                     if error <= near * total / shards or n == 1 or deeper == 2 * WORD:
                         found[j] = edge << 2 * WORD - deeper
                     else:
@@ -102,15 +100,17 @@ def shard_of(bounds: list[int]) -> Column:
     return out
 
 
-def assign(docs: DataFrame, shards: int = 16, tolerance: float = 0.001, rows_per_run: int = 1_000_000) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 16, tolerance: float = 0.001, group_tolerance: float = 0.01, rows_per_run: int = 1_000_000) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (0 up, without gaps in a shard) of each row.
 
     Null texts count as empty; null and repeated ids and equal rows each get a slot of their own; an empty table gives no
     rows; a table with fewer rows than shards leaves shards empty. Columns beside doc_id and text are not read.
-    A shard's slots run through sub-ranges by the key's second half, so no task holds a shard.
+    A boundary misses its place by `tolerance` of a shard's bytes at most; between texts also by `group_tolerance`, so that a
+    group of equal texts is parted only where that would be exceeded. Ties of keys go by rows of their own; texts of any length
+    are one row each. A shard's slots run through sub-ranges by the key's second half, so no task holds a shard.
     """
     keyed = common.durable(with_keys(docs.select("doc_id", "text")).drop("text"))
-    bounds, rows = splitters(keyed, shards, tolerance)
+    bounds, rows = splitters(keyed, shards, tolerance, group_tolerance)
     runs = max(64, -(-rows // (shards * rows_per_run)))
     placed = keyed.withColumns({"shard": shard_of(bounds), "_run": F.pmod("_k2", F.lit(runs)).cast("int")})
     before = Window.partitionBy("shard").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
@@ -121,12 +121,18 @@ def assign(docs: DataFrame, shards: int = 16, tolerance: float = 0.001, rows_per
     return numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("at") - 1).alias("slot"))
 
 
-def write(docs: DataFrame, path: str, shards: int = 16, tolerance: float = 0.001) -> None:
-    """Whole rows as Parquet under path/shard=N, by the same boundaries; one exchange."""
-    bounds, _ = splitters(common.durable(with_keys(docs.select("doc_id", "text")).drop("text")), shards, tolerance)
-    rest = docs.drop("shard")  # replaced
-    placed = with_keys(rest.select(F.struct("*").alias("row"), "doc_id", "text")).withColumns({"shard": shard_of(bounds), "_run": F.pmod("_k2", F.lit(64))})
-    placed.repartition("shard", "_run").select("row.*", "shard").write.partitionBy("shard").parquet(path)
+def write(docs: DataFrame, path: str, shards: int = 16, tolerance: float = 0.001, group_tolerance: float = 0.01, rows_per_file: int = 1_000_000) -> None:
+    """Whole rows as Parquet under path/shard=N, by the same boundaries; one exchange, and about `rows_per_file` rows a file.
+
+    All columns are written as they are, nulls and repeated rows too; a column `shard` of the caller would clash with the
+    folders' and is an error. An empty table writes no shard.
+    """
+    if "shard" in docs.columns:
+        raise ValueError("the rows have a column `shard`, which the folders need")
+    bounds, rows = splitters(common.durable(with_keys(docs.select("doc_id", "text")).drop("text")), shards, tolerance, group_tolerance)
+    files = max(1, -(-rows // (shards * rows_per_file)))
+    placed = with_keys(docs.select(F.struct("*").alias("row"), "doc_id", "text")).withColumns({"shard": shard_of(bounds), "_run": F.pmod("_k2", F.lit(files))})
+    placed.repartition(shards * files, "shard", "_run").select("row.*", "shard").write.partitionBy("shard").parquet(path)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

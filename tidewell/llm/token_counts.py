@@ -82,7 +82,7 @@ def lengths(path: str, frequent: list[tuple[str, int]], limit: int) -> Lengths:
 
 
 def frequent_lengths(docs: DataFrame, path: str, table_size: int, sample_rows: int) -> list[tuple[str, int]]:
-    """The most frequent pre-tokens of the first `sample_rows` rows of one partition: one task, at most `table_size` rows."""
+    """The most frequent pre-tokens of the first `sample_rows` rows of the first partition: one task, which returns one row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, counts, table = 0, Counter(), Lengths(path, [], 0)
@@ -96,10 +96,10 @@ def frequent_lengths(docs: DataFrame, path: str, table_size: int, sample_rows: i
             if seen >= sample_rows:
                 break
         top = [k for k, n in counts.most_common(table_size) if n > 1 and len(k) <= 64]
-        if top:
-            yield pa.RecordBatch.from_pydict({"key": top, "length": pa.array([table[k] for k in top], pa.int32())})
+        yield pa.RecordBatch.from_pydict({"keys": pa.array([top], pa.list_(pa.string())), "lengths": pa.array([[table[k] for k in top]], pa.list_(pa.int32()))})
 
-    return [(r.key, r.length) for r in docs.select("text").mapInArrow(sketch, "key string, length int").take(table_size)]
+    found = docs.select("text").mapInArrow(sketch, "keys array<string>, lengths array<int>").take(1)
+    return list(zip(found[0]["keys"], found[0]["lengths"])) if found else []
 
 
 def count_tokens(docs: DataFrame, model_path: str, table_size: int = 30_000, sample_rows: int = 2_000, cache_limit: int = 400_000) -> DataFrame:
