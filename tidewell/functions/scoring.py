@@ -21,21 +21,30 @@ def openings(pattern: str) -> list[str]:
     return out if min(map(len, out)) >= 2 else []
 
 
-def matches(text: str, pattern: str) -> str:
-    """SQL of a match in a text that is already in lower case; word edges are ASCII, whatever letters stand beside them.
+def over_hits(text: str, patterns: list[str], body: str) -> str:
+    """SQL of `body` over h, the array of which patterns a text matches; the text is in lower case, word edges are ASCII.
 
-    Plain searches for the alternatives' openings come first: they are many times cheaper than the expression, and most
-    texts hold none of them. Terms are SQL text, as one parse is much quicker than hundreds of column calls.
+    Patterns are one literal array that a lambda walks, so the plan stays small however many there are, and the text is bound
+    once. Plain searches for a pattern's openings come first: they are many times cheaper, and most texts hold none of them.
     """
-    opening = re.sub(r"\\b(?=[(\w])", "(?<![a-z0-9_])", pattern)
-    edges = re.sub(r"\\b", "(?![a-z0-9_])", opening)
-    found = f"rlike({text}, r'{edges}')"
-    plain = openings(pattern)
-    return f"(({' or '.join(f'contains({text}, {x!r})' for x in plain)}) and {found})" if plain else found
+
+    def rule(pattern: str) -> str:
+        opening = re.sub(r"\\b(?=[(\w])", "(?<![a-z0-9_])", pattern)
+        edges = re.sub(r"\\b", "(?![a-z0-9_])", opening)
+        return f"named_struct('p', r'{edges}', 'o', cast(array({', '.join(map(repr, openings(pattern)))}) as array<string>))"
+
+    rules = "array(" + ", ".join(map(rule, patterns)) + ")"
+    hits = f"transform(array({text}), t -> transform({rules}, x -> (size(x.o) = 0 or exists(x.o, o -> contains(t, o))) and rlike(t, x.p)))"
+    return f"element_at(transform({hits}, h -> {body}), 1)"
+
+
+def matches(text: str, pattern: str) -> str:
+    """SQL of a match."""
+    return over_hits(text, [pattern], "h[0]")
 
 
 def weights(text: str, lexicon: list[tuple[str, int]]) -> str:
-    return "(" + " + ".join(f"if({matches(text, p)}, {w}, 0)" for p, w in lexicon) + ")"
+    return over_hits(text, [p for p, _ in lexicon], " + ".join(f"if(h[{i}], {w}, 0)" for i, (_, w) in enumerate(lexicon)))
 
 
 def weighted(text: str, lexicon: list[tuple[str, int]]) -> Column:
@@ -86,13 +95,14 @@ def catalyst(text: str) -> Column:
         return "cast(null as string)" if x is None else str(x) if isinstance(x, int) else '"' + x + '"'
 
     def rule(i: int, pattern: str, macro: int, volatility: int, duration: int, category: str, bias: str | None, cancelling: list[str]) -> str:
-        return f"if({matches(text, pattern)}, named_struct('rank', {-i}, 'macro', {macro}, 'volatility', {volatility}, 'duration', {duration}, 'category', {literal(category)}, 'bias', {literal(bias)}, 'cancelling', array({', '.join(map(literal, cancelling))})), null)"
+        return f"if(h[{i}], named_struct('rank', {-i}, 'macro', {macro}, 'volatility', {volatility}, 'duration', {duration}, 'category', {literal(category)}, 'bias', {literal(bias)}, 'cancelling', array({', '.join(map(literal, cancelling))})), null)"
 
     macro, volatility, duration, category, _, _ = V.DEFAULT_CATALYST
     found = "array_compact(array(" + ", ".join(rule(i, *r) for i, r in enumerate(V.CATALYSTS)) + "))"
-    return F.expr(f"""element_at(transform(array({found}), a -> named_struct('macro', coalesce(array_max(a.macro), {macro}), 'volatility', coalesce(array_max(a.volatility), {volatility}), 'duration', coalesce(array_max(a.duration), {duration}),
+    merged = f"""transform(array({found}), a -> named_struct('macro', coalesce(array_max(a.macro), {macro}), 'volatility', coalesce(array_max(a.volatility), {volatility}), 'duration', coalesce(array_max(a.duration), {duration}),
         'category', coalesce(array_max(transform(a, r -> named_struct('macro', r.macro, 'rank', r.rank, 'category', r.category))).category, {literal(category)}), 'bias', get(array_compact(a.bias), 0),
-        'cancelling', array_distinct(flatten(a.cancelling)), 'known', size(a) > 0)), 1)""")
+        'cancelling', array_distinct(flatten(a.cancelling)), 'known', size(a) > 0))[0]"""
+    return F.expr(over_hits(text, [r[0] for r in V.CATALYSTS], merged))
 
 
 def surprise(text: str) -> Column:
@@ -115,7 +125,7 @@ def direction(text: str, bias: Column) -> Column:
 
 
 def region(text: str) -> Column:
-    return F.expr("case " + " ".join(f"when {matches(text, p)} then '{name}'" for p, name in V.REGIONS) + " else 'GLOBAL' end")
+    return F.expr(over_hits(text, [p for p, _ in V.REGIONS], "case " + " ".join(f"when h[{i}] then '{name}'" for i, (_, name) in enumerate(V.REGIONS)) + " else 'GLOBAL' end"))
 
 
 def relevance(text: str) -> Column:

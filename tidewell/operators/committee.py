@@ -113,3 +113,27 @@ def coerce_replies(replies: DataFrame) -> DataFrame:
         F.when(bias.isin(V.DOMAINS["direction"]), bias).otherwise("neutral").alias("overall_bias"), j.market_regime.alias("market_regime"), F.coalesce(j.reasoning, F.lit("")).alias("reasoning"),
         *[F.coalesce(j[n], F.array().cast("array<string>")).alias(n) for n in ("missing_data", "rejection_reasons")],
         *[F.coalesce(j[n], F.array().cast("array<double>")).alias(n) for n in ("key_supports", "key_resistances")])
+
+
+def confidence_cap_policy(unavailable: Column, missing: Column, stale: Column, contradictions: Column) -> Column:
+    """The cap of a confidence: by missing inputs, less a tenth for stale data and for contradictions each; no data at all leaves a fifth."""
+    by_missing = F.when(missing == 0, 0.90).when(missing == 1, 0.70).when(missing == 2, 0.50).otherwise(0.30)
+    return F.when(unavailable, 0.20).otherwise(F.round(F.greatest(F.lit(0.20), by_missing - F.when(stale, 0.10).otherwise(0.0) - F.when(contradictions, 0.10).otherwise(0.0)), 2))
+
+
+def backfilled_verdict(context: Column) -> Column:
+    """The verdict that an older row's JSON context holds, null if it is none of the domain's."""
+    verdict = F.get_json_object(context, "$.verdict")
+    return F.when(verdict.isin(V.DOMAINS["risk_verdict"]), verdict)
+
+
+def scorecard(outcomes: DataFrame, *keys: str) -> DataFrame:
+    """accuracy, brier_score, calibration (mean probability less mean outcome) and sample_size by `keys`, of (p, y)."""
+    p, y = F.col("p").cast("double"), F.col("y").cast("double")
+    return outcomes.groupBy(*keys).agg(F.avg(y).alias("accuracy"), F.avg(F.pow(p - y, 2)).alias("brier_score"), (F.avg(p) - F.avg(y)).alias("calibration"), F.count("*").alias("sample_size"))
+
+
+def drift_alerts(cards: DataFrame, previous: DataFrame, key: str, limit: float = 0.1) -> DataFrame:
+    """Keys whose accuracy fell by more than `limit` against the card before, as model_drift alerts."""
+    both = cards.select(key, "accuracy").join(previous.select(key, F.col("accuracy").alias("before")), key)
+    return both.where(F.col("before") - F.col("accuracy") > limit).select(key, (F.col("accuracy") - F.col("before")).alias("drift"), F.lit("model_drift").alias("alert_type"))

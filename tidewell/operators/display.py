@@ -9,9 +9,18 @@ from ..functions import values as V
 
 
 def changes(ticks: DataFrame) -> DataFrame:
-    """Adds previous, change and the session's first price by symbol, in order of time and id."""
-    by = Window.partitionBy("symbol").orderBy("ts", "id")
-    out = ticks.withColumns({"previous": F.lag("value").over(by), "session_open": F.first("value").over(by)})
+    """Adds previous, change and the session's first price by symbol, in order of time and id.
+
+    Rows are windowed by symbol and day, so a busy symbol is many tasks; each day's first and last value are carried over from a
+    table of one row a symbol and day.
+    """
+    day, at = F.coalesce(F.col("ts").cast("date"), F.lit("0001-01-01").cast("date")), F.struct("ts", "id")
+    dated = ticks.withColumns({"_symbol": F.coalesce("symbol", F.lit("")), "_day": day})
+    by, days = Window.partitionBy("_symbol", "_day").orderBy("ts", "id"), Window.partitionBy("_symbol").orderBy("_day")
+    daily = dated.groupBy("_symbol", "_day").agg(F.min_by("value", at).alias("_first"), F.max_by("value", at).alias("_last"))
+    daily = daily.select("_symbol", "_day", F.lag("_last").over(days).alias("_before"), F.first("_first").over(days).alias("session_open"))
+    own = dated.withColumns({"_n": F.row_number().over(by), "_lag": F.lag("value").over(by)}).join(daily, ["_symbol", "_day"])
+    out = own.withColumn("previous", F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_lag"))).drop("_symbol", "_day", "_n", "_lag", "_before")
     return out.withColumns({"change": F.col("value") - F.col("previous"), "session_change": F.col("value") - F.col("session_open")})
 
 

@@ -37,6 +37,56 @@ def reclaim_stale(runs: DataFrame, as_of: Column, minutes: int = 15) -> DataFram
     })
 
 
+def open_run(runs: DataFrame, run_id: str, engine: str, trigger: str, as_of: Column) -> DataFrame:
+    """The row to append for a new run of the engine; none while another one of it runs, so one of several attempts wins where one driver asks."""
+    busy = runs.where((F.col("engine") == engine) & (F.col("status") == "running")).select(F.lit(1).alias("busy")).limit(1)
+    new = runs.sparkSession.range(1).select(F.lit(run_id).alias("id"), F.lit(engine).alias("engine"), F.lit(trigger).alias("trigger_type"), F.lit("running").alias("status"), as_of.alias("started_at"))
+    return new.join(busy, how="left_anti")
+
+
+def close_runs(runs: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
+    """runs with status, duration and counters of the results (id, final, fetched, persisted); only running ones are closed, once."""
+    joined = runs.join(results, "id", "left")
+    closes = (F.col("status") == "running") & F.col("final").isNotNull()
+    seconds = F.unix_micros(as_of) / 1e6 - F.unix_micros(F.col("started_at").cast("timestamp")) / 1e6
+    return joined.withColumns({
+        "finished_at": F.when(closes, as_of), "duration_ms": F.when(closes, F.round(F.greatest(F.lit(0.0), seconds) * 1000).cast("long")),
+        "fetched": F.when(closes, F.coalesce("fetched", F.lit(0))), "persisted": F.when(closes, F.coalesce("persisted", F.lit(0))), "status": F.when(closes, F.col("final")).otherwise(F.col("status")),
+    }).drop("final")
+
+
+def close_events(events: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
+    """events with the outcome of (event_id, outcome, analysis_id); PROCESSED needs an analysis and is FAILED without one, closed events stay."""
+    done = results.withColumn("outcome", F.when((F.col("outcome") == "PROCESSED") & F.col("analysis_id").isNull(), "FAILED").otherwise(F.col("outcome")))
+    joined = events.join(done, "event_id", "left")
+    closes = (F.col("status") == "RUNNING") & F.col("outcome").isNotNull()
+    return joined.withColumns({"finished_at": F.when(closes, as_of), "analysis_id": F.when(closes, F.col("analysis_id")), "status": F.when(closes, F.col("outcome")).otherwise(F.col("status"))}).drop("outcome")
+
+
+def inserted_scored(inserted: DataFrame, scored: DataFrame) -> DataFrame:
+    """The scored rows of the ids that an insert took, by id alone; formatted times or titles are no keys."""
+    return scored.join(inserted.select("id").distinct(), "id", "left_semi")
+
+
+def unclaimed(events: DataFrame, claimed: DataFrame) -> DataFrame:
+    """Events to claim: one an id, those aside that the ledger has."""
+    return insert_ignore(events, claimed, ["event_id"], F.col("at"))
+
+
+def touch(changed: DataFrame, before: DataFrame, key: str, as_of: Column) -> DataFrame:
+    """`changed` with updated_at: now where any column differs from the row before, else as it was."""
+    columns = [c for c in before.columns if c not in (key, "updated_at")]
+    old = before.select(F.col(key), F.struct(*columns).alias("_old"), F.col("updated_at").alias("_was"))
+    new = changed.drop("updated_at").join(old, key, "left")
+    return new.withColumn("updated_at", F.when(F.struct(*columns).eqNullSafe(F.col("_old")), F.col("_was")).otherwise(as_of)).drop("_old", "_was")
+
+
+def touched(before: DataFrame, after: DataFrame, key: str, column: str) -> DataFrame:
+    """One row: how many rows of `after` differ from `before` in the column."""
+    both = before.select(key, F.col(column).alias("_b")).join(after.select(key, F.col(column).alias("_a")), key)
+    return both.agg(F.count_if(~F.col("_b").eqNullSafe(F.col("_a"))).alias("n"))
+
+
 def may_start(runs: DataFrame, engine: str) -> bool:
     """True unless the engine has a running run (reclaim stale ones first). One driver must ask: files have no unique index."""
     return runs.where((F.col("engine") == engine) & (F.col("status") == "running")).isEmpty()

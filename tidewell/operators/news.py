@@ -13,22 +13,29 @@ def registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(V.SOURCES, "code string, source_domain string, reliability double").where("source_domain is not null")
 
 
-def resolve_source(articles: DataFrame, sources: DataFrame) -> DataFrame:
+def resolve_source(articles: DataFrame, sources: DataFrame, most: int = 1_000) -> DataFrame:
     """Adds source and reliability: the registry row of `domain`, else of its longest registered parent of two labels or more, else the fallback.
 
-    The registry is looked up as one literal map (a few dozen rows), so no join and no shuffle.
+    The registry is looked up as one literal map, so no join and no shuffle; it may have `most` rows, more are an error.
     """
-    entries = ", ".join(f"'{r.source_domain}', named_struct('code', '{r.code}', 'reliability', {r.reliability}D)" for r in sources.collect())
-    hit = F.expr(f"""get(array_compact(transform(sequence(1, greatest(size(split(lower(domain), '[.]')) - 1, 1)),
-        i -> try_element_at(map({entries}), array_join(slice(split(lower(domain), '[.]'), i, 1000), '.')))), 0)""")
+    rows = sources.select("source_domain", "code", "reliability").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the registry has more than {most} publishers")
+    entries = [x for r in rows for x in (F.lit(r.source_domain), F.struct(F.lit(r.code).alias("code"), F.lit(r.reliability).alias("reliability")))]
+    known, labels = F.create_map(*entries), F.split(F.lower("domain"), "[.]")
+    parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hit = F.get(F.array_compact(F.transform(parents, lambda d: F.try_element_at(known, d))), F.lit(0)) if rows else F.lit(None).cast("struct<code:string,reliability:double>")
     return articles.withColumn("_hit", hit).withColumns(
         {"source": F.coalesce("_hit.code", F.lit(V.FALLBACK[0])), "reliability": F.coalesce("_hit.reliability", F.lit(V.FALLBACK[1]))}
     ).drop("_hit")
 
 
 def best_of_duplicates(articles: DataFrame, shortest: int = 8) -> DataFrame:
-    """Of articles with one key (`dedup_key`) the most reliable, a body counting ten; the earliest on ties. Short keys go."""
-    order = Window.partitionBy("dedup_key").orderBy((F.col("reliability") + F.when(F.col("has_body"), 10).otherwise(0)).desc(), F.col("ordinal"))
+    """Of articles with one key (`dedup_key`) the most reliable, a body counting ten; the earliest on ties. Short keys go.
+
+    Rows are grouped by 128 bits of the key's hash, not by the key, which may be a whole text; each task sends a group's best row only.
+    """
+    order = Window.partitionBy(F.xxhash64("dedup_key"), F.xxhash64(F.lit("2"), "dedup_key")).orderBy((F.col("reliability") + F.when(F.col("has_body"), 10).otherwise(0)).desc(), F.col("ordinal"))
     return articles.where(F.length("dedup_key") >= shortest).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 

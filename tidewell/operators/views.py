@@ -55,3 +55,8 @@ def class_distribution(news: DataFrame) -> DataFrame:
 
 def repeated(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def recent(df: DataFrame, time: str, key: str, limit: int = 25) -> DataFrame:
+    """The newest rows of a listing, ties by key; `limit` is the listing's length."""
+    return df.orderBy(F.col(time).desc(), F.col(key).desc()).limit(limit)

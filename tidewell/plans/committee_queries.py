@@ -124,8 +124,7 @@ def agent_replies(spark, sf_dir):
 
 def verdict_backfill(spark, sf_dir):
     j = S.read(spark, sf_dir, "events").selectExpr("event_id", """case event_id % 3 when 0 then '{"verdict":"REJECTED"}' when 1 then '{"verdict":"odd"}' else '{}' end as ctx""")
-    v = F.get_json_object("ctx", "$.verdict")
-    return j.select("event_id", F.when(v.isin(V.DOMAINS["risk_verdict"]), v).alias("risk_verdict"))
+    return j.select("event_id", committee.backfilled_verdict(F.col("ctx")).alias("risk_verdict"))
 
 
 def severity_order(spark, sf_dir):
@@ -136,18 +135,29 @@ def severity_order(spark, sf_dir):
 
 def scorecard_ext(spark, sf_dir):
     p = S.read(spark, sf_dir, "lineitem").selectExpr("l_linestatus as horizon", "l_discount * 10 as p", "case when l_returnflag = 'A' then 1.0 else 0.0 end as y")
-    return p.groupBy("horizon").agg(F.round(F.avg(F.col("y").cast("double")), 6).alias("accuracy"), F.round(F.avg(F.pow(F.col("p") - F.col("y").cast("double"), 2)), 6).alias("brier"), F.count("*").alias("sample_size"))
+    return committee.scorecard(p, "horizon").select("horizon", F.round("accuracy", 6).alias("accuracy"), F.round("brier_score", 6).alias("brier"), "sample_size")
+
+
+def calibration_ext(spark, sf_dir):
+    p = S.read(spark, sf_dir, "lineitem").selectExpr("l_linestatus as horizon", "l_linenumber % 7 as part", "l_discount * 10 as p", "case when l_returnflag = 'A' then 1.0 else 0.0 end as y")
+    return committee.scorecard(p, "horizon", "part").select("horizon", "part", F.round("calibration", 6).alias("calibration"), "sample_size")
+
+
+def drift_ext(spark, sf_dir):
+    p = S.read(spark, sf_dir, "events").selectExpr("user_id", "event_id % 2 as half", "0.5 as p", "case when value > 40 then 1.0 else 0.0 end as y")
+    now, before = (committee.scorecard(p.where(F.col("half") == h), "user_id") for h in (0, 1))
+    return committee.drift_alerts(now, before, "user_id").select("user_id", F.round("drift", 6).alias("drift"), "alert_type")
 
 
 def cap_policy_ext(spark, sf_dir):
     missing = (F.col("event_id") % 6).cast("int")
-    cap = F.when(F.col("value") < 1, 0.20).when(missing == 0, 0.90).when(missing == 1, 0.70).when(missing == 2, 0.50).otherwise(0.30)
+    cap = committee.confidence_cap_policy(F.col("value") < 1, missing, F.col("event_id") % 8 == 0, F.col("event_id") % 9 == 0)
     return S.read(spark, sf_dir, "events").select("event_id", cap.alias("cap"))
 
 
 QUERIES = {f.__name__: f for f in (
     risk_reward, scenario_validation, output_validation, blocked_analyses, largest_remainder, scoped_budget, confidence_cap, event_validation, scope_resolution, bridge_weights, probability_sum_check, legacy_tradable, displayable,
-    ai_latest, ai_latest_then_filter, agent_replies, verdict_backfill, severity_order, scorecard_ext, cap_policy_ext,
+    ai_latest, ai_latest_then_filter, agent_replies, verdict_backfill, severity_order, scorecard_ext, cap_policy_ext, calibration_ext, drift_ext,
 )}
 
 _S = f"s AS ({SCENARIOS.format(text='varchar')})"
@@ -206,5 +216,9 @@ CAST(CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END AS int) AS n_missing, CAST(CAS
 SELECT event_id, severity, CAST(row_number() OVER (PARTITION BY event_id % 100 ORDER BY o DESC, event_id) AS int) AS rank FROM a QUALIFY rank <= 3""",
     "scorecard_ext": """WITH p AS (SELECT l_linestatus AS horizon, l_discount * 10 AS p, CASE WHEN l_returnflag = 'A' THEN 1.0 ELSE 0.0 END AS y FROM lineitem)
 SELECT horizon, round(avg(CAST(y AS double)), 6) AS accuracy, round(avg((p - CAST(y AS double)) * (p - CAST(y AS double))), 6) AS brier, count(*) AS sample_size FROM p GROUP BY 1""",
-    "cap_policy_ext": "SELECT event_id, CAST(CASE WHEN value < 1 THEN 0.2 WHEN event_id % 6 = 0 THEN 0.9 WHEN event_id % 6 = 1 THEN 0.7 WHEN event_id % 6 = 2 THEN 0.5 ELSE 0.3 END AS double) AS cap FROM events",
+    "cap_policy_ext": """SELECT event_id, CASE WHEN value < 1 THEN 0.2::double ELSE round(greatest(0.2::double, CASE event_id % 6 WHEN 0 THEN 0.9::double WHEN 1 THEN 0.7 WHEN 2 THEN 0.5 ELSE 0.3 END
+  - CASE WHEN event_id % 8 = 0 THEN 0.1 ELSE 0 END - CASE WHEN event_id % 9 = 0 THEN 0.1 ELSE 0 END), 2) END AS cap FROM events""",
+    "calibration_ext": """SELECT l_linestatus AS horizon, l_linenumber % 7 AS part, round(avg(l_discount * 10) - avg(CASE WHEN l_returnflag = 'A' THEN 1.0::double ELSE 0 END), 6) AS calibration, count(*) AS sample_size FROM lineitem GROUP BY 1, 2""",
+    "drift_ext": """WITH a AS (SELECT user_id, event_id % 2 AS half, avg(CASE WHEN value > 40 THEN 1.0::double ELSE 0 END) AS acc FROM events GROUP BY 1, 2)
+SELECT n.user_id, round(n.acc - b.acc, 6) AS drift, 'model_drift' AS alert_type FROM a n JOIN a b ON b.user_id = n.user_id AND n.half = 0 AND b.half = 1 WHERE b.acc - n.acc > 0.1::double""",
 }

@@ -48,6 +48,75 @@ def insert_ignore(spark, sf_dir):
     return ledger.insert_ignore(ev.where("event_id % 2 = 0"), ev.where("event_id % 2 = 1 and event_id < 4000"), key, F.col("event_id")).select("event_id", *key)
 
 
+def _runs(spark, sf_dir):
+    return S.read(spark, sf_dir, "events").selectExpr("event_id as id", "event_type as engine", "ts as started_at", "case when event_id % 10 = 0 then 'running' else 'success' end as status")
+
+
+def run_open(spark, sf_dir):
+    """Four attempts: engines with a running run are refused, a new one is not, nor an engine whose runs are all closed."""
+    runs = _runs(spark, sf_dir).where("engine <> 'view' or status <> 'running'")
+    tried = [ledger.open_run(runs, f"new-{e}", e, "cron", S.as_of()) for e in ("click", "view", "purchase", "never-seen")]
+    return tried[0].union(tried[1]).union(tried[2]).union(tried[3]).select("id", "engine", "status")
+
+
+def run_close(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    results = runs.where("id % 4 = 0").selectExpr("id", "case when id % 8 = 0 then 'partial' else 'failed' end as final", "id % 7 as fetched", "cast(null as bigint) as persisted")
+    done = ledger.close_runs(runs, results, F.expr("TIMESTAMP '2024-03-01 00:00:00'"))
+    return done.select("id", "status", F.col("duration_ms").cast("double").alias("duration_ms"), "fetched", "persisted")
+
+
+def event_close(spark, sf_dir):
+    events = S.read(spark, sf_dir, "events").selectExpr("cast(event_id as string) as event_id", "case when event_id % 3 = 0 then 'RUNNING' else 'SKIPPED_NO_CHANGE' end as status")
+    results = S.read(spark, sf_dir, "events").where("event_id % 2 = 0").selectExpr("cast(event_id as string) as event_id", "'PROCESSED' as outcome", "case when event_id % 5 <> 0 then concat('a', event_id) end as analysis_id")
+    return ledger.close_events(events, results, S.as_of()).select("event_id", "status", "analysis_id", F.col("finished_at").isNotNull().alias("finished"))
+
+
+def event_claim(spark, sf_dir):
+    events = S.read(spark, sf_dir, "events").selectExpr("concat(user_id, ':', event_type) as event_id", "event_id as at")
+    return ledger.unclaimed(events.where("at % 3 <> 0"), events.where("at % 30 = 0").select("event_id")).select("event_id", F.col("at").alias("first_id"))
+
+
+def notified_patch(spark, sf_dir):
+    news = S.read(spark, sf_dir, "events").selectExpr("event_id as id", "cast(null as timestamp) as notified_at", "cast(event_id % 4 as int) as notify_attempts")
+    results = S.read(spark, sf_dir, "events").where("event_id % 2 = 0").selectExpr("event_id as id", "event_id % 3 = 0 as delivered")
+    return ledger.mark_notified(news, results, S.as_of()).select("id", F.col("notified_at").isNotNull().alias("notified"), "notify_attempts")
+
+
+def inserted_join(spark, sf_dir):
+    scored = S.read(spark, sf_dir, "orders").selectExpr("cast(o_orderkey as string) as id", "o_totalprice as score")
+    inserted = S.read(spark, sf_dir, "lineitem").where("l_quantity > 45").selectExpr("cast(l_orderkey as string) as id")
+    return ledger.inserted_scored(inserted, scored)
+
+
+def touched_rows(spark, sf_dir):
+    runs = _runs(spark, sf_dir).selectExpr("*", "cast(null as bigint) as duration_ms", "array('x') as errors")
+    return ledger.touched(runs, ledger.reclaim_stale(runs, F.expr("TIMESTAMP '2024-01-15 00:00:00'")), "id", "status")
+
+
+def updated_at(spark, sf_dir):
+    before = S.read(spark, sf_dir, "events").selectExpr("event_id as id", "value", "user_id", "ts as updated_at")
+    changed = before.withColumn("value", F.when(F.col("id") % 6 == 0, F.col("value") + 1).otherwise(F.col("value")))
+    return ledger.touch(changed, before, "id", F.expr("TIMESTAMP_NTZ '2025-01-01 00:00:00'")).select("id", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+
+
+def recent_runs(spark, sf_dir):
+    """A listing: its length is the feature."""
+    return views.recent(_runs(spark, sf_dir), "started_at", "id", 25).select("id", "engine", "status")
+
+
+def news_run_status(spark, sf_dir):
+    from ..operators import news
+
+    runs = S.read(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_id") % 401 == 0).alias("errors"), F.count_if(F.col("event_id") % 307 == 0).alias("failed"))
+    return runs.select("user_id", news.run_status(F.col("errors"), F.col("failed")).alias("status"))
+
+
+def closed_domains(spark, sf_dir):
+    """The closed domains, a row each, values in order of declaration."""
+    return spark.createDataFrame([(name, len(values), "|".join(values)) for name, values in V.DOMAINS.items()], "domain string, n int, labels string")
+
+
 def engine_last_run(spark, sf_dir):
     runs = S.read(spark, sf_dir, "events").selectExpr("event_id as id", "event_type as engine", "ts as started_at")
     return views.engine_last_run(runs).select("engine", "id")
@@ -147,6 +216,7 @@ def ohlc_ext(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     validate_point, rejection_counts, tick_stamp, market_latest, market_snapshot, insert_ignore, engine_last_run, reclaim_stale, run_counters, fk_audit, audit_chain, change_vs_previous, macro_impact, session_conviction,
     ts_number_parse, macro_last_obs, quote_parse, month_partitions, constraint_violations, instruments, access_matrix, acknowledge, ohlc_ext,
+    run_open, run_close, event_close, event_claim, notified_patch, inserted_join, touched_rows, updated_at, recent_runs, news_run_status, closed_domains,
 )}
 
 _RULES = "r(symbol, least, most, negatives, live_s, stale_s) AS (VALUES " + ", ".join(f"({S.quote(a)}, CAST({b} AS double), CAST({c} AS double), {d}, {e}, {f})" for a, b, c, d, e, f in V.POINT_RULES) + ")"
@@ -172,6 +242,22 @@ SELECT id, value, us10y_yield, real_yield, vix, wti FROM c, m WHERE reason IS NU
     "insert_ignore": """WITH e AS (SELECT event_id, user_id, event_type, CAST(CAST(ts AS date) AS varchar) AS day FROM events)
 SELECT event_id, user_id, event_type, day FROM e n WHERE event_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM e t WHERE t.event_id % 2 = 1 AND t.event_id < 4000 AND t.user_id = n.user_id AND t.event_type = n.event_type AND t.day = n.day)
 QUALIFY row_number() OVER (PARTITION BY user_id, event_type, day ORDER BY event_id) = 1""",
+    "run_open": """SELECT 'new-' || e AS id, e AS engine, 'running' AS status FROM (VALUES ('click'), ('view'), ('purchase'), ('never-seen')) t(e)
+WHERE e = 'view' OR NOT EXISTS (SELECT 1 FROM events WHERE event_type = e AND event_id % 10 = 0)""",
+    "run_close": """WITH r AS (SELECT event_id AS id, event_id % 20 = 0 AS closes, event_id % 10 = 0 AS running, round((epoch_us(TIMESTAMP '2024-03-01 00:00:00') - epoch_us(ts)) / CAST(1000000 AS double) * 1000) AS ms FROM events)
+SELECT id, CASE WHEN closes THEN CASE WHEN id % 8 = 0 THEN 'partial' ELSE 'failed' END WHEN running THEN 'running' ELSE 'success' END AS status, CASE WHEN closes THEN greatest(0, ms) END AS duration_ms,
+CASE WHEN closes THEN id % 7 END AS fetched, CASE WHEN closes THEN CAST(0 AS bigint) END AS persisted FROM r""",
+    "event_close": """SELECT CAST(event_id AS varchar) AS event_id, CASE WHEN event_id % 6 = 0 THEN CASE WHEN event_id % 5 = 0 THEN 'FAILED' ELSE 'PROCESSED' END WHEN event_id % 3 = 0 THEN 'RUNNING' ELSE 'SKIPPED_NO_CHANGE' END AS status,
+CASE WHEN event_id % 6 = 0 AND event_id % 5 <> 0 THEN 'a' || event_id END AS analysis_id, event_id % 6 = 0 AS finished FROM events""",
+    "event_claim": """WITH e AS (SELECT user_id || ':' || event_type AS event_id, event_id AS n FROM events)
+SELECT event_id, min(n) AS first_id FROM e WHERE n % 3 <> 0 AND event_id NOT IN (SELECT event_id FROM e WHERE n % 30 = 0) GROUP BY 1""",
+    "notified_patch": "SELECT event_id AS id, event_id % 6 = 0 AS notified, CAST(event_id % 4 + CASE WHEN event_id % 2 = 0 AND event_id % 3 <> 0 THEN 1 ELSE 0 END AS int) AS notify_attempts FROM events",
+    "inserted_join": "SELECT CAST(o_orderkey AS varchar) AS id, o_totalprice AS score FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)",
+    "touched_rows": "SELECT count(*) AS n FROM events WHERE event_id % 10 = 0 AND ts < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 900 SECOND",
+    "updated_at": "SELECT event_id AS id, strftime(CASE WHEN event_id % 6 = 0 THEN TIMESTAMP '2025-01-01 00:00:00' ELSE ts END, '%Y-%m-%d %H:%M:%S') AS updated_at FROM events",
+    "recent_runs": "SELECT event_id AS id, event_type AS engine, CASE WHEN event_id % 10 = 0 THEN 'running' ELSE 'success' END AS status FROM events ORDER BY ts DESC, event_id DESC LIMIT 25",
+    "news_run_status": "SELECT user_id, CASE WHEN count(*) FILTER (event_id % 401 = 0 OR event_id % 307 = 0) = 0 THEN 'success' ELSE 'partial' END AS status FROM events GROUP BY 1",
+    "closed_domains": "SELECT * FROM (VALUES " + ", ".join(f"({S.quote(n)}, CAST({len(v)} AS int), {S.quote('|'.join(v))})" for n, v in V.DOMAINS.items()) + ") t(domain, n, labels)",
     "engine_last_run": "SELECT event_type AS engine, event_id AS id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) = 1",
     "reclaim_stale": """WITH r AS (SELECT event_id AS id, event_id % 10 = 0 AS running, (epoch_us(TIMESTAMP '2024-01-15 00:00:00') - epoch_us(ts)) / CAST(1000000 AS double) AS s FROM events)
 SELECT id, CASE WHEN running AND s > 900 THEN 'failed' WHEN running THEN 'running' ELSE 'success' END AS status, CAST(CASE WHEN running AND s > 900 THEN 2 ELSE 1 END AS int) AS n_errors,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +39,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scored rows as the stored table that views read: kept in memory or on disk, so views don't score again."""
-    return scored(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    """The scored rows as the table that views read; a view's conditions on time and publisher reach the scan, below the scoring."""
+    return scored(spark, sf_dir)
 
 
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
