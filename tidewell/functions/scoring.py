@@ -10,46 +10,62 @@ from pyspark.sql import functions as F
 from . import values as V
 
 
-def openings(pattern: str) -> list[str]:
-    """What the alternatives of `\\b(a|b|c)...` start with, as plain text; empty if one has no plain start of two characters."""
+def first_words(pattern: str) -> tuple[set[str], set[str]]:
+    """Words that the alternatives of `\\b(a|b|c)...` open with: whole ones, and starts of words where the pattern leaves the end open."""
     group = re.match(r"\\b(\((?:[^()]|\([^()]*\))*\))?", pattern)
-    body = group[1][1:-1] if group and group[1] else pattern.removeprefix(r"\b")
-    out = []
+    body, closed = (group[1][1:-1], pattern[group.end() :]) if group and group[1] else (pattern.removeprefix(r"\b").removesuffix(r"\b"), r"\b")
+    whole, starts = set(), set()
     for choice in re.split(r"\|(?![^()]*\))", body):
-        plain = re.match(r"[a-z ]*", choice)[0]
-        out.append(plain[:-1] if choice[len(plain) :][:1] in ("?", "*", "{") else plain)
-    return out if min(map(len, out)) >= 2 else []
+        plain = re.match(r"[a-z0-9 ]*", choice)[0]
+        rest = choice[len(plain) :]
+        if rest[:1] in ("?", "*", "{"):
+            plain = plain[:-1]
+        word, *more = plain.split(" ")
+        (whole if more or (not rest and closed == r"\b") else starts).add(word)
+    return whole, starts
 
 
-def over_hits(text: str, patterns: list[str], body: str) -> str:
+def terms_of(text: str, patterns: list[str]) -> str:
+    """SQL of the text's distinct words that some pattern may open with: a few, whatever the text's length, by one split and set look-ups."""
+    both = [first_words(p) for p in patterns]
+    sets = [("w", sorted({w for whole, _ in both for w in whole}))]
+    sets += [(f"left(w, {n})", sorted({w[:n] for _, starts in both for w in starts if min(len(w), 3) == n})) for n in (1, 2, 3)]
+    tests = [f"{part} in ({', '.join(map(repr, words))})" for part, words in sets if words]
+    return f"filter(array_distinct(split({text}, '[^a-z0-9_]+')), w -> {' or '.join(tests)})"
+
+
+def terms(text: str) -> Column:
+    """The words of a text in lower case that may open a pattern of any lexicon; the functions below take them ready made."""
+    lexicons = [V.CATALYSTS, V.BULLISH, V.BEARISH, V.SURPRISE, V.REGIONS]
+    return F.expr(terms_of(text, [row[0] for lexicon in lexicons for row in lexicon] + V.RELEVANCE + [V.SCHEDULED]))
+
+
+def over_hits(text: str, patterns: list[str], body: str, known: str | None = None) -> str:
     """SQL of `body` over h, the array of which patterns a text matches; the text is in lower case, word edges are ASCII.
 
-    Patterns are one literal array that a lambda walks, so the plan stays small however many there are, and the text is bound
-    once. Plain searches for a pattern's openings come first: they are many times cheaper, and most texts hold none of them.
+    A pattern is searched for only where a word of the text may open it; `known` are such words, where a column holds them.
+    Text and words are bound once, and all is inside lambdas, so no generated code grows with the number of patterns.
     """
 
-    def rule(pattern: str) -> str:
+    def hit(pattern: str) -> str:
         opening = re.sub(r"\\b(?=[(\w])", "(?<![a-z0-9_])", pattern)
         edges = re.sub(r"\\b", "(?![a-z0-9_])", opening)
-        return f"named_struct('p', r'{edges}', 'o', cast(array({', '.join(map(repr, openings(pattern)))}) as array<string>))"
+        whole, starts = first_words(pattern)
+        tests = ([f"w in ({', '.join(map(repr, sorted(whole)))})"] if whole else []) + [f"startswith(w, {x!r})" for x in sorted(starts)]
+        return f"exists(b.w, w -> {' or '.join(tests)}) and rlike(b.t, r'{edges}')"
 
-    rules = "array(" + ", ".join(map(rule, patterns)) + ")"
-    hits = f"transform(array({text}), t -> transform({rules}, x -> (size(x.o) = 0 or exists(x.o, o -> contains(t, o))) and rlike(t, x.p)))"
-    return f"element_at(transform({hits}, h -> {body}), 1)"
+    bound = f"array(named_struct('t', {text}, 'w', {known or terms_of(text, patterns)}))"
+    return f"element_at(transform(transform({bound}, b -> array({', '.join(map(hit, patterns))})), h -> {body}), 1)"
 
 
-def matches(text: str, pattern: str) -> str:
+def matches(text: str, pattern: str, known: str | None = None) -> str:
     """SQL of a match."""
-    return over_hits(text, [pattern], "h[0]")
-
-
-def weights(text: str, lexicon: list[tuple[str, int]]) -> str:
-    return over_hits(text, [p for p, _ in lexicon], " + ".join(f"if(h[{i}], {w}, 0)" for i, (_, w) in enumerate(lexicon)))
+    return over_hits(text, [pattern], "h[0]", known)
 
 
-def weighted(text: str, lexicon: list[tuple[str, int]]) -> Column:
+def weighted(text: str, lexicon: list[tuple[str, int]], known: str | None = None) -> Column:
     """Sum of the weights of the patterns that match."""
-    return F.expr(weights(text, lexicon))
+    return F.expr(over_hits(text, [p for p, _ in lexicon], " + ".join(f"if(h[{i}], {w}, 0)" for i, (_, w) in enumerate(lexicon)), known))
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
@@ -85,7 +101,7 @@ def sentiment_label(sentiment: Column) -> Column:
     return F.when(sentiment.isNotNull(), names)
 
 
-def catalyst(text: str) -> Column:
+def catalyst(text: str, known: str | None = None) -> Column:
     """struct(macro, volatility, duration, category, bias, cancelling, known) of all matching catalysts together.
 
     Numbers are maxima; the category is that of the first catalyst with the highest macro; the bias is the first there is;
@@ -102,35 +118,35 @@ def catalyst(text: str) -> Column:
     merged = f"""transform(array({found}), a -> named_struct('macro', coalesce(array_max(a.macro), {macro}), 'volatility', coalesce(array_max(a.volatility), {volatility}), 'duration', coalesce(array_max(a.duration), {duration}),
         'category', coalesce(array_max(transform(a, r -> named_struct('macro', r.macro, 'rank', r.rank, 'category', r.category))).category, {literal(category)}), 'bias', get(array_compact(a.bias), 0),
         'cancelling', array_distinct(flatten(a.cancelling)), 'known', size(a) > 0))[0]"""
-    return F.expr(over_hits(text, [r[0] for r in V.CATALYSTS], merged))
+    return F.expr(over_hits(text, [r[0] for r in V.CATALYSTS], merged, known))
 
 
-def surprise(text: str) -> Column:
+def surprise(text: str, known: str | None = None) -> Column:
     """struct(score, proven): from a reported against an expected number, else from terms, else assumed."""
     a, b = (F.expr(f"try_cast(replace(regexp_extract({text}, r'{V.NUMBER_PAIR}', {i}), ',', '.') as double)") for i in (1, 2))
     by_number = F.when(b != 0, clamp(F.abs((a - b) / b) * 333))
-    terms = weighted(text, V.SURPRISE)
+    terms = weighted(text, V.SURPRISE, known)
     by_terms = F.when(terms > 0, clamp(terms.cast("double")))
-    scheduled = F.expr(f"if({matches(text, V.SCHEDULED)}, 50D, 25D)")
+    scheduled = F.expr(f"if({matches(text, V.SCHEDULED, known)}, 50D, 25D)")
     return F.struct(F.coalesce(by_number, by_terms, scheduled).alias("score"), F.coalesce(by_number, by_terms).isNotNull().alias("proven"))
 
 
-def direction(text: str, bias: Column) -> Column:
+def direction(text: str, bias: Column, known: str | None = None) -> Column:
     """struct(direction, sentiment): net weight of terms, and its share with the sign turned."""
-    bull = weighted(text, V.BULLISH) + F.when(bias == "bullish", 2).otherwise(0)
-    bear = weighted(text, V.BEARISH) + F.when(bias == "bearish", 2).otherwise(0)
+    bull = weighted(text, V.BULLISH, known) + F.when(bias == "bullish", 2).otherwise(0)
+    bear = weighted(text, V.BEARISH, known) + F.when(bias == "bearish", 2).otherwise(0)
     net, total = bull - bear, bull + bear
     sentiment = F.when(total == 0, F.lit(0.0)).otherwise(F.floor(-net / total * 1000 + F.lit(0.5)) / 1000)
     return F.struct(F.when(net >= 2, "bullish").when(net <= -2, "bearish").otherwise("neutral").alias("direction"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sentiment)).alias("sentiment"))
 
 
-def region(text: str) -> Column:
-    return F.expr(over_hits(text, [p for p, _ in V.REGIONS], "case " + " ".join(f"when h[{i}] then '{name}'" for i, (_, name) in enumerate(V.REGIONS)) + " else 'GLOBAL' end"))
+def region(text: str, known: str | None = None) -> Column:
+    return F.expr(over_hits(text, [p for p, _ in V.REGIONS], "case " + " ".join(f"when h[{i}] then '{name}'" for i, (_, name) in enumerate(V.REGIONS)) + " else 'GLOBAL' end", known))
 
 
-def relevance(text: str) -> Column:
+def relevance(text: str, known: str | None = None) -> Column:
     """Number of term groups that match."""
-    return weighted(text, [(p, 1) for p in V.RELEVANCE])
+    return weighted(text, [(p, 1) for p in V.RELEVANCE], known)
 
 
 def quality(age_minutes: Column, has_body: Column, has_url: Column, has_domain: Column, reliability: Column) -> Column:
