@@ -122,9 +122,19 @@ class WordHash(dict):
 
 
 _hashes = WordHash()
+_caches: dict[str, dict] = {}
+
+
+def keep_only(owner: str, cache: dict) -> None:
+    """A worker serves one stage after another; it lets the large caches of other operators go when one begins to fill its own."""
+    for name in [x for x in _caches if x != owner]:
+        _caches.pop(name).clear()
+    _caches[owner] = cache
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    if "words" not in _caches:
+        keep_only("words", _hashes)
     return np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words)).view(np.uint64)
 
 

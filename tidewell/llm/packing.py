@@ -66,7 +66,7 @@ class TextIds:
 
         self.model = Tokenizer.from_file(path)
         self.merges = self.model.model
-        self.pieces, self.chunks, self.odd = Recent(limit, self.of_piece), Recent(limit, self.of_chunk), Recent(limit, self.encode)
+        self.pieces, self.chunks, self.odd = Recent(limit, self.of_piece), Recent(limit, self.of_chunk), Recent(limit // 8, self.encode)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -86,8 +86,9 @@ class TextIds:
 _ids: dict[tuple, TextIds] = {}
 
 
-def document_ids(text: str, path: str, end_id: int, limit: int = 350_000) -> bytes:
+def document_ids(text: str, path: str, end_id: int, limit: int = 250_000) -> bytes:
     if (path, limit) not in _ids:
+        common.keep_only("packing", _ids)
         _ids[path, limit] = TextIds(path, limit)
     return _ids[path, limit](text) + np.array([end_id], "<u4").tobytes()
 
