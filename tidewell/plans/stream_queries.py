@@ -17,7 +17,10 @@ def _events(spark, sf_dir):
 
 def _run(stream, mode):
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/tidewell-checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or f"file://{tempfile.gettempdir()}/tidewell-checkpoints"
     at = f"{base}/tidewell/streams/s{uuid.uuid4().hex}"
     return streams.run_once(stream, f"{at}/table", f"{at}/state", mode)
 
