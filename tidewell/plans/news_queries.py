@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +40,9 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scored rows as the table that views read; a view's conditions on time and publisher reach the scan, below the scoring."""
-    return scored(spark, sf_dir)
+    """The scored rows as the stored table that views read, kept in memory or on disk: a view's condition on a score must not be
+    pushed into the scoring, which it would repeat for each column that the condition names."""
+    return scored(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
