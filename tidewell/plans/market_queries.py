@@ -45,7 +45,7 @@ def market_snapshot(spark, sf_dir):
 def insert_ignore(spark, sf_dir):
     ev = S.read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("date").cast("string").alias("day"))
     key = ["user_id", "event_type", "day"]
-    return ledger.insert_ignore(ev.where("event_id % 2 = 0"), ev.where("event_id % 2 = 1 and event_id < 4000"), key, F.col("event_id")).select("event_id", *key)
+    return ledger.insert_ignore(ev.where("event_id % 2 = 0"), ev.where("event_id % 2 = 1"), key, F.col("event_id")).select("event_id", *key)
 
 
 def _runs(spark, sf_dir):
@@ -240,7 +240,7 @@ SELECT id, value, us10y_yield, real_yield, vix, wti FROM c, m WHERE reason IS NU
     "market_snapshot": f"""{_TICKS} SELECT {_of('XAUUSD', 'close')} AS spot, {_of('XAUUSD', 'staleness_seconds')} AS spot_age, {', '.join(
         f"coalesce({_of('XAUUSD', n)}, {_of(s, 'close')}) AS {n}, CASE WHEN {_of('XAUUSD', n)} IS NOT NULL THEN {_of('XAUUSD', 'staleness_seconds')} ELSE {_of(s, 'staleness_seconds')} END AS {n}_age" for s, n in market.STAMPS.items() if s != 'DXY')}, 'OK' AS status FROM l""",
     "insert_ignore": """WITH e AS (SELECT event_id, user_id, event_type, CAST(CAST(ts AS date) AS varchar) AS day FROM events)
-SELECT event_id, user_id, event_type, day FROM e n WHERE event_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM e t WHERE t.event_id % 2 = 1 AND t.event_id < 4000 AND t.user_id = n.user_id AND t.event_type = n.event_type AND t.day = n.day)
+SELECT event_id, user_id, event_type, day FROM e n WHERE event_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM e t WHERE t.event_id % 2 = 1 AND t.user_id = n.user_id AND t.event_type = n.event_type AND t.day = n.day)
 QUALIFY row_number() OVER (PARTITION BY user_id, event_type, day ORDER BY event_id) = 1""",
     "run_open": """SELECT 'new-' || e AS id, e AS engine, 'running' AS status FROM (VALUES ('click'), ('view'), ('purchase'), ('never-seen')) t(e)
 WHERE e = 'view' OR NOT EXISTS (SELECT 1 FROM events WHERE event_type = e AND event_id % 10 = 0)""",
