@@ -7,6 +7,7 @@ import urllib.error
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell.functions import scoring, sql
 from tidewell.functions import values as V
 from tidewell.operators import access, committee, constraints, ledger, market, news, views
 from tidewell.plans import market_queries
@@ -200,3 +201,55 @@ def test_no_payload_holds_a_whole_series(spark, tmp_path, monkeypatch):
     assert got == {"hot": (most, None), "few": (few, None), "none": (None, "no_numeric_observation")}
     sizes = seen[0].selectExpr("size(from_json(payload, 'observations array<struct<date: string>>').observations) as n").collect()
     assert max(r.n for r in sizes) <= 1000 and sum(r.n for r in sizes) == 9000
+
+
+def test_carried_state_survives_late_rows_and_a_replayed_batch(spark, tmp_path):
+    write, path = streams.carry(str(tmp_path / "state")), str(tmp_path / "state")
+    frame = lambda rows: spark.createDataFrame(rows, "symbol string, ts timestamp, id long, value double")
+    at = lambda minute: dt.datetime(2024, 1, 1, 10, minute)
+    write(frame([("A", at(5), 1, 1.0)]), 0)
+    second = frame([("A", at(3), 2, 2.0), ("A", at(9), 3, 3.0), ("B", at(1), 4, 4.0), ("B", at(1), 5, 5.0), (None, at(1), 6, 6.0)])
+    for _ in range(2):
+        write(second, 1)
+    write(frame([]), 2)
+    assert {tuple(r) for r in streams.carried(spark, path).collect()} == {("A", 3.0, 1.0, 2.0), ("B", 5.0, 4.0, 4.0), (None, 6.0, None, 6.0)}
+
+
+def test_a_scheduled_stream_appends_in_batches(spark, tmp_path):
+    table, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(5).selectExpr("id", "timestamp '2024-01-01 00:00:00' as ts", "if(id = 0, null, if(id < 3, 'major', 'noise')) as classification").write.parquet(table)
+    feed = streams.notable(streams.change_feed(spark, table, spark.read.parquet(table).schema))
+    query = streams.scheduled(feed, out, str(tmp_path / "progress"), "1 second")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_lists_fall_back_only_where_they_are_empty(spark):
+    schema = "drivers array<string>, risks array<string>, invalidations array<string>, main_driver string, contradictions array<string>, bias_flags array<string>, levels map<string,string>"
+    rows = [(None, [], None, "m", None, ["", "f"], {"H2": "7"}), (["d"], ["r"], ["i"], "m", ["c"], None, {})]
+    first, second = committee.with_fallbacks(spark.createDataFrame(rows, schema)).select("drivers", "risks", "invalidations").collect()
+    assert first.drivers == ["m"] and first.risks == ["f"] and first.invalidations[:2] == ["H1 : invalidation à null", "H2 : invalidation à 7"]
+    assert tuple(second) == (["d"], ["r"], ["i"])
+
+
+def test_the_sweep_raises_one_alert_for_a_row(spark):
+    waiting = spark.createDataFrame([("a", "t", 80.0), ("b", "t", 95.0), ("c", "t", 79.9), ("d", "t", 90.0), ("d", "t", 90.0)], "id string, title string, news_score double")
+    active = spark.createDataFrame([("notify-stuck:b", "acknowledged"), ("notify-stuck:a", "resolved")], "dedup_key string, status string")
+    found = news.sweep_alerts(waiting, waiting.where("id = 'none'"), active)
+    assert sorted(r.news_id for r in found.collect()) == ["a", "d"]
+    assert news.sweep_alerts(waiting, waiting, active).isEmpty()
+
+
+def test_the_sql_function_is_null_for_a_null(spark):
+    sql.register(spark)
+    row = spark.sql("select fn_news_score(100, 95, 80, 50, 70) as a, fn_news_score(null, 95, 80, 50, 70) as b").first()
+    assert float(row.a) == 81.5 and row.b is None
+
+
+def test_weights_must_sum_to_one(monkeypatch):
+    monkeypatch.setattr(V, "WEIGHTS", ("0.30", "0.20", "0.15", "0.20", "0.20"))
+    with pytest.raises(ValueError):
+        scoring.news_score(*[None] * 5)

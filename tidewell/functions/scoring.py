@@ -121,6 +121,15 @@ def catalyst(text: str, known: str | None = None) -> Column:
     return F.expr(over_hits(text, [r[0] for r in V.CATALYSTS], merged, known))
 
 
+def channel(text: str, known: str | None = None) -> Column:
+    """struct(channel, duration) of the dominant catalyst: the first of those with the highest macro; the default where none matches."""
+    literal = lambda x: '"' + x + '"'
+    pair = lambda c: f"named_struct('channel', {literal(c[0])}, 'duration', {literal(c[1])})"
+    ranked = sorted(range(len(V.CATALYSTS)), key=lambda i: (-V.CATALYSTS[i][1], i))
+    body = "case " + " ".join(f"when h[{i}] then {pair(V.CHANNELS[i])}" for i in ranked) + f" else {pair(V.DEFAULT_CHANNEL)} end"
+    return F.expr(over_hits(text, [r[0] for r in V.CATALYSTS], body, known))
+
+
 def surprise(text: str, known: str | None = None) -> Column:
     """struct(score, proven): from a reported against an expected number, else from terms, else assumed."""
     a, b = (F.expr(f"try_cast(replace(regexp_extract({text}, r'{V.NUMBER_PAIR}', {i}), ',', '.') as double)") for i in (1, 2))

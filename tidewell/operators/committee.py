@@ -137,3 +137,16 @@ def drift_alerts(cards: DataFrame, previous: DataFrame, key: str, limit: float =
     """Keys whose accuracy fell by more than `limit` against the card before, as model_drift alerts."""
     both = cards.select(key, "accuracy").join(previous.select(key, F.col("accuracy").alias("before")), key)
     return both.where(F.col("before") - F.col("accuracy") > limit).select(key, (F.col("accuracy") - F.col("before")).alias("drift"), F.lit("model_drift").alias("alert_type"))
+
+
+def with_fallbacks(replies: DataFrame) -> DataFrame:
+    """replies with drivers, risks and invalidations that are never empty for want of a reply: the main driver, the committee's
+    contradictions and flags (empty ones dropped), one line a horizon (map `levels` of horizon to level). Given lists stay."""
+    given = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    empty = F.array().cast("array<string>")
+    raised = F.filter(F.concat(F.coalesce("contradictions", empty), F.coalesce("bias_flags", empty)), lambda x: F.length(x) > 0)
+    lines = F.transform(F.array(*map(F.lit, V.HORIZONS)), lambda h: F.concat(h, F.lit(" : invalidation à "), F.coalesce(F.try_element_at(F.col("levels"), h).cast("string"), F.lit("null"))))
+    return replies.withColumns({
+        "drivers": F.when(given("drivers"), F.col("drivers")).otherwise(F.array("main_driver")), "risks": F.when(given("risks"), F.col("risks")).otherwise(raised),
+        "invalidations": F.when(given("invalidations"), F.col("invalidations")).otherwise(lines),
+    })

@@ -85,3 +85,10 @@ def in_domain(df: DataFrame, **domains: list[str]) -> DataFrame:
 def ordinal(column: Column, domain: list[str]) -> Column:
     """Place of a value in its domain from 1, for sorts by declaration."""
     return F.array_position(F.array(*map(F.lit, domain)), column)
+
+
+def integrity_probes(ticks: DataFrame, runs: DataFrame, as_of: Column) -> DataFrame:
+    """Three counts that should be 0: ticks closing at zero, ticks over five minutes ahead, runs that run for over twenty minutes."""
+    count = lambda df, name, broken: df.agg(F.count_if(broken).alias("n")).select(F.lit(name).alias("probe"), "n")
+    late = (F.col("status") == "running") & (F.col("started_at") < as_of - F.make_interval(mins=F.lit(20)))
+    return count(ticks, "zero_close", F.col("close") == 0).union(count(ticks, "future_ts", F.col("ts") > as_of + F.make_interval(mins=F.lit(5)))).union(count(runs, "stuck_locks", late))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..functions import values as V
+from . import ledger
 
 
 def registry(spark: SparkSession) -> DataFrame:
@@ -51,15 +52,15 @@ def body() -> Column:
 def score(articles: DataFrame, least_relevance: int = 1) -> DataFrame:
     """Relevant articles (title, content, reliability, source) with every derived column of a news row."""
     out = articles.withColumn("_text", body()).withColumn("_terms", scoring.terms("_text")).where(scoring.relevance("_text", "_terms") >= least_relevance)
-    out = out.withColumns({"_c": scoring.catalyst("_text", "_terms"), "_s": scoring.surprise("_text", "_terms"), "region": scoring.region("_text", "_terms")})
+    out = out.withColumns({"_c": scoring.catalyst("_text", "_terms"), "_s": scoring.surprise("_text", "_terms"), "region": scoring.region("_text", "_terms"), "_h": scoring.channel("_text", "_terms")})
     out = out.withColumn("_d", scoring.direction("_text", F.col("_c.bias"), "_terms"))
     points = scoring.news_score(F.col("_c.macro"), F.col("_c.volatility"), F.col("reliability"), F.col("_s.score"), F.col("_c.duration"))
-    out = out.withColumns({"category": F.col("_c.category"), "news_score": points, "direction": F.col("_d.direction"), "sentiment": F.col("_d.sentiment"), "cancelling": F.col("_c.cancelling")})
+    out = out.withColumns({"category": F.col("_c.category"), "news_score": points, "direction": F.col("_d.direction"), "sentiment": F.col("_d.sentiment"), "cancelling": F.col("_c.cancelling"), "channel": F.col("_h.channel"), "impact_duration": F.col("_h.duration")})
     out = out.withColumns({
         "classification": scoring.news_class(F.col("news_score")), "action": scoring.news_action(F.col("news_score")), "risk_level": scoring.risk_level(F.col("category"), F.col("news_score")),
         "sentiment_label": scoring.sentiment_label(F.col("sentiment")), "assumptions": assumptions(F.col("_c.known"), F.col("source"), F.col("content"), F.col("_s.proven"), F.col("_s.score")),
     })
-    return out.drop("_text", "_terms", "_c", "_s", "_d")
+    return out.drop("_text", "_terms", "_c", "_s", "_d", "_h")
 
 
 def assumptions(known: Column, source: Column, content: Column, proven: Column, surprise: Column) -> Column:
@@ -91,3 +92,21 @@ def alerts(news: DataFrame) -> DataFrame:
 
 def run_status(errors: Column, failed_providers: Column) -> Column:
     return F.when((errors == 0) & (failed_providers == 0), "success").otherwise("partial")
+
+
+def run_counters(fetched: DataFrame, kept: DataFrame, persisted: DataFrame) -> DataFrame:
+    """One row: what a run fetched, kept after its own duplicates, persisted, and of that critical and major rows; duplicates are those of the run and of the target."""
+    n = lambda df, name, *more: df.agg(F.count("*").alias(name), *more)
+    of = lambda c: F.count_if(F.col("classification") == c).alias(c)
+    counts = n(fetched, "fetched").join(F.broadcast(n(kept, "kept")), how="cross").join(F.broadcast(n(persisted, "persisted", of("critical"), of("major"))), how="cross")
+    return counts.withColumn("duplicate", F.col("fetched") - F.col("persisted"))
+
+
+def sweep_alerts(pending: DataFrame, delivered: DataFrame, existing: DataFrame, least: float = 80) -> DataFrame:
+    """System alerts to append for pending rows (id, title, news_score) of `least` or more that the sweep could not deliver (ids in
+    `delivered` were); none while an alert of the row is active."""
+    failed = pending.where(F.col("news_score") >= least).join(delivered.select("id").distinct(), "id", "left_anti")
+    made = failed.select(
+        F.col("id").alias("news_id"), F.lit("system").alias("alert_type"), F.lit("high").alias("severity"), F.lit("triggered").alias("status"), "title",
+        F.concat(F.lit("notify-stuck:"), F.col("id").cast("string")).alias("dedup_key"))
+    return ledger.new_alerts(made, existing)

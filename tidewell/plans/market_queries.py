@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
@@ -213,7 +215,35 @@ def ohlc_ext(spark, sf_dir):
     return bars.select("symbol", F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("hour"), "open", "high", "low", "close")
 
 
+def integrity_probes(spark, sf_dir):
+    ticks = S.points(spark, sf_dir).selectExpr("case when id % 43 = 0 then 0 else value end as close", "ts")
+    return constraints.integrity_probes(ticks, _runs(spark, sf_dir), F.expr("TIMESTAMP '2024-01-15 00:00:00'"))
+
+
+def data_sources(spark, sf_dir):
+    """The publishers' seed rows."""
+    return spark.createDataFrame(V.SOURCES, "code string, source_domain string, reliability double")
+
+
+def reply_lists(spark, sf_dir):
+    from ..operators import committee
+
+    lists = "filter(array(if(event_id % {0} = 0, '{1}', null)), x -> x is not null)"
+    raw = S.read(spark, sf_dir, "events").selectExpr("event_id", "event_type as main_driver", f"{lists.format(2, 'd')} as drivers", f"{lists.format(3, 'r')} as risks", f"if(event_id % 4 = 0, null, {lists.format(5, 'i')}) as invalidations",
+        f"{lists.format(7, 'c')} as contradictions", "if(event_id % 11 = 0, null, array('', 'flag')) as bias_flags", "map('H1', cast(event_id as string)) as levels")
+    out = committee.with_fallbacks(raw)
+    return out.select("event_id", *[F.array_join(c, "|").alias(c) for c in ("drivers", "risks", "invalidations")])
+
+
+def rule_violations(spark, sf_dir):
+    """Every rule of the catalogue over one table's rows, but those of market_ticks (constraint_violations); one pass a table."""
+    made = [spark.sql("select " + rows.replace("{}", "{{}}") + " from {ev}", ev=S.read(spark, sf_dir, "events")) for rows in S.RULE_ROWS.values()]
+    counts = [constraints.violation_counts(df, t).select(F.lit(t).alias("table_name"), "rule", "n") for t, df in zip(S.RULE_ROWS, made)]
+    return reduce(lambda a, b: a.union(b), counts)
+
+
 QUERIES = {f.__name__: f for f in (
+    rule_violations, integrity_probes, data_sources, reply_lists,
     validate_point, rejection_counts, tick_stamp, market_latest, market_snapshot, insert_ignore, engine_last_run, reclaim_stale, run_counters, fk_audit, audit_chain, change_vs_previous, macro_impact, session_conviction,
     ts_number_parse, macro_last_obs, quote_parse, month_partitions, constraint_violations, instruments, access_matrix, acknowledge, ohlc_ext,
     run_open, run_close, event_close, event_claim, notified_patch, inserted_join, touched_rows, updated_at, recent_runs, news_run_status, closed_domains,
@@ -232,6 +262,12 @@ l AS (SELECT *, CAST(round((epoch_us({S.AS_OF}) - epoch_us(ts)) / CAST(1000000 A
 _of = lambda symbol, column: f"max(CASE WHEN symbol = '{symbol}' THEN CAST({column} AS double) END)"
 _VIOLATIONS = {name: c for name, t, c in constraints.RULES if t == "market_ticks"}
 ORACLE_SQL = {
+    "rule_violations": " UNION ALL ".join(S.rules_sql(t, constraints.rules_of(t)) for t in S.RULE_ROWS),
+    "integrity_probes": """SELECT 'zero_close' AS probe, count(*) FILTER (event_id % 43 = 0) AS n FROM events UNION ALL SELECT 'future_ts', count(*) FILTER (ts > TIMESTAMP '2024-01-15 00:05:00') FROM events
+UNION ALL SELECT 'stuck_locks', count(*) FILTER (event_id % 10 = 0 AND ts < TIMESTAMP '2024-01-14 23:40:00') FROM events""",
+    "data_sources": "SELECT * FROM (VALUES " + ", ".join(f"({S.quote(a)}, {S.quote(b)}, CAST({c} AS double))" for a, b, c in V.SOURCES) + ") t(code, source_domain, reliability)",
+    "reply_lists": f"""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'd' ELSE event_type END AS drivers, CASE WHEN event_id % 3 = 0 THEN 'r' ELSE concat_ws('|', CASE WHEN event_id % 7 = 0 THEN 'c' END, CASE WHEN event_id % 11 <> 0 THEN 'flag' END) END AS risks,
+CASE WHEN event_id % 4 <> 0 AND event_id % 5 = 0 THEN 'i' ELSE concat_ws('|', {', '.join(f"'{h} : invalidation à ' || " + ('event_id' if h == 'H1' else "'null'") for h in V.HORIZONS)}) END AS invalidations FROM events""",
     "validate_point": f"{_CHECKED} SELECT id, symbol, CASE WHEN reason IS NULL THEN freshness END AS freshness, reason FROM c",
     "rejection_counts": f"{_CHECKED} SELECT symbol, reason, count(*) AS n FROM c WHERE reason IS NOT NULL GROUP BY ALL",
     "tick_stamp": f"""{_CHECKED}, m AS (SELECT {', '.join(f"(SELECT value FROM c WHERE reason IS NULL AND symbol = '{s}' ORDER BY observed_at DESC, value DESC LIMIT 1) AS {n}" for s, n in market.STAMPS.items() if s != 'DXY')})

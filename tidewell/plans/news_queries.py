@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scoring, text
+from ..functions import scoring, sql, text
 from ..functions import values as V
 from ..operators import ledger, news, views
 from . import stand_ins as S
@@ -54,6 +54,27 @@ def catalyst_resolution(spark, sf_dir):
     return c.select("id", *[F.col(f"c.{n}").cast("long").alias(n) for n in ("macro", "volatility", "duration")], "c.category", "c.bias", F.concat_ws("|", "c.cancelling").alias("cancelling"), "c.known")
 
 
+def catalyst_channel(spark, sf_dir):
+    return _bodies(spark, sf_dir).select("id", scoring.channel("low").alias("c")).select("id", "c.channel", F.col("c.duration").alias("impact_duration"))
+
+
+def sweep_alerts(spark, sf_dir):
+    waiting = ledger.pending(_ledger(spark, sf_dir), S.as_of())
+    have = waiting.where("n % 7 = 0").select(F.concat(F.lit("notify-stuck:"), "id").alias("dedup_key"), F.when(F.col("n") % 2 == 0, "triggered").otherwise("resolved").alias("status"))
+    return news.sweep_alerts(waiting, waiting.where("n % 3 = 0"), have).select("news_id", "alert_type", "severity", "dedup_key")
+
+
+def news_run_counters(spark, sf_dir):
+    fetched = S.articles(spark, sf_dir)
+    rows = stored(spark, sf_dir)
+    return news.run_counters(fetched, rows, rows.where("cast(id as bigint) % 3 <> 0")).select("fetched", "kept", "persisted", "duplicate", "critical", "major")
+
+
+def news_score_sql(spark, sf_dir):
+    sql.register(spark)
+    return _components(spark, sf_dir).selectExpr("doc_id", "cast(fn_news_score(macro, volatility, reliability, surprise, duration) as double) as news_score")
+
+
 def direction_sentiment(spark, sf_dir):
     return scored(spark, sf_dir).select("id", "direction", F.col("sentiment").cast("double").alias("sentiment"))
 
@@ -165,7 +186,7 @@ def _clean_sql() -> str:
 
 
 QUERIES = {f.__name__: f for f in (
-    news_score, news_class_action, sentiment_label, catalyst_resolution, direction_sentiment, surprise_score, region_relevance, scored_news, quality_score, assumption_log, domain_resolve, dedup_best,
+    catalyst_channel, sweep_alerts, news_run_counters, news_score_sql, news_score, news_class_action, sentiment_label, catalyst_resolution, direction_sentiment, surprise_score, region_relevance, scored_news, quality_score, assumption_log, domain_resolve, dedup_best,
     dedup_hash_unique, clean_text, news_high_impact, news_actionable, news_pending, news_stuck, class_distribution, notification_build, alert_build, alert_insert, news_age_window,
 )}
 _FRESH = f"CASE WHEN doc_id % 2000 <= 15 THEN 100.0 ELSE {S.clamp('100 - (doc_id % 2000 - 15) / CAST(1440 AS double) * 100')} END"
@@ -176,6 +197,12 @@ SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'moderate' ELSE {S.CLASS} END AS cl
     "sentiment_label": """SELECT doc_id, CASE WHEN s <= -0.6 THEN 'very_negative' WHEN s <= -0.2 THEN 'negative' WHEN s < 0.2 THEN 'neutral' WHEN s < 0.6 THEN 'positive' ELSE 'very_positive' END AS label
 FROM (SELECT doc_id, (doc_id % 201 - 100) / CAST(100 AS double) AS s FROM documents)""",
     "catalyst_resolution": f"{_BODY}, c AS (SELECT id, {S.catalyst_columns('body')} FROM b) SELECT id, CAST(macro AS bigint) AS macro, CAST(volatility AS bigint) AS volatility, CAST(duration AS bigint) AS duration, category, bias, cancelling, known FROM c",
+    "catalyst_channel": f"{_BODY} SELECT id, {S.channel_columns('body')} FROM b",
+    "sweep_alerts": f"""{_LEDGER}, p AS (SELECT *, CAST(id AS bigint) AS n FROM l WHERE {_PENDING} AND news_score >= 80)
+SELECT id AS news_id, 'system' AS alert_type, 'high' AS severity, 'notify-stuck:' || id AS dedup_key FROM p WHERE n % 3 <> 0 AND n % 14 <> 0""",
+    "news_run_counters": f"""{_NEWS}, p AS (SELECT * FROM news WHERE CAST(id AS bigint) % 3 <> 0) SELECT (SELECT count(*) FROM documents) AS fetched, (SELECT count(*) FROM news) AS kept, count(*) AS persisted,
+(SELECT count(*) FROM documents) - count(*) AS duplicate, count(*) FILTER (classification = 'critical') AS critical, count(*) FILTER (classification = 'major') AS major FROM p""",
+    "news_score_sql": f"{_DOCS} SELECT doc_id, CAST(news_score AS double) AS news_score FROM d",
     "direction_sentiment": f"{_NEWS} SELECT id, direction, CAST(sentiment AS double) + 0.0 AS sentiment FROM news",
     "surprise_score": f"{_BODY} SELECT id, {S.surprise_columns('body')} FROM b",
     "region_relevance": f"{_BODY} SELECT id, CASE {' '.join(f'WHEN {S.like('body', p)} THEN {S.quote(r)}' for p, r in V.REGIONS)} ELSE 'GLOBAL' END AS region, CAST({S.weighted('body', [(p, 1) for p in V.RELEVANCE])} AS bigint) AS relevance FROM b",

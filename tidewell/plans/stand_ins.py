@@ -73,6 +73,13 @@ def catalyst_columns(text: str) -> str:
     return f"{most(1)} AS macro, {most(2)} AS volatility, {most(3)} AS duration, {category} AS category, {bias} AS bias, {factors} AS cancelling, ({' OR '.join(hit)}) AS known"
 
 
+def channel_columns(text: str) -> str:
+    """Columns channel and impact_duration of the dominant catalyst."""
+    ranked = sorted(range(len(V.CATALYSTS)), key=lambda i: (-V.CATALYSTS[i][1], i))
+    column = lambda k: "CASE " + " ".join(f"WHEN {like(text, V.CATALYSTS[i][0])} THEN {quote(V.CHANNELS[i][k])}" for i in ranked) + f" ELSE {quote(V.DEFAULT_CHANNEL[k])} END"
+    return f"{column(0)} AS channel, {column(1)} AS impact_duration"
+
+
 def surprise_columns(text: str) -> str:
     a, b = (f"try_cast(replace(regexp_extract({text}, {quote('(?i)' + V.NUMBER_PAIR)}, {i}), ',', '.') AS double)" for i in (1, 2))
     by_number, terms = f"CASE WHEN {b} <> 0 THEN {clamp(f'abs(({a} - {b}) / {b}) * 333')} END", weighted(text, V.SURPRISE)
@@ -117,3 +124,36 @@ POINTS = """SELECT event_id AS id, CASE event_type WHEN 'click' THEN 'XAUUSD' WH
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as market points with planted faults."""
     return spark.sql(POINTS.replace("FROM events", "FROM {ev}"), ev=read(spark, sf_dir, "events"))
+
+
+#: Rows for the rules of each table but market_ticks, made from every event: columns in SQL of both dialects.
+RULE_ROWS = {
+    "instruments": "case event_id % 9 when 0 then 'x' when 1 then 'Eur' else event_type end as symbol, event_id % 5 as tick_size, event_id % 11 - 1 as price_decimals",
+    "data_sources": "case when event_id % 4 = 0 then 'Feed' when event_id % 4 = 1 then null else event_type end as code",
+    "news_events": "case event_id % 13 when 0 then '  ' when 1 then null else event_type end as title, case event_id % 5 when 0 then 'ftp://x' when 1 then null else 'HTTPS://x' end as source_url,"
+    " (event_id % 7 - 3) / 2.5 as sentiment, event_id % 103 as macro_score, event_id % 102 as quality_score, event_id % 9 - 1 as notify_attempts",
+    "ai_scenarios": "event_id % 13 / 10.0 as probability, event_id % 12 / 10.0 as confidence, case event_id % 3 when 0 then 'bullish' when 1 then 'bearish' else 'neutral' end as direction, event_id % 17 as target, event_id % 5 as invalidation,"
+    " case event_id % 6 when 0 then null when 1 then ' short ' else 'a reason of some length' end as reasoning, case when event_id % 8 = 0 then 'soon' else 'a close above the level' end as activation_condition",
+    "ai_analyses": "case when event_id % 8 = 0 then ts else ts + interval 1 hour end as valid_until, ts as analysis_ts, case when event_id % 3 = 0 then event_id end as tick_id, case when event_id % 6 = 0 then ts end as tick_ts,"
+    " case when event_id % 9 = 0 then 'no version' else 'model-1.0' end as model_version, case event_id % 4 when 0 then 'REJECTED' when 1 then 'APPROVED' when 2 then null else 'CONFLICT' end as risk_verdict,"
+    " case event_id % 5 when 0 then array() when 1 then null else array('x') end as rejection_reasons, case when event_id % 7 < 3 then 'VALID_SETUP' else 'NO_VALID_SETUP' end as execution_status,"
+    " case event_id % 10 when 0 then 'bullish' when 1 then null else 'neutral' end as overall_bias, event_id % 23 / 20.0 as confidence_cap",
+    "alerts": "case event_id % 4 when 0 then 'triggered' when 1 then 'acknowledged' when 2 then 'resolved' else 'pending' end as status, case when event_id % 5 > 0 then ts end as triggered_at, case when event_id % 6 > 0 then ts end as acknowledged_at,"
+    " case when event_id % 7 > 0 then ts end as resolved_at, case when event_id % 11 = 0 then ts + interval 1 hour else ts end as created_at, case event_id % 3 when 0 then '[1]' when 1 then null else '{}' end as trigger",
+    "ingestion_runs": "ts as started_at, case event_id % 3 when 0 then ts - interval 1 hour when 1 then null else ts end as finished_at, event_id % 5 - 1 as fetched, event_id % 7 as persisted",
+    "ai_events": "case when event_id % 3 = 0 then '' else event_type end as event_id, case event_id % 4 when 0 then 'PROCESSED' when 1 then 'RUNNING' else 'FAILED' end as status, case when event_id % 5 = 0 then 'a' end as analysis_id, case when event_id % 6 > 0 then ts end as finished_at",
+    "performance_scorecard": "event_id % 13 / 10.0 as accuracy, event_id % 12 / 10.0 as brier_score, event_id % 5 - 2 as model_drift, event_id % 9 - 1 as sample_size",
+}
+
+
+def rules_sql(table: str, rules: list[tuple[str, str]]) -> str:
+    """Count of broken rows by rule, over the table's rows."""
+    rows = RULE_ROWS[table].replace("array()", "CAST([] AS varchar[])").replace("array('x')", "['x']")
+    swaps = [("coalesce(source_url rlike '(?i)^https?://', true)", "coalesce(regexp_matches(source_url, '(?i)^https?://'), true)"), ("model_version rlike '^[a-zA-Z0-9._-]+$'", "regexp_matches(model_version, '^[a-zA-Z0-9._-]+$')"),
+        ("isnull(tick_id) = isnull(tick_ts)", "(tick_id IS NULL) = (tick_ts IS NULL)"), ("size(rejection_reasons)", "len(rejection_reasons)"), ("json_object_keys(trigger) is not null", "coalesce(json_type(trigger) = 'OBJECT', false)")]
+    parts = []
+    for name, condition in rules:
+        for spark, duck in swaps:
+            condition = condition.replace(spark, duck)
+        parts.append(f"SELECT '{table}' AS table_name, '{name}' AS rule, count(*) FILTER (({condition}) IS FALSE) AS n FROM (SELECT {rows} FROM events)")
+    return " UNION ALL ".join(parts)

@@ -15,13 +15,16 @@ def _events(spark, sf_dir):
     return streams.change_feed(spark, f"{sf_dir}/event[s].parquet", S.read(spark, sf_dir, "events").schema)
 
 
-def _run(stream, mode):
-    spark = stream.sparkSession
+def _folder(spark):
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     base = base or f"file://{tempfile.gettempdir()}/tidewell-checkpoints"
-    at = f"{base}/tidewell/streams/s{uuid.uuid4().hex}"
+    return f"{base}/tidewell/streams/s{uuid.uuid4().hex}"
+
+
+def _run(stream, mode):
+    at = _folder(stream.sparkSession)
     return streams.run_once(stream, f"{at}/table", f"{at}/state", mode)
 
 
@@ -41,8 +44,26 @@ def stream_bars_ext(spark, sf_dir):
     return out.select("symbol", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "open", "high", "low", "close")
 
 
-QUERIES = {f.__name__: f for f in (stream_dedup, stream_hourly, stream_bars_ext)}
+def stream_feed(spark, sf_dir):
+    """Inserted news as a listing keeps them: critical and major ones, none from the future."""
+    news = _events(spark, sf_dir).select("ts", F.col("event_id").alias("id"), F.expr("case event_type when 'purchase' then 'critical' when 'signup' then 'major' when 'error' then null else 'noise' end").alias("classification"))
+    shown = streams.not_from_future(streams.notable(news), as_of=F.expr("TIMESTAMP '2024-01-20 00:00:00'"))
+    return _run(shown.select("id", "classification"), "append")
+
+
+def stream_carried(spark, sf_dir):
+    ticks = _events(spark, sf_dir).select("ts", F.col("event_id").alias("id"), F.col("event_type").alias("symbol"), "value")
+    at = _folder(spark)
+    query = ticks.writeStream.foreachBatch(streams.carry(f"{at}/state")).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return streams.carried(spark, f"{at}/state")
+
+
+QUERIES = {f.__name__: f for f in (stream_dedup, stream_hourly, stream_bars_ext, stream_feed, stream_carried)}
 ORACLE_SQL = {
+    "stream_feed": "SELECT event_id AS id, CASE event_type WHEN 'purchase' THEN 'critical' ELSE 'major' END AS classification FROM events WHERE event_type IN ('purchase', 'signup') AND ts <= TIMESTAMP '2024-01-20 00:10:00'",
+    "stream_carried": """SELECT event_type AS symbol, arg_max(value, struct_pack(t := ts, i := event_id)) AS value, max(CASE WHEN n = 2 THEN value END) AS previous, arg_min(value, struct_pack(t := ts, i := event_id)) AS session_open
+FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) GROUP BY 1""",
     "stream_dedup": "SELECT DISTINCT event_id, event_type FROM events",
     "stream_hourly": "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "stream_bars_ext": "SELECT event_type AS symbol, strftime(ts, '%Y-%m-%d') AS day, arg_min(value, struct_pack(t := ts, i := event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, struct_pack(t := ts, i := event_id)) AS close FROM events GROUP BY ALL",

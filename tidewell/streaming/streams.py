@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -16,8 +16,49 @@ def dedup(stream: DataFrame, key: str, late: str = "48 hours") -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def not_from_future(stream: DataFrame, skew: str = "10 minutes") -> DataFrame:
-    return stream.where(F.col("ts") <= F.current_timestamp() + F.expr(f"interval {skew}"))
+def not_from_future(stream: DataFrame, skew: str = "10 minutes", as_of: Column | None = None) -> DataFrame:
+    """Rows stamped at `as_of` (the batch's time where none is given) plus `skew` at the latest."""
+    return stream.where(F.col("ts") <= (F.current_timestamp() if as_of is None else as_of) + F.expr(f"interval {skew}"))
+
+
+def notable(feed: DataFrame) -> DataFrame:
+    """Inserted news that a listing shows: critical and major ones; a row without a class is noise."""
+    return feed.where(F.col("classification").isin("critical", "major"))
+
+
+def scheduled(stream: DataFrame, path: str, checkpoint: str, every: str = "5 minutes"):
+    """A running query that appends to Parquet at `path` in micro-batches on a schedule; the caller stops it."""
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def carry(path: str, key: str = "symbol"):
+    """A foreachBatch writer that carries last, previous and session_open of each key from batch to batch, by (ts, id).
+
+    State is one row a key: version N at `path` is made from the one before it and batch N, so a replayed batch gives the same
+    version again. A batch is cut to two rows a key before the shuffle; late rows take their place in the order.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        at = F.struct("ts", "id", "value")
+        newest = Window.partitionBy(key).orderBy(F.col("ts").desc(), F.col("id").desc())
+        two = batch.withColumn("_n", F.row_number().over(newest)).where("_n <= 2").select(key, F.array(at).alias("_late"))
+        parts = two.unionByName(batch.groupBy(key).agg(F.min(at).alias("first")), allowMissingColumns=True)
+        if epoch:
+            before = spark.read.parquet(f"{path}/version={epoch - 1}")
+            parts = parts.unionByName(before.select(key, "first", F.filter(F.array("last", "previous"), lambda x: x.isNotNull()).alias("_late")))
+        state = parts.groupBy(key).agg(F.min("first").alias("first"), F.flatten(F.collect_list("_late")).alias("_late"))
+        ranked = F.sort_array("_late", asc=False)
+        state.select(key, "first", F.get(ranked, F.lit(0)).alias("last"), F.get(ranked, F.lit(1)).alias("previous")).write.mode("overwrite").parquet(f"{path}/version={epoch}")
+
+    return write
+
+
+def carried(spark: SparkSession, path: str, key: str = "symbol") -> DataFrame:
+    """The newest version of what `carry` keeps at `path`: value, previous and session_open of each key."""
+    versions = spark.read.parquet(path)
+    newest = versions.agg(F.max("version").alias("version"))
+    return versions.join(F.broadcast(newest), "version").select(key, F.col("last.value").alias("value"), F.col("previous.value").alias("previous"), F.col("first.value").alias("session_open"))
 
 
 def hourly(stream: DataFrame, key: str, late: str = "48 hours") -> DataFrame:
