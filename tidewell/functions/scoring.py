@@ -102,10 +102,10 @@ def sentiment_label(sentiment: Column) -> Column:
 
 
 def catalyst(text: str, known: str | None = None) -> Column:
-    """struct(macro, volatility, duration, category, bias, cancelling, known) of all matching catalysts together.
+    """struct(macro, volatility, duration, category, bias, cancelling, known, place) of all matching catalysts together.
 
     Numbers are maxima; the category is that of the first catalyst with the highest macro; the bias is the first there is;
-    cancelling factors are the union in order. `known` is false where the default holds.
+    cancelling factors are the union in order. `known` is false where the default holds; `place` is the dominant catalyst's, null there.
     """
     def literal(x: object) -> str:
         return "cast(null as string)" if x is None else str(x) if isinstance(x, int) else '"' + x + '"'
@@ -117,17 +117,14 @@ def catalyst(text: str, known: str | None = None) -> Column:
     found = "array_compact(array(" + ", ".join(rule(i, *r) for i, r in enumerate(V.CATALYSTS)) + "))"
     merged = f"""transform(array({found}), a -> named_struct('macro', coalesce(array_max(a.macro), {macro}), 'volatility', coalesce(array_max(a.volatility), {volatility}), 'duration', coalesce(array_max(a.duration), {duration}),
         'category', coalesce(array_max(transform(a, r -> named_struct('macro', r.macro, 'rank', r.rank, 'category', r.category))).category, {literal(category)}), 'bias', get(array_compact(a.bias), 0),
-        'cancelling', array_distinct(flatten(a.cancelling)), 'known', size(a) > 0))[0]"""
+        'cancelling', array_distinct(flatten(a.cancelling)), 'known', size(a) > 0, 'place', -array_max(transform(a, r -> named_struct('macro', r.macro, 'rank', r.rank))).rank))[0]"""
     return F.expr(over_hits(text, [r[0] for r in V.CATALYSTS], merged, known))
 
 
-def channel(text: str, known: str | None = None) -> Column:
-    """struct(channel, duration) of the dominant catalyst: the first of those with the highest macro; the default where none matches."""
-    literal = lambda x: '"' + x + '"'
-    pair = lambda c: f"named_struct('channel', {literal(c[0])}, 'duration', {literal(c[1])})"
-    ranked = sorted(range(len(V.CATALYSTS)), key=lambda i: (-V.CATALYSTS[i][1], i))
-    body = "case " + " ".join(f"when h[{i}] then {pair(V.CHANNELS[i])}" for i in ranked) + f" else {pair(V.DEFAULT_CHANNEL)} end"
-    return F.expr(over_hits(text, [r[0] for r in V.CATALYSTS], body, known))
+def channel(place: Column) -> Column:
+    """struct(channel, duration) of the dominant catalyst, by the `place` that `catalyst` gives; the default where none matches."""
+    pair = lambda c: F.struct(F.lit(c[0]).alias("channel"), F.lit(c[1]).alias("duration"))
+    return F.coalesce(F.get(F.array(*map(pair, V.CHANNELS)), place), pair(V.DEFAULT_CHANNEL))
 
 
 def surprise(text: str, known: str | None = None) -> Column:

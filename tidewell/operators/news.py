@@ -52,14 +52,15 @@ def body() -> Column:
 def score(articles: DataFrame, least_relevance: int = 1) -> DataFrame:
     """Relevant articles (title, content, reliability, source) with every derived column of a news row."""
     out = articles.withColumn("_text", body()).withColumn("_terms", scoring.terms("_text")).where(scoring.relevance("_text", "_terms") >= least_relevance)
-    out = out.withColumns({"_c": scoring.catalyst("_text", "_terms"), "_s": scoring.surprise("_text", "_terms"), "region": scoring.region("_text", "_terms"), "_h": scoring.channel("_text", "_terms")})
+    out = out.withColumns({"_c": scoring.catalyst("_text", "_terms"), "_s": scoring.surprise("_text", "_terms"), "region": scoring.region("_text", "_terms")})
     out = out.withColumn("_d", scoring.direction("_text", F.col("_c.bias"), "_terms"))
     points = scoring.news_score(F.col("_c.macro"), F.col("_c.volatility"), F.col("reliability"), F.col("_s.score"), F.col("_c.duration"))
-    out = out.withColumns({"category": F.col("_c.category"), "news_score": points, "direction": F.col("_d.direction"), "sentiment": F.col("_d.sentiment"), "cancelling": F.col("_c.cancelling"), "channel": F.col("_h.channel"), "impact_duration": F.col("_h.duration")})
+    out = out.withColumns({"category": F.col("_c.category"), "news_score": points, "direction": F.col("_d.direction"), "sentiment": F.col("_d.sentiment"), "cancelling": F.col("_c.cancelling"), "_h": scoring.channel(F.col("_c.place"))})
     out = out.withColumns({
         "classification": scoring.news_class(F.col("news_score")), "action": scoring.news_action(F.col("news_score")), "risk_level": scoring.risk_level(F.col("category"), F.col("news_score")),
         "sentiment_label": scoring.sentiment_label(F.col("sentiment")), "assumptions": assumptions(F.col("_c.known"), F.col("source"), F.col("content"), F.col("_s.proven"), F.col("_s.score")),
     })
+    out = out.withColumns({"channel": F.col("_h.channel"), "impact_duration": F.col("_h.duration")})
     return out.drop("_text", "_terms", "_c", "_s", "_d", "_h")
 
 

@@ -55,7 +55,7 @@ def catalyst_resolution(spark, sf_dir):
 
 
 def catalyst_channel(spark, sf_dir):
-    return _bodies(spark, sf_dir).select("id", scoring.channel("low").alias("c")).select("id", "c.channel", F.col("c.duration").alias("impact_duration"))
+    return _bodies(spark, sf_dir).select("id", scoring.channel(scoring.catalyst("low")["place"]).alias("c")).select("id", "c.channel", F.col("c.duration").alias("impact_duration"))
 
 
 def sweep_alerts(spark, sf_dir):
