@@ -37,6 +37,23 @@ def test_counts_equal_the_library(spark, edge_docs, edge_rows, model):
     assert token_counts.count_tokens(edge_docs.limit(0), PIECES).count() == 0
 
 
+@pytest.mark.parametrize("texts", [[None, None, ""], ["one"], ["all", "words", "differ here"], [None] * 50 + ["again and again and again"]])
+def test_counts_without_frequent_pre_tokens(spark, model, texts):
+    """Tables of nulls, without a repeated pre-token, and with first partitions that hold nothing."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartitionByRange(4, "doc_id")
+    for made in (docs, docs.where("doc_id >= 50").unionByName(docs.where("doc_id < 50"))):
+        got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(made, PIECES).collect()}
+        assert got == {i: len(model.encode(t or "")) for i, t in enumerate(texts)}
+
+
+def test_the_query_marks_long_texts(spark, model, tmp_path):
+    rows = [(1, "word " * n) for n in (1, 4096, 4097)] + [(2, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.op1_token_counts(spark, str(tmp_path)).collect())
+    sizes = [(i, len((t or "").encode()), len(model.encode(t or ""))) for i, t in rows]
+    assert got == sorted((*s, s[2] > 4096) for s in sizes) and {r[3] for r in got} == {True, False}
+
+
 def test_cuts_never_change_a_count(model):
     table, rng = token_counts.Lengths(PIECES, [("the", 1)], 1000), random.Random(1)
     for _ in range(5000):

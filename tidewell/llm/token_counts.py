@@ -12,6 +12,7 @@ model is loaded; for another model that fails it, whole texts are encoded.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -72,17 +73,20 @@ class Lengths(dict):
 _lengths: dict[tuple, Lengths] = {}
 
 
-def lengths(path: str, frequent: list[tuple[str, int]], limit: int) -> Lengths:
-    """The worker's own table, kept from task to task."""
-    key = (path, len(frequent), frequent[:1] and frequent[0], limit)
+def lengths(path: str, count: str, frequent, limit: int) -> Lengths:
+    """The worker's own table, kept from task to task of one count (a name of its own); `frequent` is its broadcast."""
+    key = (path, count, limit)
     if key not in _lengths:
         _lengths.clear()
-        _lengths[key] = Lengths(path, frequent, limit)
+        _lengths[key] = Lengths(path, frequent.value, limit)
     return _lengths[key]
 
 
 def frequent_lengths(docs: DataFrame, path: str, table_size: int, sample_rows: int) -> list[tuple[str, int]]:
-    """The most frequent pre-tokens of the first `sample_rows` rows of the first partition: one task, which returns one row."""
+    """The most frequent pre-tokens of at most `sample_rows` rows of the first partition that repeats a pre-token there; none where none does.
+
+    A partition without one gives no row, so `take` goes on to the next; the one row that comes back is bounded by `table_size`.
+    """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, counts, table = 0, Counter(), Lengths(path, [], 0)
@@ -96,7 +100,8 @@ def frequent_lengths(docs: DataFrame, path: str, table_size: int, sample_rows: i
             if seen >= sample_rows:
                 break
         top = [k for k, n in counts.most_common(table_size) if n > 1 and len(k) <= 64]
-        yield pa.RecordBatch.from_pydict({"keys": pa.array([top], pa.list_(pa.string())), "lengths": pa.array([[table[k] for k in top]], pa.list_(pa.int32()))})
+        if top:
+            yield pa.RecordBatch.from_pydict({"keys": pa.array([top], pa.list_(pa.string())), "lengths": pa.array([[table[k] for k in top]], pa.list_(pa.int32()))})
 
     found = docs.select("text").mapInArrow(sketch, "keys array<string>, lengths array<int>").take(1)
     return list(zip(found[0]["keys"], found[0]["lengths"])) if found else []
@@ -109,10 +114,10 @@ def count_tokens(docs: DataFrame, model_path: str, table_size: int = 30_000, sam
     `docs`, whatever their names, are not read. An empty table gives no rows. Very long texts are cut at pre-tokens, so
     memory follows one text.
     """
-    table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, model_path, table_size, sample_rows))
+    table, name = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, model_path, table_size, sample_rows)), uuid.uuid4().hex
 
     def rows(batch: pa.RecordBatch) -> dict:
-        count, column = lengths(model_path, table.value, cache_limit).count, common.texts(batch)
+        count, column = lengths(model_path, name, table, cache_limit).count, common.texts(batch)
         return {"doc_id": batch.column("doc_id"), "n_bytes": pa.array([len(t.encode()) for t in column], pa.int64()), "n_tokens": pa.array(map(count, column), pa.int64())}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
