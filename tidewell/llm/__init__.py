@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("token_counts", "near_dedup", "decontamination", "packing", "secret_scans", "language_id", "quality_rules", "substring_dedup", "line_dedup", "sharding", "conversation_repair", "vector_search")
+_MODULES = ("token_counts", "near_dedup", "decontamination", "packing", "secret_scans", "language_id", "quality_rules", "substring_dedup", "line_dedup", "sharding", "conversation_repair", "lexical_search", "vector_search")
 
 
 def _gather(name: str) -> dict:
