@@ -10,52 +10,60 @@ from pyspark.sql import functions as F
 from . import values as V
 
 
-def first_words(pattern: str) -> tuple[set[str], set[str]]:
-    """Words that the alternatives of `\\b(a|b|c)...` open with: whole ones, and starts of words where the pattern leaves the end open."""
+def edges(pattern: str) -> str:
+    """The pattern with ASCII word edges."""
+    return re.sub(r"\\b", "(?![a-z0-9_])", re.sub(r"\\b(?=[(\w])", "(?<![a-z0-9_])", pattern))
+
+
+def openings(pattern: str) -> list[tuple[str, str]]:
+    """(literal start, rest) of each alternative of `\\b(a|b|c)...`; together they match what the pattern matches."""
     group = re.match(r"\\b(\((?:[^()]|\([^()]*\))*\))?", pattern)
-    body, closed = (group[1][1:-1], pattern[group.end() :]) if group and group[1] else (pattern.removeprefix(r"\b").removesuffix(r"\b"), r"\b")
-    whole, starts = set(), set()
+    body, closing = (group[1][1:-1], pattern[group.end() :]) if group and group[1] else (pattern.removeprefix(r"\b"), "")
+    out = []
     for choice in re.split(r"\|(?![^()]*\))", body):
         plain = re.match(r"[a-z0-9 ]*", choice)[0]
-        rest = choice[len(plain) :]
-        if rest[:1] in ("?", "*", "{"):
+        if choice[len(plain) : len(plain) + 1] in ("?", "*", "{"):
             plain = plain[:-1]
-        word, *more = plain.split(" ")
-        (whole if more or (not rest and closed == r"\b") else starts).add(word)
-    return whole, starts
+        out.append((plain, edges(choice[len(plain) :] + closing)))
+    return out
+
+
+def by_start(alternatives: list[tuple[str, str]]) -> str:
+    """One expression of all alternatives, in which common starts stand once; longer rests come first."""
+    rests, below = [], {}
+    for start, rest in alternatives:
+        if start:
+            below.setdefault(start[0], []).append((start[1:], rest))
+        elif rest not in rests:
+            rests.append(rest)
+    parts = [re.escape(c) + by_start(more) for c, more in sorted(below.items())] + sorted(rests, key=len, reverse=True)
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
 
 
-def terms_of(text: str, patterns: list[str]) -> str:
-    """SQL of the text's distinct words that some pattern may open with: a few, whatever the text's length, by one split and set look-ups."""
-    both = [first_words(p) for p in patterns]
-    sets = [("w", sorted({w for whole, _ in both for w in whole}))]
-    sets += [(f"left(w, {n})", sorted({w[:n] for _, starts in both for w in starts if min(len(w), 3) == n})) for n in (1, 2, 3)]
-    tests = [f"{part} in ({', '.join(map(repr, words))})" for part, words in sets if words]
-    return f"filter(array_distinct(split({text}, '[^a-z0-9_]+')), w -> {' or '.join(tests)})"
+def hits_of(text: str, patterns: list[str]) -> str:
+    """SQL of where a text (in lower case) matches some pattern: the match and the characters that follow, each place's once.
+
+    One search for all patterns, at the starts of words. A pattern without an open end is shorter than what follows, so each of them can
+    be looked for at the start of these few strings, however long the text is.
+    """
+    found = by_start([x for p in dict.fromkeys(patterns) for x in openings(p)])
+    return f"array_distinct(regexp_extract_all(concat(' ', {text}), r'[^a-z0-9_](?=({found}[\\s\\S]{{0,96}}))', 1))"
 
 
-def terms(text: str) -> Column:
-    """The words of a text in lower case that may open a pattern of any lexicon; the functions below take them ready made."""
+def terms(text: str) -> str:
+    """SQL of the matches of all lexicons in a text in lower case; the functions below take them ready made."""
     lexicons = [V.CATALYSTS, V.BULLISH, V.BEARISH, V.SURPRISE, V.REGIONS]
-    return F.expr(terms_of(text, [row[0] for lexicon in lexicons for row in lexicon] + V.RELEVANCE + [V.SCHEDULED]))
+    return hits_of(text, [row[0] for lexicon in lexicons for row in lexicon] + V.RELEVANCE + [V.SCHEDULED])
 
 
 def over_hits(text: str, patterns: list[str], body: str, known: str | None = None) -> str:
     """SQL of `body` over h, the array of which patterns a text matches; the text is in lower case, word edges are ASCII.
 
-    A pattern is searched for only where a word of the text may open it; `known` are such words, where a column holds them.
-    Text and words are bound once, and all is inside lambdas, so no generated code grows with the number of patterns.
+    `known` are the matches that `terms` gives, where a column holds them. They are bound once, and all is inside lambdas, so no
+    generated code grows with the number of patterns.
     """
-
-    def hit(pattern: str) -> str:
-        opening = re.sub(r"\\b(?=[(\w])", "(?<![a-z0-9_])", pattern)
-        edges = re.sub(r"\\b", "(?![a-z0-9_])", opening)
-        whole, starts = first_words(pattern)
-        tests = ([f"w in ({', '.join(map(repr, sorted(whole)))})"] if whole else []) + [f"startswith(w, {x!r})" for x in sorted(starts)]
-        return f"exists(b.w, w -> {' or '.join(tests)}) and rlike(b.t, r'{edges}')"
-
-    bound = f"array(named_struct('t', {text}, 'w', {known or terms_of(text, patterns)}))"
-    return f"element_at(transform(transform({bound}, b -> array({', '.join(map(hit, patterns))})), h -> {body}), 1)"
+    tests = ", ".join(f"exists(b, s -> rlike(s, r'^(?:{by_start(openings(p))})'))" for p in patterns)
+    return f"element_at(transform(transform(array({known or hits_of(text, patterns)}), b -> array({tests})), h -> {body}), 1)"
 
 
 def matches(text: str, pattern: str, known: str | None = None) -> str:
@@ -129,12 +137,17 @@ def channel(place: Column) -> Column:
 
 def surprise(text: str, known: str | None = None) -> Column:
     """struct(score, proven): from a reported against an expected number, else from terms, else assumed."""
-    a, b = (F.expr(f"try_cast(replace(regexp_extract({text}, r'{V.NUMBER_PAIR}', {i}), ',', '.') as double)") for i in (1, 2))
-    by_number = F.when(b != 0, clamp(F.abs((a - b) / b) * 333))
-    terms = weighted(text, V.SURPRISE, known)
-    by_terms = F.when(terms > 0, clamp(terms.cast("double")))
-    scheduled = F.expr(f"if({matches(text, V.SCHEDULED, known)}, 50D, 25D)")
-    return F.struct(F.coalesce(by_number, by_terms, scheduled).alias("score"), F.coalesce(by_number, by_terms).isNotNull().alias("proven"))
+    # the pair is searched for once, where one of its words is there, and its numbers are taken from the match
+    pair = lambda i: f"try_cast(replace(regexp_extract(m, r'{V.NUMBER_PAIR}', {i}), ',', '.') as double)"
+    clamped = lambda x: f"if(isnan({x}), 0D, floor(least(100D, greatest(0D, {x})) * 100 + 0.5D) / 100)"
+    words = " or ".join(f"contains({text}, '{w}')" for w in V.PAIR_WORDS)
+    match = f"if({words}, regexp_extract({text}, r'{V.NUMBER_PAIR}', 0), '')"
+    numbers = f"transform(array({match}), m -> named_struct('a', {pair(1)}, 'b', {pair(2)}))"
+    change = f"transform({numbers}, n -> if(n.b <> 0, abs((n.a - n.b) / n.b) * 333, null))[0]"
+    lexicon = over_hits(text, [p for p, _ in V.SURPRISE] + [V.SCHEDULED], "named_struct('terms', " + " + ".join(f"if(h[{i}], {w}, 0)" for i, (_, w) in enumerate(V.SURPRISE)) + f", 'base', if(h[{len(V.SURPRISE)}], 50D, 25D))", known)
+    return F.expr(f"""transform(array(named_struct('change', {change}, 'found', {lexicon})), x -> named_struct(
+        'score', case when x.change is not null then {clamped('x.change')} when x.found.terms > 0 then {clamped('cast(x.found.terms as double)')} else x.found.base end,
+        'proven', x.change is not null or x.found.terms > 0))[0]""")
 
 
 def direction(text: str, bias: Column, known: str | None = None) -> Column:

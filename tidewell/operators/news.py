@@ -51,7 +51,10 @@ def body() -> Column:
 
 def score(articles: DataFrame, least_relevance: int = 1) -> DataFrame:
     """Relevant articles (title, content, reliability, source) with every derived column of a news row."""
-    out = articles.withColumn("_text", body()).withColumn("_terms", scoring.terms("_text")).where(scoring.relevance("_text", "_terms") >= least_relevance)
+    # rows come out of explode: what is computed below it stays there once, and no condition is pushed into it and repeats it
+    found = F.expr(f"explode(transform(array(_body), t -> struct(t as text, {scoring.terms('t')} as terms)))")
+    out = articles.withColumn("_body", body()).withColumn("_k", found).withColumns({"_text": F.col("_k.text"), "_terms": F.col("_k.terms")}).drop("_body", "_k")
+    out = out.where(scoring.relevance("_text", "_terms") >= least_relevance)
     out = out.withColumns({"_c": scoring.catalyst("_text", "_terms"), "_s": scoring.surprise("_text", "_terms"), "region": scoring.region("_text", "_terms")})
     out = out.withColumn("_d", scoring.direction("_text", F.col("_c.bias"), "_terms"))
     points = scoring.news_score(F.col("_c.macro"), F.col("_c.volatility"), F.col("reliability"), F.col("_s.score"), F.col("_c.duration"))
@@ -60,8 +63,8 @@ def score(articles: DataFrame, least_relevance: int = 1) -> DataFrame:
         "classification": scoring.news_class(F.col("news_score")), "action": scoring.news_action(F.col("news_score")), "risk_level": scoring.risk_level(F.col("category"), F.col("news_score")),
         "sentiment_label": scoring.sentiment_label(F.col("sentiment")), "assumptions": assumptions(F.col("_c.known"), F.col("source"), F.col("content"), F.col("_s.proven"), F.col("_s.score")),
     })
-    out = out.withColumns({"channel": F.col("_h.channel"), "impact_duration": F.col("_h.duration")})
-    return out.drop("_text", "_terms", "_c", "_s", "_d", "_h")
+    out = out.withColumns({"channel": F.col("_h.channel"), "impact_duration": F.col("_h.duration")}).drop("_text", "_terms", "_c", "_s", "_d", "_h")
+    return out.select(F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in out.columns]))).alias("_row")).select("_row.*")
 
 
 def assumptions(known: Column, source: Column, content: Column, proven: Column, surprise: Column) -> Column:
