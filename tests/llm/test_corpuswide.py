@@ -1,13 +1,14 @@
 """Operators that compare documents, against brute force."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from tidewell.llm import decontamination, line_dedup, near_dedup, sharding, substring_dedup
+from tidewell.llm import common, decontamination, line_dedup, near_dedup, sharding, substring_dedup
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -212,13 +213,46 @@ def test_items_inside_long_documents(spark):
     twice = decontamination.contained(docs_df.union(docs_df.where("doc_id = 6")), items_df.union(spark.createDataFrame([(None, items[4][1])], items_df.schema))).where("doc_id = 6")
     assert sorted(map(repr, (r.item_id for r in twice.collect()))) == ["1", "1", "4", "4", "None", "None"]
     assert decontamination.clean(docs_df, items_df.limit(0)).count() == len(docs)
-    signed = decontamination.signatures(items_df, 5, 0.8).collect()
-    assert len({r.size_class for r in signed}) >= 4 and all(len(r.signature) > len(r.exact) - r.need and r.signature == sorted(r.signature) for r in signed)
+    sets = decontamination.item_sets(items_df, 5, 0.8)[1].collect()
+    assert len({r.size_class for r in sets}) >= 4 and all(len(r.exact) - r.need < r.signs <= len(r.exact) and r.sorted == sorted(r.sorted) for r in sets)
     left = decontamination.clean(docs_df.selectExpr("*", "1 as row", "2 as hit"), items_df)
     assert left.columns == ["doc_id", "text", "row", "hit"] and sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 8]
     assert decontamination.contained(docs_df, items_df.limit(0)).count() == 0 and decontamination.contained(docs_df.limit(0), items_df).count() == 0
 
 
+def test_a_phrase_that_all_items_and_many_documents_share(spark):
+    """It signs no item that has rarer shingles, so documents with the phrase alone pair with nothing; what holds an item is found."""
+    rng = random.Random(6)
+    own = lambda n: " ".join(f"o{rng.randrange(10**6)}" for _ in range(n))
+    phrase = "the phrase that stands in every item of this benchmark table"
+    items = [(i, f"{own(12)} {phrase} {own(12)}") for i in range(60)] + [(100, phrase)]
+    docs = [(i, f"{own(30)} {phrase if i % 3 == 0 else ''} {own(30)}") for i in range(300)] + [(1000 + i, f"{own(9)} {items[i][1]} {own(9)}") for i in range(5)]
+    docs_df, items_df = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    keyed = common.with_row_key(docs_df, "doc_id", "text")
+    pairs = decontamination.candidates(keyed, decontamination.item_sets(items_df, 5, 0.8)[1], 5).count()
+    got = sorted((r.doc_id, r.item_id) for r in decontamination.contained(docs_df, items_df).collect())
+    assert got == sorted([(i, 100) for i in range(0, 300, 3)] + [(1000 + i, j) for i in range(5) for j in (i, 100)]) and pairs == len(got)
+
+
+def test_files_of_recomputed_rows(spark, tmp_path):
+    """Rows whose order changes when they are computed again are written once each all the same."""
+    import time as clock
+
+    from pyspark.sql import functions as F
+
+    shuffled = F.udf(lambda i: hash((i, clock.time_ns())) % 10**9, "long").asNondeterministic()
+    docs = spark.range(3000).withColumn("text", F.expr("repeat('x', cast(id % 50 as int))")).withColumnRenamed("id", "doc_id").withColumn("o", shuffled("doc_id")).repartitionByRange(6, "o").sortWithinPartitions("o").drop("o")
+    sharding.write(docs, f"{tmp_path}/out", 4)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.count() == back.select("doc_id").distinct().count() == 3000 and back.select("shard").distinct().count() == 4
+
+
+def test_the_query_names_its_law(spark, edge_docs, tmp_path):
+    edge_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sharding.op10_sharding(spark, str(tmp_path)).collect()
+    assert {(r.law, r.grown_shard) for r in rows} == {("bytes", None)} and {r.shard for r in rows} <= set(range(16))
+
+
 def test_shards(spark, edge_docs, edge_rows):
     got = sharding.assign(edge_docs, 4, 0.01).collect()
     assert len(got) == len(edge_rows)

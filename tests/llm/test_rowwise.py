@@ -61,6 +61,27 @@ def test_cuts_never_change_a_count(model):
         assert table.count(text) == len(model.encode(text)), repr(text)
 
 
+def test_a_tokenizer_with_other_cuts(spark, edge_docs, edge_rows):
+    """Its whole texts are encoded; the one that the cuts were made for keeps them."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = Tokenizer.from_file(path)
+    assert packing.TextIds(WORDS, 100).cuts and not packing.TextIds(path, 100).cuts
+    got = Counter((r.doc_id, r.start, r.ids) for r in packing.pack(edge_docs.where("doc_id < 10"), path).collect())
+    want = {i: np.array([*other.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for i, t in edge_rows if i is not None and i < 10}
+    for i, ids in want.items():
+        assert b"".join(x for _, x in sorted((start, x) for d, start, x in got if d == i)) == ids
+
+
+def test_the_query_checks_its_ids(spark, tokenizer, tmp_path):
+    rows = [(1, "A few words."), (2, None), (3, "many words " * 1500)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    of = {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in rows}
+    for r in packing.op3_packing(spark, str(tmp_path)).collect():
+        assert r.ids_crc32 == zlib.crc32(of[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(of[r.doc_id])
+
+
 def test_pieces_cover_every_id_once(spark, edge_docs, edge_rows, tokenizer):
     rows = packing.pack(edge_docs, WORDS, block_sequences=4).collect()
     ids = Counter()

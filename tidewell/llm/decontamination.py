@@ -4,11 +4,14 @@ An item is contained in a document if at least `threshold` of its distinct word
 says nothing about that when the document is long, so items are partitioned by size, class c from 2**c shingles up, and each
 class is searched in its own way:
 
-* An item is signed with its smallest shingle hashes, as many as its class needs that a document which contains the item must
-  hold one of them: of n shingles at most n - ceil(threshold * n) may be missing, one more is signed. So no item is missed.
-* A class has a bound, the largest hash of its signatures, and a least size, the fewest shingles that one of its items needs.
-  A document's sketch for the class is its shingle hashes up to the bound; a document below the least size has none.
-* Sketches meet signatures by (class, hash). What meets is compared with the item's exact shingles.
+* Items with equal shingles are one set. The documents' shingles that some set has are hits: a row for each document and hash, never
+  a pair of document and item. Their counts say how many documents hold a shingle.
+* A set is signed with its smallest shingles in a MinHash order that puts those of few documents first (count, then hash), as many
+  as its class needs that a document which contains the item must hold one of them: of n shingles at most n - ceil(threshold * n)
+  may be missing, one more is signed. So no item is missed, and a phrase of many items and documents signs none that has
+  rarer ones.
+* Hits meet signatures by hash, for documents that are large enough for the set's need. What meets is compared with the item's
+  exact shingles.
 
 Words are runs of letters and digits in lower case, so marks and white space do not hide a copy. A text of fewer words than
 a shingle has one shingle, all of its words: such an item is contained only in a text that has just these words.
@@ -16,7 +19,7 @@ a shingle has one shingle, all of its words: such an item is contained only in a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -45,34 +48,38 @@ def strings(text: Column, size: int) -> Column:
     return F.array_distinct(shingles(text, size, lambda *w: F.concat_ws(" ", *w)))
 
 
-def signatures(items: DataFrame, size: int, threshold: float) -> DataFrame:
-    """item (a key of our own), item_id, exact (distinct shingles), need (how many must be found), size_class, signature (smallest hashes)."""
+def item_sets(items: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(set, item_id) of each item with a word, and of each distinct set its exact shingles, sorted hashes, need (how many must be found), size_class and how many sign it."""
     both = items.where("text is not null").select("item_id", strings(F.col("text"), size).alias("exact"), F.array_sort(F.array_distinct(hashes(F.col("text"), size))).alias("sorted"))
-    several = common.durable(both.withColumn("item", F.monotonically_increasing_id())).where(F.size("exact") > 0)
-    signed = several.withColumns({"n": F.size("exact"), "need": F.ceil(F.size("exact") * F.lit(threshold) - F.lit(1e-9)).cast("int"), "size_class": F.floor(F.log2(F.size("exact"))).cast("int")})
+    each = common.durable(both.withColumns({"item": F.monotonically_increasing_id(), "of": F.struct(F.xxhash64("sorted").alias("a"), F.xxhash64(F.lit("2"), "sorted").alias("b"))})).where(F.size("exact") > 0)
+    sets = each.groupBy("of").agg(F.min(F.struct("item", "exact", "sorted")).alias("first")).select("of", F.col("first.item").alias("set"), "first.exact", "first.sorted")
+    sets = sets.withColumns({"n": F.size("exact"), "need": F.ceil(F.size("exact") * F.lit(threshold) - F.lit(1e-9)).cast("int"), "size_class": F.floor(F.log2(F.size("exact"))).cast("int")})
     most = F.pow(F.lit(2), F.col("size_class") + 1) - 1  # of the class
-    take = F.least(F.col("n"), F.greatest(F.col("n") - F.col("need"), F.floor((1 - threshold) * most).cast("int")) + 1)
-    return signed.withColumn("signature", F.slice("sorted", 1, take)).select("item", "item_id", "exact", "need", "size_class", "signature")
+    signs = F.least(F.col("n"), F.greatest(F.col("n") - F.col("need"), F.floor((1 - threshold) * most).cast("int")) + 1)
+    sets = common.durable(sets.withColumn("signs", signs))
+    return each.join(sets.select("of", "set"), "of").select("set", "item_id"), sets.drop("of")
 
 
-def candidates(keyed: DataFrame, signed: DataFrame, size: int) -> DataFrame:
-    """(ROW_KEY, item) of the documents whose sketch for the item's class meets its signature.
+def candidates(keyed: DataFrame, sets: DataFrame, size: int) -> DataFrame:
+    """(ROW_KEY, set) of the documents that hold a shingle which signs the set.
 
-    The signatures are a table with a known size, so the join is a broadcast where they are small and a shuffle of (class, hash)
-    where they are not.
+    The sets' shingles are a table with a known size, so both joins are broadcasts where it is small and shuffles by hash where not.
     """
-    by_class = signed.groupBy("size_class").agg(F.max(F.array_max("signature")).alias("bound"), F.min("need").alias("least"))
-    classes = by_class.orderBy("size_class").collect()  # one row for each doubling of an item's size: under 32
-    marks = common.durable(signed.select("size_class", "need", "item", F.explode("signature").alias("hash")))
+    of = common.durable(sets.select("set", "need", "size_class", "signs", F.explode("sorted").alias("hash")))
+    least = sets.agg(F.coalesce(F.min("need"), F.lit(0))).first()[0]
+    held = keyed.select(*common.ROW_KEY, F.array_distinct(hashes(F.col("text"), size)).alias("held")).where(F.size("held") >= least)
+    each = held.select(*common.ROW_KEY, F.size("held").alias("n_has"), F.explode("held").alias("hash"))
+    hits = common.durable(each.join(of.select("hash").distinct(), "hash", "left_semi"))
+    counts = common.durable(hits.groupBy("hash").agg(F.count("*").alias("docs")))
+    marks = signed(of, counts)
+    return hits.join(marks, "hash").where("n_has >= need").select(*common.ROW_KEY, "set").distinct()
 
-    def sketch(held: Column, of) -> Column:
-        return F.when(F.size(held) >= of.least, F.filter(held, lambda h: h <= of.bound))
 
-    held = keyed.select(*common.ROW_KEY, hashes(F.col("text"), size).alias("held")).where(F.size("held") >= min((c.least for c in classes), default=0))
-    sketches = held.select(*common.ROW_KEY, F.size("held").alias("n_has"), F.posexplode(F.array(*[sketch(F.col("held"), c) for c in classes] or [F.lit(None).cast("array<bigint>")])).alias("place", "sketch"))
-    at = F.element_at(F.array(*[F.lit(c.size_class) for c in classes] or [F.lit(0)]), F.col("place") + 1)
-    each = sketches.select(*common.ROW_KEY, "n_has", at.alias("size_class"), F.explode("sketch").alias("hash"))
-    return each.join(marks, ["size_class", "hash"]).where("n_has >= need").select(*common.ROW_KEY, "item").distinct()
+def signed(of: DataFrame, counts: DataFrame) -> DataFrame:
+    """(set, need, hash) of the shingles that sign a set and stand in some document."""
+    order = Window.partitionBy("set").orderBy("docs", "hash")
+    ranked = of.join(counts, "hash", "left").withColumn("docs", F.coalesce("docs", F.lit(0))).withColumn("place", F.row_number().over(order))
+    return common.durable(ranked.where("place <= signs and docs > 0").select("set", "need", "hash"))
 
 
 def contained(docs: DataFrame, items: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -82,14 +89,14 @@ def contained(docs: DataFrame, items: DataFrame, size: int = 5, threshold: float
     by row and give a row each, repeated items likewise; null ids are kept on both sides. A share of exactly `threshold` is
     contained. Very long texts are compared whole. Empty tables give no rows; other columns are not read.
     """
-    signed = common.durable(signatures(items, size, threshold))
+    members, sets = item_sets(items, size, threshold)
     keyed = common.with_row_key(docs.select("doc_id", "text").where(F.length("text") > 0), "doc_id", "text")
-    pairs = common.durable(candidates(keyed, signed, size))
+    pairs = common.durable(candidates(keyed, sets, size))
     rows = common.durable(pairs.select(*common.ROW_KEY).distinct())
     near = common.durable(keyed.join(rows, common.ROW_KEY, "left_semi").select(*common.ROW_KEY, "doc_id", strings(F.col("text"), size).alias("has")))
-    both = near.join(pairs, common.ROW_KEY).join(signed.select("item", "item_id", "exact", "need"), "item")
+    both = near.join(pairs, common.ROW_KEY).join(sets.select("set", "exact", "need"), "set")
     checked = both.withColumns({"n_found": F.size(F.array_intersect("exact", "has")), "n_item": F.size("exact")}).where("n_found >= need")
-    return checked.select("doc_id", "item_id", "n_found", "n_item")
+    return checked.join(members, "set").select("doc_id", "item_id", "n_found", "n_item")
 
 
 def clean(docs: DataFrame, items: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:

@@ -54,9 +54,18 @@ def is_plain(text: str) -> bool:
     return "<|" not in text and (text.isascii() or not OTHER.search(text))
 
 
+#: Texts on which the cuts are compared with the tokenizer's own when it is loaded: letters, digits, marks, contractions, white space, other scripts, special tokens.
+PROBES = [
+    "", " ", "a", "The cat's out; I'd say we'll've left, they're 'n'", "  Two  spaces\tand a tab\n\nlines \r\n", "x1y22z 2024-01-02 3.14 1,000", "A--b...c!? (d) [e] {f}", "naïve Émile ÑANDÚ œuvre ſ ĳ",
+    "日本語 テスト текст", "emoji 😀 👩‍👩‍👧", "<|endoftext|> a<|x", "don'T I'M it'S", "foo_bar __init__ a-b/c\\d", "\u00a0nbsp\u2003em \u200bzero", "e\u0301 combining İ", "word " * 40, "ab" * 60,
+]
+
+
 class TextIds:
     """Text -> its ids as little-endian 32-bit bytes, from the chunks between its spaces, and those from their pre-tokens; recent ones are remembered.
 
+    Whether the tokenizer cuts texts as PIECE does is checked on PROBES; for one that doesn't, whole texts are encoded.
+
     No id crosses an edge between pre-tokens, and white space is dropped before the split, so nothing crosses a space. A chunk
     that isn't plain is encoded whole. A pre-token goes to the merges in the byte-level alphabet.
     """
@@ -67,6 +76,8 @@ class TextIds:
         self.model = Tokenizer.from_file(path)
         self.merges = self.model.model
         self.pieces, self.chunks, self.odd = Recent(limit, self.of_piece), Recent(limit, self.of_chunk), Recent(limit // 8, self.encode)
+        self.cuts = True
+        self.cuts = all(self(text) == self.encode(text) for text in PROBES)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -78,6 +89,8 @@ class TextIds:
         return b"".join(map(self.pieces.__getitem__, PIECE.findall(chunk)))
 
     def __call__(self, text: str) -> bytes:
+        if not self.cuts:
+            return self.encode(text)
         if is_plain(text):
             return b"".join(map(self.chunks.__getitem__, text.lower().replace("\n", " ").split(" ")))
         return b"".join(self.chunks[c.lower()] if is_plain(c) else self.odd[c] for c in text.replace("\n", " ").split(" "))

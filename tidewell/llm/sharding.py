@@ -129,9 +129,11 @@ def write(docs: DataFrame, path: str, shards: int = 16, tolerance: float = 0.001
     """
     if "shard" in docs.columns:
         raise ValueError("the rows have a column `shard`, which the folders need")
-    bounds, rows = splitters(common.durable(with_keys(docs.select("doc_id", "text")).drop("text")), shards, tolerance, group_tolerance)
+    # rows and keys are one table: what is recomputed after a loss has the keys that the boundaries were counted over
+    keyed = common.durable(with_keys(docs.select(F.struct("*").alias("row"), "doc_id", "text")).drop("doc_id", "text"))
+    bounds, rows = splitters(keyed.drop("row"), shards, tolerance, group_tolerance)
     files = max(1, -(-rows // (shards * rows_per_file)))
-    placed = with_keys(docs.select(F.struct("*").alias("row"), "doc_id", "text")).withColumns({"shard": shard_of(bounds), "_run": F.pmod("_k2", F.lit(files))})
+    placed = keyed.withColumns({"shard": shard_of(bounds), "_run": F.pmod("_k2", F.lit(files))})
     placed.repartition(shards * files, "shard", "_run").select("row.*", "shard").write.partitionBy("shard").parquet(path)
 
 
