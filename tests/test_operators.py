@@ -253,3 +253,26 @@ def test_weights_must_sum_to_one(monkeypatch):
     monkeypatch.setattr(V, "WEIGHTS", ("0.30", "0.20", "0.15", "0.20", "0.20"))
     with pytest.raises(ValueError):
         scoring.news_score(*[None] * 5)
+
+
+def test_calibration_is_a_gap_and_drift_goes_both_ways(spark):
+    """A model that promises too little is as far off as one that promises too much, and a jump up is a drift too."""
+    from tidewell.operators import committee
+
+    rows = spark.createDataFrame([("low", 0.2, 1), ("low", 0.2, 1), ("high", 0.9, 0), ("high", 0.7, 0)], "horizon string, p double, y int")
+    assert {r.horizon: round(r.calibration, 9) for r in committee.scorecard(rows, "horizon").collect()} == {"low": 0.8, "high": 0.8}
+    card = lambda *pairs: spark.createDataFrame(pairs, "k string, accuracy double")
+    alerts = committee.drift_alerts(card(("up", 0.7), ("down", 0.3), ("small", 0.6)), card(("up", 0.5), ("down", 0.5), ("small", 0.5)), "k").collect()
+    assert {(r.k, round(r.drift, 9)) for r in alerts} == {("up", 0.2), ("down", -0.2)}
+
+
+def test_cards_are_written_once_a_day(spark):
+    from tidewell.operators import committee
+
+    rows = [("m", "d1", h, f"2024-01-0{d}", 0.5, y, True, False, True) for d, y in ((1, 1), (2, 0), (3, 0)) for h in ("H1", "H2")]
+    outcomes = spark.createDataFrame(rows, "model_version string, evaluation_window string, horizon string, evaluation_date string, p double, y int, direction_ok boolean, timing_ok boolean, risk_ok boolean")
+    cards = committee.daily_cards(outcomes)
+    assert {(r.horizon, r.evaluation_date, r.model_drift) for r in cards.collect()} == {(h, f"2024-01-0{d}", drift) for h in ("H1", "H2", None) for d, drift in ((1, 0.0), (2, -1.0), (3, 0.0))}
+    twice = committee.upsert_cards(cards, committee.daily_cards(outcomes.where("evaluation_date = '2024-01-01'").withColumn("y", F.lit(0))))
+    assert twice.count() == 9 and {r.prediction_accuracy for r in twice.where("evaluation_date = '2024-01-01'").collect()} == {0.0}
+    assert {r.evaluation_date for r in committee.degraded(cards).collect()} == {"2024-01-02"}

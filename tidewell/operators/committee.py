@@ -128,15 +128,44 @@ def backfilled_verdict(context: Column) -> Column:
 
 
 def scorecard(outcomes: DataFrame, *keys: str) -> DataFrame:
-    """accuracy, brier_score, calibration (mean probability less mean outcome) and sample_size by `keys`, of (p, y)."""
+    """accuracy, brier_score, calibration (the gap between mean probability and mean outcome) and sample_size by `keys`, of (p, y)."""
     p, y = F.col("p").cast("double"), F.col("y").cast("double")
-    return outcomes.groupBy(*keys).agg(F.avg(y).alias("accuracy"), F.avg(F.pow(p - y, 2)).alias("brier_score"), (F.avg(p) - F.avg(y)).alias("calibration"), F.count("*").alias("sample_size"))
+    return outcomes.groupBy(*keys).agg(F.avg(y).alias("accuracy"), F.avg(F.pow(p - y, 2)).alias("brier_score"), F.abs(F.avg(p) - F.avg(y)).alias("calibration"), F.count("*").alias("sample_size"))
 
 
-def drift_alerts(cards: DataFrame, previous: DataFrame, key: str, limit: float = 0.1) -> DataFrame:
-    """Keys whose accuracy fell by more than `limit` against the card before, as model_drift alerts."""
+def drift_alerts(cards: DataFrame, previous: DataFrame, key: str, limit: float = V.MAX_DRIFT) -> DataFrame:
+    """Keys whose accuracy moved by more than `limit`, up or down, against the card before, as model_drift alerts."""
     both = cards.select(key, "accuracy").join(previous.select(key, F.col("accuracy").alias("before")), key)
-    return both.where(F.col("before") - F.col("accuracy") > limit).select(key, (F.col("accuracy") - F.col("before")).alias("drift"), F.lit("model_drift").alias("alert_type"))
+    drift = F.col("accuracy") - F.col("before")
+    return both.where(F.abs(drift) > limit).select(key, drift.alias("drift"), F.lit("model_drift").alias("alert_type"))
+
+
+CARD = ["model_version", "evaluation_window", "horizon", "evaluation_date"]
+
+
+def daily_cards(outcomes: DataFrame) -> DataFrame:
+    """One card for each model, window, horizon and day of (CARD, p, y, direction_ok, timing_ok, risk_ok); a null horizon is the card of all horizons together.
+
+    model_drift is the change of accuracy against the card of the same model, window and horizon before it, 0 for the first. A series of
+    cards is one row a day, so its window stays small however many outcomes there are.
+    """
+    share = lambda c: F.avg(F.col(c).cast("double"))
+    both = outcomes.unionByName(outcomes.withColumn("horizon", F.lit(None).cast("string")))
+    cards = both.groupBy(*CARD).agg(
+        share("y").alias("prediction_accuracy"), share("direction_ok").alias("direction_accuracy"), F.abs(share("p") - share("y")).alias("probability_calibration"), share("timing_ok").alias("timing_accuracy"),
+        share("risk_ok").alias("risk_accuracy"), F.avg(F.pow(F.col("p").cast("double") - F.col("y").cast("double"), 2)).alias("brier_score"), F.count("*").alias("sample_size"))
+    series = Window.partitionBy(*CARD[:3]).orderBy("evaluation_date")
+    return cards.withColumn("model_drift", F.col("prediction_accuracy") - F.coalesce(F.lag("prediction_accuracy").over(series), F.col("prediction_accuracy")))
+
+
+def degraded(cards: DataFrame, limit: float = V.MAX_DRIFT) -> DataFrame:
+    return cards.where(F.abs("model_drift") > limit)
+
+
+def upsert_cards(existing: DataFrame, cards: DataFrame) -> DataFrame:
+    """`existing` with the cards: a day that is evaluated again replaces its card."""
+    same = [F.col(f"_old.{c}").eqNullSafe(F.col(f"_new.{c}")) for c in CARD]
+    return existing.alias("_old").join(cards.alias("_new"), same, "left_anti").unionByName(cards)
 
 
 def with_fallbacks(replies: DataFrame) -> DataFrame:

@@ -149,6 +149,20 @@ def drift_ext(spark, sf_dir):
     return committee.drift_alerts(now, before, "user_id").select("user_id", F.round("drift", 6).alias("drift"), "alert_type")
 
 
+def _outcomes(spark, sf_dir):
+    return S.read(spark, sf_dir, "events").selectExpr(
+        "concat('model-', user_id % 3) as model_version", "'d1' as evaluation_window", "concat('H', 1 + event_id % 4) as horizon", "cast(ts as date) as evaluation_date", "event_id % 11 / 10.0 as p",
+        "if(value > 40, 1, 0) as y", "event_id % 3 > 0 as direction_ok", "event_id % 5 > 0 as timing_ok", "event_id % 7 > 0 as risk_ok")
+
+
+def scorecard_daily(spark, sf_dir):
+    cards = committee.daily_cards(_outcomes(spark, sf_dir))
+    stale = cards.where("day(evaluation_date) % 2 = 0").withColumn("prediction_accuracy", F.lit(-1.0))  # written by an earlier evaluation of these days
+    now = committee.upsert_cards(stale, cards)
+    shown = ["prediction_accuracy", "direction_accuracy", "probability_calibration", "timing_accuracy", "risk_accuracy", "brier_score", "model_drift"]
+    return now.select("model_version", "evaluation_window", "horizon", F.date_format("evaluation_date", "yyyy-MM-dd").alias("evaluation_date"), *[F.round(c, 6).alias(c) for c in shown], "sample_size", (F.abs("model_drift") > V.MAX_DRIFT).alias("degraded"))
+
+
 def cap_policy_ext(spark, sf_dir):
     missing = (F.col("event_id") % 6).cast("int")
     cap = committee.confidence_cap_policy(F.col("value") < 1, missing, F.col("event_id") % 8 == 0, F.col("event_id") % 9 == 0)
@@ -157,7 +171,7 @@ def cap_policy_ext(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     risk_reward, scenario_validation, output_validation, blocked_analyses, largest_remainder, scoped_budget, confidence_cap, event_validation, scope_resolution, bridge_weights, probability_sum_check, legacy_tradable, displayable,
-    ai_latest, ai_latest_then_filter, agent_replies, verdict_backfill, severity_order, scorecard_ext, cap_policy_ext, calibration_ext, drift_ext,
+    ai_latest, ai_latest_then_filter, agent_replies, verdict_backfill, severity_order, scorecard_ext, cap_policy_ext, calibration_ext, drift_ext, scorecard_daily,
 )}
 
 _S = f"s AS ({SCENARIOS.format(text='varchar')})"
@@ -218,7 +232,14 @@ SELECT event_id, severity, CAST(row_number() OVER (PARTITION BY event_id % 100 O
 SELECT horizon, round(avg(CAST(y AS double)), 6) AS accuracy, round(avg((p - CAST(y AS double)) * (p - CAST(y AS double))), 6) AS brier, count(*) AS sample_size FROM p GROUP BY 1""",
     "cap_policy_ext": """SELECT event_id, CASE WHEN value < 1 THEN 0.2::double ELSE round(greatest(0.2::double, CASE event_id % 6 WHEN 0 THEN 0.9::double WHEN 1 THEN 0.7 WHEN 2 THEN 0.5 ELSE 0.3 END
   - CASE WHEN event_id % 8 = 0 THEN 0.1 ELSE 0 END - CASE WHEN event_id % 9 = 0 THEN 0.1 ELSE 0 END), 2) END AS cap FROM events""",
-    "calibration_ext": """SELECT l_linestatus AS horizon, l_linenumber % 7 AS part, round(avg(l_discount * 10) - avg(CASE WHEN l_returnflag = 'A' THEN 1.0::double ELSE 0 END), 6) AS calibration, count(*) AS sample_size FROM lineitem GROUP BY 1, 2""",
+    "calibration_ext": """SELECT l_linestatus AS horizon, l_linenumber % 7 AS part, round(abs(avg(l_discount * 10) - avg(CASE WHEN l_returnflag = 'A' THEN 1.0::double ELSE 0 END)), 6) AS calibration, count(*) AS sample_size FROM lineitem GROUP BY 1, 2""",
     "drift_ext": """WITH a AS (SELECT user_id, event_id % 2 AS half, avg(CASE WHEN value > 40 THEN 1.0::double ELSE 0 END) AS acc FROM events GROUP BY 1, 2)
-SELECT n.user_id, round(n.acc - b.acc, 6) AS drift, 'model_drift' AS alert_type FROM a n JOIN a b ON b.user_id = n.user_id AND n.half = 0 AND b.half = 1 WHERE b.acc - n.acc > 0.1::double""",
+SELECT n.user_id, round(n.acc - b.acc, 6) AS drift, 'model_drift' AS alert_type FROM a n JOIN a b ON b.user_id = n.user_id AND n.half = 0 AND b.half = 1 WHERE abs(n.acc - b.acc) > 0.15::double""",
+    "scorecard_daily": """WITH o AS (SELECT 'model-' || (user_id % 3) AS model_version, 'd1' AS evaluation_window, 'H' || (1 + event_id % 4) AS horizon, CAST(ts AS date) AS d, (event_id % 11) / 10.0::double AS p, CASE WHEN value > 40 THEN 1.0::double ELSE 0.0 END AS y,
+  CASE WHEN event_id % 3 > 0 THEN 1.0::double ELSE 0 END AS a, CASE WHEN event_id % 5 > 0 THEN 1.0::double ELSE 0 END AS b, CASE WHEN event_id % 7 > 0 THEN 1.0::double ELSE 0 END AS c FROM events),
+u AS (SELECT * FROM o UNION ALL SELECT model_version, evaluation_window, NULL, d, p, y, a, b, c FROM o),
+g AS (SELECT model_version, evaluation_window, horizon, d, avg(y) AS acc, avg(a) AS da, abs(avg(p) - avg(y)) AS cal, avg(b) AS ta, avg(c) AS ra, avg((p - y) * (p - y)) AS br, count(*) AS n FROM u GROUP BY 1, 2, 3, 4),
+l AS (SELECT *, acc - coalesce(lag(acc) OVER (PARTITION BY model_version, evaluation_window, horizon ORDER BY d), acc) AS drift FROM g)
+SELECT model_version, evaluation_window, horizon, strftime(d, '%Y-%m-%d') AS evaluation_date, round(acc, 6) AS prediction_accuracy, round(da, 6) AS direction_accuracy, round(cal, 6) AS probability_calibration, round(ta, 6) AS timing_accuracy,
+  round(ra, 6) AS risk_accuracy, round(br, 6) AS brier_score, round(drift, 6) AS model_drift, n AS sample_size, abs(drift) > 0.15::double AS degraded FROM l""",
 }
