@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..streaming import streams
+from ..streaming import state, streams
 from . import stand_ins as S
 
 
@@ -51,19 +51,72 @@ def stream_feed(spark, sf_dir):
     return _run(shown.select("id", "classification"), "append")
 
 
+def _ticks(spark, sf_dir):
+    return S.read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), F.col("event_type").alias("symbol"), "value")
+
+
+def _delivered(spark, rows, at):
+    """The rows in three deliveries that overlap, as files; a stream that takes a few files a batch."""
+    for part in ("pmod(id, 3) < 2", "pmod(id, 3) > 0", "pmod(id, 4) = 0"):
+        rows.where(part).write.mode("append").parquet(f"{at}/deliveries")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/deliveries")
+
+
 def stream_carried(spark, sf_dir):
-    ticks = _events(spark, sf_dir).select("ts", F.col("event_id").alias("id"), F.col("event_type").alias("symbol"), "value")
     at = _folder(spark)
+    ticks = _delivered(spark, _ticks(spark, sf_dir), at)
     query = ticks.writeStream.foreachBatch(streams.carry(f"{at}/state")).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
     return streams.carried(spark, f"{at}/state")
 
 
-QUERIES = {f.__name__: f for f in (stream_dedup, stream_hourly, stream_bars_ext, stream_feed, stream_carried)}
+def stream_prices(spark, sf_dir):
+    at = _folder(spark)
+    with state.rocksdb(spark):
+        changes = streams.run_once(state.prices(_delivered(spark, _ticks(spark, sf_dir), at)), f"{at}/table", f"{at}/progress")
+    return state.latest(changes)
+
+
+def stream_unseen(spark, sf_dir):
+    at = _folder(spark)
+    with state.rocksdb(spark):
+        # the set holds more than a part's rows, so each row is told from its repetitions however late they come
+        rows = streams.run_once(state.unseen(_delivered(spark, _ticks(spark, sf_dir), at), most=1_000_000), f"{at}/table", f"{at}/progress")
+    return rows.select(F.col("key").alias("symbol"), "id", "value")
+
+
+def stream_listing(spark, sf_dir):
+    """The newest 60 of critical and major news, kept between batches."""
+    at = _folder(spark)
+    news = _ticks(spark, sf_dir).select("ts", "id", F.expr("case symbol when 'purchase' then 'critical' when 'signup' then 'major' else 'noise' end").alias("classification"), "value")
+    with state.rocksdb(spark):
+        versions = streams.run_once(state.newest(streams.notable(_delivered(spark, news, at)), "news", ["classification", "value"]), f"{at}/table", f"{at}/progress")
+    return state.newest_listing(versions).select("place", "id", F.get_json_object("row", "$.classification").alias("classification"))
+
+
+def stream_sweep(spark, sf_dir):
+    """Deliveries of news whose acknowledgement is missing, by the events' own time."""
+    at = _folder(spark)
+    news = _events(spark, sf_dir).select(F.col("event_id").alias("id"), "ts", F.expr("if(event_id % 4 = 0, 'ARCHIVE_ONLY', 'REEVALUATE_H3')").alias("action"), F.expr("60 + event_id % 40").cast("double").alias("score"))
+    both = news.withColumn("kind", F.explode(F.when(F.col("id") % 3 == 0, F.array(F.lit("news"), F.lit("ack"))).otherwise(F.array(F.lit("news")))))
+    with state.rocksdb(spark):
+        made = streams.run_once(state.sweep(both), f"{at}/table", f"{at}/progress")
+    return made.groupBy("id").agg(F.max("attempt").alias("attempts"), F.count_if(F.col("kind") == "notify").alias("notified"), F.count_if(F.col("kind") == "alert").alias("alerts"))
+
+
+QUERIES = {f.__name__: f for f in (stream_dedup, stream_hourly, stream_bars_ext, stream_feed, stream_carried, stream_prices, stream_unseen, stream_listing, stream_sweep)}
+_CARRIED = """SELECT event_type AS symbol, arg_max(value, struct_pack(t := ts, i := event_id)) AS value, max(CASE WHEN n = 2 THEN value END) AS previous, arg_min(value, struct_pack(t := ts, i := event_id)) AS session_open
+FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) GROUP BY 1"""
 ORACLE_SQL = {
+    "stream_prices": _CARRIED,
+    "stream_unseen": "SELECT event_type AS symbol, event_id AS id, value FROM events",
+    "stream_listing": """SELECT CAST(row_number() OVER (ORDER BY ts DESC, event_id DESC) AS int) AS place, event_id AS id, CASE event_type WHEN 'purchase' THEN 'critical' ELSE 'major' END AS classification
+FROM events WHERE event_type IN ('purchase', 'signup') QUALIFY place <= 60""",
+    "stream_sweep": """WITH n AS (SELECT event_id AS id, epoch_ms(ts) + 90000 AS due, (SELECT max(epoch_ms(ts)) FROM events WHERE event_id % 4 <> 0 OR event_id % 3 = 0) AS now, event_id FROM events WHERE event_id % 4 <> 0 AND event_id % 3 <> 0),
+a AS (SELECT id, CAST(least(10, (now - due) // 300000 + 1) AS int) AS attempts FROM n WHERE due <= now)
+SELECT id, attempts, CAST(attempts AS bigint) AS notified, CAST(CASE WHEN attempts = 10 AND 60 + id % 40 >= 80 THEN 1 ELSE 0 END AS bigint) AS alerts FROM a""",
     "stream_feed": "SELECT event_id AS id, CASE event_type WHEN 'purchase' THEN 'critical' ELSE 'major' END AS classification FROM events WHERE event_type IN ('purchase', 'signup') AND ts <= TIMESTAMP '2024-01-20 00:10:00'",
-    "stream_carried": """SELECT event_type AS symbol, arg_max(value, struct_pack(t := ts, i := event_id)) AS value, max(CASE WHEN n = 2 THEN value END) AS previous, arg_min(value, struct_pack(t := ts, i := event_id)) AS session_open
-FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) GROUP BY 1""",
+    "stream_carried": _CARRIED,
     "stream_dedup": "SELECT DISTINCT event_id, event_type FROM events",
     "stream_hourly": "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "stream_bars_ext": "SELECT event_type AS symbol, strftime(ts, '%Y-%m-%d') AS day, arg_min(value, struct_pack(t := ts, i := event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, struct_pack(t := ts, i := event_id)) AS close FROM events GROUP BY ALL",

@@ -35,20 +35,22 @@ def carry(path: str, key: str = "symbol"):
     """A foreachBatch writer that carries last, previous and session_open of each key from batch to batch, by (ts, id).
 
     State is one row a key: version N at `path` is made from the one before it and batch N, so a replayed batch gives the same
-    version again. A batch is cut to two rows a key before the shuffle; late rows take their place in the order.
+    version again. A batch is cut to two rows a key before the shuffle; late rows take their place in the order, and a row of
+    one (ts, id) that is delivered again is the same row.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         at = F.struct("ts", "id", "value")
         newest = Window.partitionBy(key).orderBy(F.col("ts").desc(), F.col("id").desc())
+        batch = batch.groupBy(key, "ts", "id").agg(F.any_value("value").alias("value"))
         two = batch.withColumn("_n", F.row_number().over(newest)).where("_n <= 2").select(key, F.array(at).alias("_late"))
         parts = two.unionByName(batch.groupBy(key).agg(F.min(at).alias("first")), allowMissingColumns=True)
         if epoch:
             before = spark.read.parquet(f"{path}/version={epoch - 1}")
             parts = parts.unionByName(before.select(key, "first", F.filter(F.array("last", "previous"), lambda x: x.isNotNull()).alias("_late")))
         state = parts.groupBy(key).agg(F.min("first").alias("first"), F.flatten(F.collect_list("_late")).alias("_late"))
-        ranked = F.sort_array("_late", asc=False)
+        ranked = F.sort_array(F.array_distinct("_late"), asc=False)
         state.select(key, "first", F.get(ranked, F.lit(0)).alias("last"), F.get(ranked, F.lit(1)).alias("previous")).write.mode("overwrite").parquet(f"{path}/version={epoch}")
 
     return write
