@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def one_a_key(new: DataFrame, key: list[str], *order: Column) -> DataFrame:
+    """The first row in `order` of each key."""
+    return new.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*(order or [F.lit(1)])))).where("_n = 1").drop("_n")
+
+
 def insert_ignore(new: DataFrame, target: DataFrame, key: list[str], *order: Column) -> DataFrame:
     """Rows of `new` to append: one a key (the first in `order`), and none whose key the target has. Keys compare null-safely."""
-    from pyspark.sql import Window
-
-    one = new.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+    one = one_a_key(new, key, *order)
     have = target.select(*[F.col(k).alias(f"_t_{k}") for k in key]).distinct()
     return one.join(have, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in key], "left_anti")
 

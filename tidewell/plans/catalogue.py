@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import committee_queries, market_queries, news_queries, stream_queries
+from . import commit_queries, committee_queries, market_queries, news_queries, stream_queries
 
-MODULES = (news_queries, market_queries, committee_queries, stream_queries)
+MODULES = (news_queries, market_queries, committee_queries, stream_queries, commit_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

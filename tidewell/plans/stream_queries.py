@@ -15,12 +15,16 @@ def _events(spark, sf_dir):
     return streams.change_feed(spark, f"{sf_dir}/event[s].parquet", S.read(spark, sf_dir, "events").schema)
 
 
-def _folder(spark):
+def shared(spark):
+    """The folder that driver and executors share; a temporary one only on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    base = base or f"file://{tempfile.gettempdir()}/tidewell-checkpoints"
-    return f"{base}/tidewell/streams/s{uuid.uuid4().hex}"
+    return base or f"file://{tempfile.gettempdir()}/tidewell-checkpoints"
+
+
+def _folder(spark):
+    return f"{shared(spark)}/tidewell/streams/s{uuid.uuid4().hex}"
 
 
 def _run(stream, mode):
