@@ -78,9 +78,9 @@ def month_archive(spark, sf_dir):
 
 def event_claims(spark, sf_dir):
     """Claims of events in batches, by buckets: each event once, whoever brings it again."""
-    log, events = _log(spark), _events(spark, sf_dir).select(F.concat_ws(":", "user_id", "event_type").alias("event_id"), F.col("event_id").alias("at"))
-    for epoch, part in enumerate(("at % 2 = 0", "at % 3 = 0", "true")):
-        log.insert_ignore("claims", events.where(part).withColumn("batch", F.lit(epoch)), ["event_id"], "router", epoch, F.col("at"), buckets=16)
+    log, events = _log(spark), _events(spark, sf_dir).select(F.concat_ws(":", "user_id", "event_type").alias("event_id"), F.col("event_id").alias("first_id"))
+    for epoch, part in enumerate(("first_id % 2 = 0", "first_id % 3 = 0", "true")):
+        log.insert_ignore("claims", events.where(part).withColumn("batch", F.lit(epoch)), ["event_id"], "router", epoch, F.col("first_id"), buckets=16)
     log.compact("claims")
     return log.read("claims")
 
@@ -93,6 +93,6 @@ QUALIFY row_number() OVER (PARTITION BY user_id, event_type, CAST(ts AS date) OR
 SELECT o_orderkey AS analysis_id, o_orderpriority AS bias, coalesce(n_scenarios, 0) AS n_scenarios, coalesce(n_news, 0) AS n_news FROM orders LEFT JOIN s ON k = o_orderkey WHERE o_orderkey % 3 <> 1""",
     "fenced_writes": "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS int) AS run, true AS refused FROM orders WHERE o_orderkey % 3 <> 1",
     "month_archive": "SELECT strftime(o_orderdate, '%Y_%m') AS year_month, count(*) AS n, year(o_orderdate) = 1995 AND month(o_orderdate) <> 3 AS archived FROM orders GROUP BY ALL",
-    "event_claims": """WITH e AS (SELECT user_id || ':' || event_type AS event_id, event_id AS at, CASE WHEN event_id % 2 = 0 THEN 0 WHEN event_id % 3 = 0 THEN 1 ELSE 2 END AS batch FROM events)
-SELECT event_id, at, CAST(batch AS int) AS batch FROM e QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY batch, at) = 1""",
+    "event_claims": """WITH e AS (SELECT user_id || ':' || event_type AS event_id, event_id AS first_id, CASE WHEN event_id % 2 = 0 THEN 0 WHEN event_id % 3 = 0 THEN 1 ELSE 2 END AS batch FROM events)
+SELECT event_id, first_id, CAST(batch AS int) AS batch FROM e QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY e.batch, first_id) = 1""",
 }
