@@ -78,3 +78,33 @@ def test_keys_domains_times_and_numbers(spark):
     assert list(times) == ["2026-08-07 11:30:00", "2026-08-07 11:30:00", "2026-08-07 00:00:00", None]
     assert list(one(spark, *[text.strict_number(F.lit(t)) for t in ("4.21", " -1e2 ", ".", "", "N/A", "null", "1,5")])) == [4.21, -100.0, None, None, None, None, None]
     assert one(spark, text.redact(F.lit("GET /q?apikey=abc&x=1 Bearer tok.en"))).c0 == "GET /q?apikey=[REDACTED]&x=1 Bearer [REDACTED]"
+
+
+def test_a_composed_letter_leaves_its_base(spark):
+    titles = {"Tiếng Việt ḍ": "tieng viet d", "Ångström Ünïcode — X": "angstrom unicode x", "étude": "etude", "ß æ ø 日本 1²": "1", "ǆ ﬁ Ⅷ": ""}
+    df = spark.createDataFrame(list(titles), "string").select("value", text.dedup_key(F.col("value")).alias("k"))
+    assert {r.value: " ".join(r.k.split()) for r in df.collect()} == {t: " ".join(k.split()) for t, k in titles.items()}
+
+
+def test_cleaning_in_one_pass(spark):
+    cases = {
+        "<p>a &amp;lt; b</p>": "a &lt; b", "&#38;lt; &#x41; &bogus; &LT;&euro;5": "< <€5", "x<script>alert('&amp;')</SCRIPT>y<style a=1>s</style>z": "x y z", "cut [+2317 chars]": "cut", "a & b &c": "a & b &c",
+        "&#0;&#1114111;&#65;&#99999999999;B": "A B", "  \t​ ": None, "a" * 25: "a" * 19 + "…", "word " * 6: "word word word word…",
+    }
+    df = spark.createDataFrame(list(cases), "string").select("value", text.clean_text(F.col("value"), 20).alias("c"))
+    assert {r.value: r.c and " ".join(r.c.split()) for r in df.collect()} == {k: v and " ".join(v.split()) for k, v in cases.items()}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("regexp_replace") <= 4
+
+
+def test_names_of_credentials_are_redacted_at_any_depth(spark):
+    import json
+
+    deep = {"a": 1}
+    for _ in range(9):
+        deep = {"d": deep}
+    context = {"user": "u", "API_KEY": "x", "list": [{"Authorization": {"v": 1}}, "https://h/?token=abc&b=1", None, 2.5, True], "long": list(range(80)), "deep": deep}
+    got = json.loads(one(spark, text.redact_json(F.lit(json.dumps(context)))).c0)
+    assert got["API_KEY"] == "[REDACTED]" and got["list"] == [{"Authorization": "[REDACTED]"}, "https://h/?token=[REDACTED]&b=1", None, 2.5, True] and got["user"] == "u"
+    assert got["long"] == list(range(50)) and "max-depth" in json.dumps(got["deep"]) and '"a"' not in json.dumps(got["deep"])
+    assert one(spark, text.redact_json(F.lit("no json, key=abc"))).c0 == "no json, key=[REDACTED]" and one(spark, text.redact_json(F.lit(None).cast("string"))).c0 is None

@@ -19,7 +19,9 @@ def view(tables: dict[str, DataFrame], role: str) -> dict[str, DataFrame]:
     return {name: df for name, df in tables.items() if name in readable(role)}
 
 
-def acknowledge(alerts: DataFrame, ids: list, as_of: Column) -> DataFrame:
-    """Open alerts (pending, triggered) of `ids` become acknowledged; others stay as they are."""
-    may = F.col("id").isin(ids) & F.col("status").isin("pending", "triggered")
-    return alerts.withColumns({"acknowledged_at": F.when(may, as_of).otherwise(F.col("acknowledged_at")), "status": F.when(may, "acknowledged").otherwise(F.col("status"))})
+def acknowledge(alerts: DataFrame, ids: DataFrame, as_of: Column) -> DataFrame:
+    """Open alerts (pending, triggered) whose id is among `ids` become acknowledged; others stay as they are."""
+    asked = ids.select("id").where("id is not null").distinct().withColumn("_asked", F.lit(True))
+    may = F.coalesce("_asked", F.lit(False)) & F.col("status").isin("pending", "triggered")
+    marked = alerts.join(asked, "id", "left")
+    return marked.withColumns({"acknowledged_at": F.when(may, as_of).otherwise(F.col("acknowledged_at")), "status": F.when(may, "acknowledged").otherwise(F.col("status"))}).drop("_asked")

@@ -36,8 +36,10 @@ def best_of_duplicates(articles: DataFrame, shortest: int = 8) -> DataFrame:
 
     Rows are grouped by 128 bits of the key's hash, not by the key, which may be a whole text; each task sends a group's best row only.
     """
-    order = Window.partitionBy(F.xxhash64("dedup_key"), F.xxhash64(F.lit("2"), "dedup_key")).orderBy((F.col("reliability") + F.when(F.col("has_body"), 10).otherwise(0)).desc(), F.col("ordinal"))
-    return articles.where(F.length("dedup_key") >= shortest).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    # the key is read here once: hashes and length leave explode as values, and no condition is pushed below it
+    bound = F.explode(F.array(F.struct(F.xxhash64("dedup_key").alias("a"), F.xxhash64(F.lit("2"), "dedup_key").alias("b"), F.length("dedup_key").alias("n"))))
+    order = Window.partitionBy("_k.a", "_k.b").orderBy((F.col("reliability") + F.when(F.col("has_body"), 10).otherwise(0)).desc(), F.col("ordinal"))
+    return articles.withColumn("_k", bound).where(F.col("_k.n") >= shortest).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_k")
 
 
 def in_age_window(articles: DataFrame, as_of: Column, hours: int = 48, skew_minutes: int = 10) -> DataFrame:

@@ -38,7 +38,8 @@ def ai_latest(analyses: DataFrame, scenarios: DataFrame, as_of: Column, latest_t
     valid = F.col("valid_until").isNull() | (F.col("valid_until") > as_of)
     order = ("symbol", F.col("analysis_ts").desc(), F.col("analysis_id").desc())
     newest = latest_by(analyses, *order).where(valid) if latest_then_filter else latest_by(analyses.where(valid), *order)
-    return with_scenarios(newest, scenarios)
+    # scenarios of the shown analyses alone are gathered; the short list of ids is broadcast where its size allows
+    return with_scenarios(newest, scenarios.join(newest.select("analysis_id"), "analysis_id", "left_semi"))
 
 
 def audit_chain(news: DataFrame, events: DataFrame, scenarios: DataFrame, limit: int = 5) -> DataFrame:

@@ -206,7 +206,7 @@ def access_matrix(spark, sf_dir):
 
 def acknowledge(spark, sf_dir):
     alerts = S.read(spark, sf_dir, "events").selectExpr("event_id as id", "case event_type when 'click' then 'pending' when 'view' then 'triggered' else 'resolved' end as status", "cast(null as timestamp) as acknowledged_at")
-    return access.acknowledge(alerts, list(range(0, 2000, 3)), S.as_of()).groupBy("status").agg(F.count("*").alias("n"), F.count("acknowledged_at").alias("n_times"))
+    return access.acknowledge(alerts, alerts.where("id % 3 = 0"), S.as_of()).groupBy("status").agg(F.count("*").alias("n"), F.count("acknowledged_at").alias("n_times"))
 
 
 def ohlc_ext(spark, sf_dir):
@@ -321,7 +321,7 @@ CASE WHEN event_id % 11 <> 0 AND event_id % 13 <> 0 THEN CAST(1700000000 + event
     + " UNION ALL ".join(f"SELECT '{name}' AS rule, count(*) FILTER (({c.replace('interval 5 minutes', 'INTERVAL 5 MINUTE')}) IS FALSE) AS n FROM t" for name, c in _VIOLATIONS.items()),
     "instruments": "SELECT * FROM (VALUES " + ", ".join(f"({S.quote(a)}, {S.quote(b)}, {S.quote(c)}, {S.quote(d)}, CAST({e} AS double), CAST({f} AS int), {g})" for a, b, c, d, e, f, g in V.INSTRUMENTS) + ") t(symbol, display_name, asset_type, quote_currency, tick_size, price_decimals, is_primary)",
     "access_matrix": "SELECT r AS role, t AS table_name FROM (VALUES " + ", ".join(f"('{r}', '{t}')" for r in ("anon", "authenticated", "service") for t in access.readable(r)) + ") x(r, t)",
-    "acknowledge": """WITH s AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'pending' WHEN 'view' THEN 'triggered' ELSE 'resolved' END AS st FROM events), a AS (SELECT st, st <> 'resolved' AND event_id < 2000 AND event_id % 3 = 0 AS ack FROM s)
+    "acknowledge": """WITH s AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'pending' WHEN 'view' THEN 'triggered' ELSE 'resolved' END AS st FROM events), a AS (SELECT st, st <> 'resolved' AND event_id % 3 = 0 AS ack FROM s)
 SELECT CASE WHEN ack THEN 'acknowledged' ELSE st END AS status, count(*) AS n, count(*) FILTER (ack) AS n_times FROM a GROUP BY 1""",
     "ohlc_ext": f"""WITH p AS ({S.POINTS}) SELECT symbol, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, arg_min(value, struct_pack(t := ts, i := id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, struct_pack(t := ts, i := id)) AS close
 FROM p WHERE value > 0 GROUP BY ALL""",

@@ -120,6 +120,11 @@ def clean_text(spark, sf_dir):
     return S.read(spark, sf_dir, "pages").select("page_id", text.clean_text(F.col("html"), 300).alias("cleaned"))
 
 
+def log_redaction(spark, sf_dir):
+    ev = S.read(spark, sf_dir, "events").selectExpr("event_id", """concat('{"id":', event_id, ',"apiKey":"k', user_id, '","nested":{"list":[{"auth_token":', user_id, '},"see ?key=', event_type, '&x=1"],"note":"Bearer ', event_id, '"}}') as context""")
+    return ev.select("event_id", text.redact_json(F.col("context")).alias("shown"))
+
+
 def _ledger(spark, sf_dir) -> DataFrame:
     rows = stored(spark, sf_dir).withColumn("n", F.col("id").cast("long"))
     return rows.withColumns({"notified_at": F.when(F.col("n") % 4 == 0, F.col("ts")), "notify_attempts": (F.col("n") % 12).cast("int")})
@@ -187,7 +192,7 @@ def _clean_sql() -> str:
 
 QUERIES = {f.__name__: f for f in (
     catalyst_channel, sweep_alerts, news_run_counters, news_score_sql, news_score, news_class_action, sentiment_label, catalyst_resolution, direction_sentiment, surprise_score, region_relevance, scored_news, quality_score, assumption_log, domain_resolve, dedup_best,
-    dedup_hash_unique, clean_text, news_high_impact, news_actionable, news_pending, news_stuck, class_distribution, notification_build, alert_build, alert_insert, news_age_window,
+    dedup_hash_unique, clean_text, news_high_impact, news_actionable, news_pending, news_stuck, class_distribution, notification_build, alert_build, alert_insert, news_age_window, log_redaction,
 )}
 _FRESH = f"CASE WHEN doc_id % 2000 <= 15 THEN 100.0 ELSE {S.clamp('100 - (doc_id % 2000 - 15) / CAST(1440 AS double) * 100')} END"
 ORACLE_SQL = {
@@ -215,6 +220,7 @@ q AS (SELECT *, CASE WHEN page_id % 3 = 0 THEN 'a.b.' || {S.pick(f"page_id % {le
     "dedup_best": f"""WITH k AS (SELECT doc_id, n_chars, {_KEY.format('text')} AS k FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n_chars % 50 + CASE WHEN doc_id % 3 = 0 THEN 10 ELSE 0 END DESC, doc_id) AS n FROM k WHERE length(k) >= 8) SELECT doc_id, sha256(k) AS key_hash FROM r WHERE n = 1""",
     "dedup_hash_unique": "SELECT sha256(lower(trim(text))) AS dedup_hash, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "log_redaction": """SELECT event_id, '{"id":' || event_id || ',"apiKey":"[REDACTED]","nested":{"list":[{"auth_token":"[REDACTED]"},"see ?key=[REDACTED]&x=1"],"note":"Bearer [REDACTED]"}}' AS shown FROM events""",
     "clean_text": f"WITH c AS (SELECT page_id, {_clean_sql()} AS t FROM pages) SELECT page_id, CASE WHEN length(t) > 300 THEN rtrim(left(t, 299)) || '…' WHEN length(t) > 0 THEN t END AS cleaned FROM c",
     "news_high_impact": f"{_NEWS} SELECT id, classification, CAST(news_score AS double) AS news_score FROM news WHERE classification IN ('major', 'critical') AND ts > {S.AS_OF} - INTERVAL 48 HOUR",
     "news_actionable": f"{_NEWS} SELECT id, action, CAST(news_score AS double) AS news_score FROM news WHERE action <> 'ARCHIVE_ONLY' AND ts > {S.AS_OF} - INTERVAL 24 HOUR",
