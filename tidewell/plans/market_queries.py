@@ -209,6 +209,20 @@ def acknowledge(spark, sf_dir):
     return access.acknowledge(alerts, alerts.where("id % 3 = 0"), S.as_of()).groupBy("status").agg(F.count("*").alias("n"), F.count("acknowledged_at").alias("n_times"))
 
 
+def feed_parse(spark, sf_dir):
+    """Replies of the source without bodies, one article each, with items that have no time."""
+    raw = S.read(spark, sf_dir, "events").selectExpr("""concat('{"articles":[{"title":"Gold note ', event_id, '","url":"https://www.site', user_id % 7, '.org/', event_id, '","seendate":"', date_format(ts, "yyyyMMdd'T'HHmmss'Z'"),
+        if(event_id % 3 = 0, '","domain":"Desk.Example.net', ''), '"},{"title":"undated"}]}') as payload""")
+    return payloads.parse_feed(raw).select("title", "domain", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+def search_parse(spark, sf_dir):
+    """Replies of the source with bodies; some hold an error, some an article that was taken back."""
+    raw = S.read(spark, sf_dir, "events").selectExpr("""concat('{"status":"', if(event_id % 11 = 0, 'error', 'ok'), '","articles":[{"title":"', if(event_id % 5 = 0, '[Removed]', concat('Yields &amp; gold ', event_id)),
+        '","description":"d', user_id, '","content":"c [+120 chars]","url":"https://www.site', user_id % 7, '.org/a","publishedAt":"', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"), '"}]}') as payload""")
+    return payloads.parse_articles(raw).select("title", "content", "domain", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
 def ohlc_ext(spark, sf_dir):
     at = F.struct("ts", "id")
     bars = S.points(spark, sf_dir).where("value > 0").groupBy("symbol", F.window("ts", "1 hour").alias("w")).agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"))
@@ -245,7 +259,7 @@ def rule_violations(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     rule_violations, integrity_probes, data_sources, reply_lists,
     validate_point, rejection_counts, tick_stamp, market_latest, market_snapshot, insert_ignore, engine_last_run, reclaim_stale, run_counters, fk_audit, audit_chain, change_vs_previous, macro_impact, session_conviction,
-    ts_number_parse, macro_last_obs, quote_parse, month_partitions, constraint_violations, instruments, access_matrix, acknowledge, ohlc_ext,
+    ts_number_parse, macro_last_obs, quote_parse, month_partitions, constraint_violations, instruments, access_matrix, acknowledge, ohlc_ext, feed_parse, search_parse,
     run_open, run_close, event_close, event_claim, notified_patch, inserted_join, touched_rows, updated_at, recent_runs, news_run_status, closed_domains,
 )}
 
@@ -323,6 +337,8 @@ CASE WHEN event_id % 11 <> 0 AND event_id % 13 <> 0 THEN CAST(1700000000 + event
     "access_matrix": "SELECT r AS role, t AS table_name FROM (VALUES " + ", ".join(f"('{r}', '{t}')" for r in ("anon", "authenticated", "service") for t in access.readable(r)) + ") x(r, t)",
     "acknowledge": """WITH s AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'pending' WHEN 'view' THEN 'triggered' ELSE 'resolved' END AS st FROM events), a AS (SELECT st, st <> 'resolved' AND event_id % 3 = 0 AS ack FROM s)
 SELECT CASE WHEN ack THEN 'acknowledged' ELSE st END AS status, count(*) AS n, count(*) FILTER (ack) AS n_times FROM a GROUP BY 1""",
+    "feed_parse": "SELECT 'Gold note ' || event_id AS title, CASE WHEN event_id % 3 = 0 THEN 'desk.example.net' ELSE 'site' || (user_id % 7) || '.org' END AS domain, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events",
+    "search_parse": "SELECT 'Yields & gold ' || event_id AS title, 'd' || user_id || ' c' AS content, 'site' || (user_id % 7) || '.org' AS domain, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE event_id % 11 <> 0 AND event_id % 5 <> 0",
     "ohlc_ext": f"""WITH p AS ({S.POINTS}) SELECT symbol, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, arg_min(value, struct_pack(t := ts, i := id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, struct_pack(t := ts, i := id)) AS close
 FROM p WHERE value > 0 GROUP BY ALL""",
 }
