@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..functions import values as V
-from ..operators import access, constraints, display, ledger, market, views
+from ..operators import access, constraints, display, ledger, market, news, views
 from ..sources import payloads
 from . import stand_ins as S
 
@@ -115,8 +115,12 @@ def news_run_status(spark, sf_dir):
 
 
 def closed_domains(spark, sf_dir):
-    """The closed domains, a row each, values in order of declaration."""
-    return spark.createDataFrame([(name, len(values), "|".join(values)) for name, values in V.DOMAINS.items()], "domain string, n int, labels string")
+    """The closed domains with their values in order of declaration, and how many of the events' values lie inside each, and the sum of their places."""
+    picked = {n: F.element_at(F.array(*map(F.lit, [*v, "outside"])), (F.col("event_id") % (len(v) + 1) + 1).cast("int")) for n, v in V.DOMAINS.items()}
+    places = S.read(spark, sf_dir, "events").select(*[constraints.ordinal(p, V.DOMAINS[n]).cast("long").alias(n) for n, p in picked.items()])
+    sums = places.agg(*[x for n in V.DOMAINS for x in (F.count_if(F.col(n) > 0).alias(f"{n}_in"), F.sum(n).alias(f"{n}_sum"))])
+    rows = F.array(*[F.struct(F.lit(n).alias("domain"), F.lit(len(v)).alias("n"), F.lit("|".join(v)).alias("labels"), F.col(f"{n}_in").alias("inside"), F.col(f"{n}_sum").alias("places")) for n, v in V.DOMAINS.items()])
+    return sums.select(F.inline(rows))
 
 
 def engine_last_run(spark, sf_dir):
@@ -186,8 +190,10 @@ def quote_parse(spark, sf_dir):
 
 
 def month_partitions(spark, sf_dir):
+    """The months around the date, with the rows of each that are there."""
     m = ledger.month_partitions(S.as_of(), spark)
-    return m.select(F.col("offset").cast("int").alias("months"), "name", F.col("first_day").cast("string").alias("first_day"), F.col("next_first_day").cast("string").alias("next_first_day"))
+    rows = S.read(spark, sf_dir, "events").groupBy(F.trunc("ts", "month").alias("first_day")).agg(F.count("*").alias("n"))
+    return m.join(rows, "first_day", "left").select(F.col("offset").cast("int").alias("months"), "name", F.col("first_day").cast("string").alias("first_day"), F.col("next_first_day").cast("string").alias("next_first_day"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def constraint_violations(spark, sf_dir):
@@ -197,11 +203,18 @@ def constraint_violations(spark, sf_dir):
 
 
 def instruments(spark, sf_dir):
-    return spark.createDataFrame(V.INSTRUMENTS, "symbol string, display_name string, asset_type string, quote_currency string, tick_size double, price_decimals int, is_primary boolean")
+    """The instruments with their points: how many, and the last one's time."""
+    seeds = spark.createDataFrame(V.INSTRUMENTS, "symbol string, display_name string, asset_type string, quote_currency string, tick_size double, price_decimals int, is_primary boolean")
+    points = S.points(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    return seeds.join(points, "symbol", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "last": F.date_format("last", "yyyy-MM-dd HH:mm:ss")})
 
 
 def access_matrix(spark, sf_dir):
-    return spark.createDataFrame([(r, t) for r in ("anon", "authenticated", "service") for t in access.readable(r)], "role string, table_name string")
+    """What each role may read, with the rows that it sees there."""
+    events, names = S.read(spark, sf_dir, "events").select("event_id"), access.PUBLIC + access.SIGNED_IN + ["secrets"]
+    tables = {name: events.where(F.col("event_id") % len(names) == i) for i, name in enumerate(names)}
+    seen = [df.agg(F.count("*").alias("n")).select(F.lit(r).alias("role"), F.lit(t).alias("table_name"), "n") for r in ("anon", "authenticated", "service", "stranger") for t, df in access.view(tables, r).items()]
+    return reduce(lambda a, b: a.unionByName(b), seen)
 
 
 def acknowledge(spark, sf_dir):
@@ -235,8 +248,10 @@ def integrity_probes(spark, sf_dir):
 
 
 def data_sources(spark, sf_dir):
-    """The publishers' seed rows."""
-    return spark.createDataFrame(V.SOURCES, "code string, source_domain string, reliability double")
+    """The publishers with the articles that resolve to them."""
+    seeds = spark.createDataFrame(V.SOURCES, "code string, source_domain string, reliability double")
+    found = news.resolve_source(S.articles(spark, sf_dir).select("domain"), news.registry(spark)).groupBy(F.col("source").alias("code")).agg(F.count("*").alias("n"))
+    return seeds.join(found, "code", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def reply_lists(spark, sf_dir):
@@ -279,7 +294,8 @@ ORACLE_SQL = {
     "rule_violations": " UNION ALL ".join(S.rules_sql(t, constraints.rules_of(t)) for t in S.RULE_ROWS),
     "integrity_probes": """SELECT 'zero_close' AS probe, count(*) FILTER (event_id % 43 = 0) AS n FROM events UNION ALL SELECT 'future_ts', count(*) FILTER (ts > TIMESTAMP '2024-01-15 00:05:00') FROM events
 UNION ALL SELECT 'stuck_locks', count(*) FILTER (event_id % 10 = 0 AND ts < TIMESTAMP '2024-01-14 23:40:00') FROM events""",
-    "data_sources": "SELECT * FROM (VALUES " + ", ".join(f"({S.quote(a)}, {S.quote(b)}, CAST({c} AS double))" for a, b, c in V.SOURCES) + ") t(code, source_domain, reliability)",
+    "data_sources": "WITH s AS (SELECT * FROM (VALUES " + ", ".join(f"({S.quote(a)}, {S.quote(b)}, CAST({c} AS double))" for a, b, c in V.SOURCES) + f""") t(code, source_domain, reliability)),
+a AS (SELECT source, count(*) AS n FROM (SELECT {S.source_columns()} FROM ({S.ARTICLES_DB})) GROUP BY 1) SELECT s.*, coalesce(n, 0) AS n FROM s LEFT JOIN a ON a.source = s.code""",
     "reply_lists": f"""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'd' ELSE event_type END AS drivers, CASE WHEN event_id % 3 = 0 THEN 'r' ELSE concat_ws('|', CASE WHEN event_id % 7 = 0 THEN 'c' END, CASE WHEN event_id % 11 <> 0 THEN 'flag' END) END AS risks,
 CASE WHEN event_id % 4 <> 0 AND event_id % 5 = 0 THEN 'i' ELSE concat_ws('|', {', '.join(f"'{h} : invalidation à ' || " + ('event_id' if h == 'H1' else "'null'") for h in V.HORIZONS)}) END AS invalidations FROM events""",
     "validate_point": f"{_CHECKED} SELECT id, symbol, CASE WHEN reason IS NULL THEN freshness END AS freshness, reason FROM c",
@@ -307,7 +323,7 @@ SELECT event_id, min(n) AS first_id FROM e WHERE n % 3 <> 0 AND event_id NOT IN
     "updated_at": "SELECT event_id AS id, strftime(CASE WHEN event_id % 6 = 0 THEN TIMESTAMP '2025-01-01 00:00:00' ELSE ts END, '%Y-%m-%d %H:%M:%S') AS updated_at FROM events",
     "recent_runs": "SELECT event_id AS id, event_type AS engine, CASE WHEN event_id % 10 = 0 THEN 'running' ELSE 'success' END AS status FROM events ORDER BY ts DESC, event_id DESC LIMIT 25",
     "news_run_status": "SELECT user_id, CASE WHEN count(*) FILTER (event_id % 401 = 0 OR event_id % 307 = 0) = 0 THEN 'success' ELSE 'partial' END AS status FROM events GROUP BY 1",
-    "closed_domains": "SELECT * FROM (VALUES " + ", ".join(f"({S.quote(n)}, CAST({len(v)} AS int), {S.quote('|'.join(v))})" for n, v in V.DOMAINS.items()) + ") t(domain, n, labels)",
+    "closed_domains": " UNION ALL ".join(f"SELECT {S.quote(n)} AS domain, CAST({len(v)} AS int) AS n, {S.quote('|'.join(v))} AS labels, count(*) FILTER (event_id % {len(v) + 1} < {len(v)}) AS inside, CAST(sum(event_id % {len(v) + 1} + 1) FILTER (event_id % {len(v) + 1} < {len(v)}) AS bigint) AS places FROM events" for n, v in V.DOMAINS.items()),
     "engine_last_run": "SELECT event_type AS engine, event_id AS id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) = 1",
     "reclaim_stale": """WITH r AS (SELECT event_id AS id, event_id % 10 = 0 AS running, (epoch_us(TIMESTAMP '2024-01-15 00:00:00') - epoch_us(ts)) / CAST(1000000 AS double) AS s FROM events)
 SELECT id, CASE WHEN running AND s > 900 THEN 'failed' WHEN running THEN 'running' ELSE 'success' END AS status, CAST(CASE WHEN running AND s > 900 THEN 2 ELSE 1 END AS int) AS n_errors,
@@ -329,12 +345,14 @@ CASE event_id % 5 WHEN 3 THEN event_id + CAST(0.5 AS double) WHEN 4 THEN CAST(-e
     "macro_last_obs": "SELECT event_type AS symbol, CAST(max_by(event_id, struct_pack(t := ts, v := CAST(event_id AS varchar))) AS double) AS value, CAST(NULL AS varchar) AS unavailable_reason FROM events WHERE event_id % 3 <> 0 GROUP BY 1",
     "quote_parse": """SELECT CAST(event_id AS varchar) AS symbol, CASE WHEN event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 5 <> 0 THEN CAST(event_id AS double) END AS value,
 CASE WHEN event_id % 11 <> 0 AND event_id % 13 <> 0 THEN CAST(1700000000 + event_id AS double) END AS observed, CASE WHEN event_id % 11 = 0 THEN 'quota' WHEN event_id % 13 = 0 OR event_id % 5 = 0 THEN 'no_price' END AS unavailable_reason FROM events""",
-    "month_partitions": "SELECT CAST(o AS int) AS months, 'market_ticks_' || strftime(d, '%Y_%m') AS name, strftime(d, '%Y-%m-%d') AS first_day, strftime(d + INTERVAL 1 MONTH, '%Y-%m-%d') AS next_first_day FROM (SELECT o, DATE '2024-01-01' + to_months(CAST(o AS int)) AS d FROM range(-2, 7) t(o))",
+    "month_partitions": """WITH m AS (SELECT o, DATE '2024-01-01' + to_months(CAST(o AS int)) AS d FROM range(-2, 7) t(o)), e AS (SELECT date_trunc('month', ts) AS d, count(*) AS n FROM events GROUP BY 1)
+SELECT CAST(o AS int) AS months, 'market_ticks_' || strftime(m.d, '%Y_%m') AS name, strftime(m.d, '%Y-%m-%d') AS first_day, strftime(m.d + INTERVAL 1 MONTH, '%Y-%m-%d') AS next_first_day, coalesce(n, 0) AS n FROM m LEFT JOIN e ON e.d = m.d""",
     "constraint_violations": f"""WITH p AS ({S.POINTS}), t AS (SELECT value AS close, open, high, low, CAST(id % 9 - 1 AS double) AS volume, value / 10 - 6 AS us10y_yield, CAST(NULL AS double) AS real_yield, value AS vix, value AS wti, bid, ask,
   CASE WHEN id % 2 = 0 THEN 'tick' ELSE 'm5' END AS timeframe, observed_at AS ts, ts AS created_at FROM p) """
     + " UNION ALL ".join(f"SELECT '{name}' AS rule, count(*) FILTER (({c.replace('interval 5 minutes', 'INTERVAL 5 MINUTE')}) IS FALSE) AS n FROM t" for name, c in _VIOLATIONS.items()),
-    "instruments": "SELECT * FROM (VALUES " + ", ".join(f"({S.quote(a)}, {S.quote(b)}, {S.quote(c)}, {S.quote(d)}, CAST({e} AS double), CAST({f} AS int), {g})" for a, b, c, d, e, f, g in V.INSTRUMENTS) + ") t(symbol, display_name, asset_type, quote_currency, tick_size, price_decimals, is_primary)",
-    "access_matrix": "SELECT r AS role, t AS table_name FROM (VALUES " + ", ".join(f"('{r}', '{t}')" for r in ("anon", "authenticated", "service") for t in access.readable(r)) + ") x(r, t)",
+    "instruments": "WITH i AS (SELECT * FROM (VALUES " + ", ".join(f"({S.quote(a)}, {S.quote(b)}, {S.quote(c)}, {S.quote(d)}, CAST({e} AS double), CAST({f} AS int), {g})" for a, b, c, d, e, f, g in V.INSTRUMENTS) + f""") t(symbol, display_name, asset_type, quote_currency, tick_size, price_decimals, is_primary)),
+p AS (SELECT symbol, count(*) AS n, max(ts) AS last FROM ({S.POINTS}) GROUP BY 1) SELECT i.*, coalesce(n, 0) AS n, strftime(last, '%Y-%m-%d %H:%M:%S') AS last FROM i LEFT JOIN p USING (symbol)""",
+    "access_matrix": " UNION ALL ".join(f"SELECT '{r}' AS role, '{t}' AS table_name, count(*) AS n FROM events WHERE event_id % {len(access.PUBLIC + access.SIGNED_IN) + 1} = {(access.PUBLIC + access.SIGNED_IN).index(t)}" for r in ("anon", "authenticated", "service") for t in access.readable(r)),
     "acknowledge": """WITH s AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'pending' WHEN 'view' THEN 'triggered' ELSE 'resolved' END AS st FROM events), a AS (SELECT st, st <> 'resolved' AND event_id % 3 = 0 AS ack FROM s)
 SELECT CASE WHEN ack THEN 'acknowledged' ELSE st END AS status, count(*) AS n, count(*) FILTER (ack) AS n_times FROM a GROUP BY 1""",
     "feed_parse": "SELECT 'Gold note ' || event_id AS title, CASE WHEN event_id % 3 = 0 THEN 'desk.example.net' ELSE 'site' || (user_id % 7) || '.org' END AS domain, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events",
