@@ -117,13 +117,15 @@ def test_spread_anchors_lose_nothing(spark, edge_docs, edge_rows, monkeypatch):
 
 
 def test_factors_are_the_longest_matches_at_their_place(spark):
-    """Every factor equals its reference word for word, and would not go on there; from equal windows all look to the first."""
+    """With all places the factors are those of a plain parse that tries each place; with few of them the same words are found."""
     rng, window = np.random.default_rng(21), 13
     pool = [" ".join(f"p{k}_{rng.integers(60)}" for _ in range(int(rng.integers(20, 70)))) for k in range(6)]
     make = lambda: " ".join(f"z{rng.integers(10**9)}" for _ in range(int(rng.integers(1, 30))))
     texts = [" ".join(x for k in rng.choice(6, int(rng.integers(1, 4))) for x in (make(), pool[k][int(rng.integers(0, 40)) :])) for _ in range(60)] + ["loop the " * 50]
+    left, right = (" ".join(f"{side}{i}" for i in range(40)) for side in "ab")
+    texts += [left, f"{left} {right}", f"{left} {right}"]  # the second half of a passage stands only where all of it does
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    got = substring_dedup.duplicate_spans(docs, window).collect()
+    got = substring_dedup.duplicate_spans(docs, window, 1000).collect()
     split = {r.row_id: words(texts[r.doc_id]) for r in got if r.row_id is not None}
     places = defaultdict(list)
     for row, w in sorted(split.items()):
@@ -131,24 +133,25 @@ def test_factors_are_the_longest_matches_at_their_place(spark):
             places[tuple(w[k : k + window])].append((row, k))
     assert sum(len(r.spans) for r in got) > 60
     for r in (r for r in got if r.row_id is not None):
-        w = split[r.row_id]
-        index = {}  # start -> its place in the reference
-        for k in range(len(w) - window + 1):
-            where = places[tuple(w[k : k + window])]
-            if len(where) > 1:
-                index[k] = where[1] if where[0] == (r.row_id, k) else where[0]
-        plain, k = [], 0
-        while k <= len(w) - window:  # greedy: as far as the reference goes on at the place
-            if k not in index:
+        w, plain, k = split[r.row_id], [], 0
+        while k <= len(w) - window:
+            best = None
+            for row, at in places[tuple(w[k : k + window])]:
+                if (row, at) != (r.row_id, k):
+                    n = window
+                    while k + n < len(w) and at + n < len(split[row]) and w[k + n] == split[row][at + n]:
+                        n += 1
+                    best = max(best or (0,), (n, -row, -at))
+            if best is None:
                 k += 1
                 continue
-            (row, at), n = index[k], 1
-            while index.get(k + n) == (row, at + n):
-                n += 1
-            assert w[k : k + n + window - 1] == split[row][at : at + n + window - 1]
-            plain.append((k, k + n + window - 1, row, at))
-            k += n
+            plain.append((k, k + best[0], -best[1], -best[2]))
+            k += best[0] - window + 1
         assert [tuple(s) for s in r.spans] == plain
+    halves = [r for r in got if r.doc_id in (len(texts) - 2, len(texts) - 1)]
+    assert [[(s.start, s.end) for s in r.spans] for r in halves] == [[(0, 80)]] * 2
+    digests = lambda rows: sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in rows)
+    assert digests(substring_dedup.duplicate_spans(docs, window).collect()) == digests(got) == digests(substring_dedup.duplicate_spans(docs, window, 1).collect())
 
 
 def line_rule(rows, least, docs):

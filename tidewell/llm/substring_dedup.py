@@ -5,17 +5,18 @@ anchor; equal windows have equal anchors, so a window can only stand twice if it
 
 1. Blocks. A window goes to a block by its anchor, so windows side by side mostly meet in one block and travel as one row.
    Anchors with very many places are spread over blocks by document and stretch. A block is bounded, and is indexed in memory:
-   each distinct window of the block has one place (document, start) in its reference, the first; the first itself has the
-   second. Every document's windows are looked up in their blocks; look-ups that go on at one place leave as one stretch.
+   each distinct window of the block has places (document, start) in its reference, the first few of all in order. Every document's
+   windows are looked up in their blocks, and get the first PLACES of the others; look-ups that go on at one place leave as one stretch.
 2. A window of a spread anchor that is alone in its block is looked up once more among those of the other blocks.
-3. Parse. A document is factored greedily from the left: a factor begins at the first start that the index holds, and goes on
-   as far as the reference goes on at that place, which is its longest match there. Starts go on being looked up behind a factor's last window,
-   so windows across the edge of two factors are found like any other. Factors are the duplicate spans.
+3. Parse. A document is factored greedily from the left: a factor begins at the first start that the index holds, at that of its
+   places from which the reference goes on longest, over the edges of blocks too. Starts go on being looked up behind a factor's
+   last window, so windows across the edge of two factors are found like any other. Factors are the duplicate spans.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 from itertools import chain
 
@@ -30,6 +31,8 @@ from . import common
 GRAM = 12
 #: Windows in a block, about; places of an anchor from which it is spread; words of a document that stay together then.
 BLOCK, HOT, STRETCH = 1_000_000, 20_000, 65_536
+#: Places of a window that a factor may begin at. Which words are duplicates does not depend on it.
+PLACES = 3
 KEY = np.dtype([("a", "<u8"), ("b", "<u4")])
 
 
@@ -129,23 +132,19 @@ def stretches(rows: np.ndarray, starts: np.ndarray, ref_rows: np.ndarray, ref_st
 FOUND = "row_id long, start int, n int, ref_row long, ref_start int, a long, b int, alone boolean"
 
 
-def look_up(keys: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For windows in order of (row, start): the size of each one's group of equal windows, and the index of its reference place.
-
-    That is the group's first window, for the first itself the second (itself, where it is alone).
-    """
+def look_up(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For windows in order of (row, start): the size of each one's group of equal windows, its place in the group, where the group begins in `order`, and `order`."""
     order = np.lexsort((keys["b"], keys["a"]))  # stable: groups stay in order of (row, start)
     ordered = keys[order]
     begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     sizes = np.diff(np.append(begin, len(order)))
-    place = np.repeat(order[begin], sizes)
-    place[begin[sizes > 1]] = order[begin[sizes > 1] + 1]
-    group, ref = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-    group[order], ref[order] = np.repeat(sizes, sizes), place
-    return group, ref
+    group, rank, first = (np.empty(len(order), np.int64) for _ in range(3))
+    group[order], first[order] = np.repeat(sizes, sizes), np.repeat(begin, sizes)
+    rank[order] = np.arange(len(order)) - np.repeat(begin, sizes)
+    return group, rank, first, order
 
 
-def parse_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def parse_block(batches: Iterator[pa.RecordBatch], places: int = PLACES) -> Iterator[pa.RecordBatch]:
     """All look-ups of one block as stretches; of spread anchors also the windows alone here, and a first place of the others."""
     held = [b for b in batches if b.num_rows]
     if not held:
@@ -161,19 +160,19 @@ def parse_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows, hot = np.repeat(rows[order], counts), np.repeat(hot[order], counts)
     within = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
     starts = np.repeat(starts[order], counts) + within
-    group, ref = look_up(keys, rows, starts)
-    at = np.flatnonzero(group > 1)
-    begin, n = stretches(rows[at], starts[at], rows[ref[at]], starts[ref[at]])
-    first = at[begin]
+    group, rank, first, order = look_up(keys)
     none = lambda k, kind: pa.nulls(k, kind)
     names = [f.split()[0] for f in FOUND.split(", ")]
-    for i in range(0, len(first), 100_000):
-        f, k = first[i : i + 100_000], n[i : i + 100_000]
-        columns = [pa.array(rows[f], pa.int64()), pa.array(starts[f], pa.int32()), pa.array(k, pa.int32()), pa.array(rows[ref[f]], pa.int64()), pa.array(starts[ref[f]], pa.int32()), none(len(f), pa.int64()), none(len(f), pa.int32()), none(len(f), pa.bool_())]
-        yield pa.RecordBatch.from_arrays(columns, names)
-    firsts = np.zeros(len(rows), bool)
-    firsts[ref[at]] = True  # a group's first (and second) place
-    late = np.flatnonzero(hot & ((group == 1) | firsts))
+    for slot in range(min(places, int(group.max()) - 1)):
+        at = np.flatnonzero(group > slot + 1)
+        ref = order[first[at] + slot + (slot >= rank[at])]  # the slot-th of the group's others
+        begin, n = stretches(rows[at], starts[at], rows[ref], starts[ref])
+        f, r = at[begin], ref[begin]
+        for i in range(0, len(f), 100_000):
+            g, h, k = f[i : i + 100_000], r[i : i + 100_000], n[i : i + 100_000]
+            columns = [pa.array(rows[g], pa.int64()), pa.array(starts[g], pa.int32()), pa.array(k, pa.int32()), pa.array(rows[h], pa.int64()), pa.array(starts[h], pa.int32()), none(len(g), pa.int64()), none(len(g), pa.int32()), none(len(g), pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+    late = np.flatnonzero(hot & ((group == 1) | (rank < 2)))  # of groups the first and second place
     for i in range(0, len(late), 100_000):
         f = late[i : i + 100_000]
         columns = [pa.array(rows[f], pa.int64()), pa.array(starts[f], pa.int32()), pa.array(np.ones(len(f), np.int32)), none(len(f), pa.int64()), none(len(f), pa.int32()), pa.array(keys["a"][f].view(np.int64)), pa.array(keys["b"][f].astype(np.int32)), pa.array(group[f] == 1)]
@@ -189,13 +188,34 @@ def across_blocks(found: DataFrame) -> DataFrame:
 
 
 def factors(found: list[tuple[int, int, int, int]], window: int) -> list[tuple[int, int, int, int]]:
-    """Greedy factors (start, end, ref_row, ref_start) in words, from stretches of look-ups (start, n, ref_row, ref_start); they may overlap at their edges."""
-    out: list[tuple[int, int, int, int]] = []
-    for start, n, ref_row, ref_start in sorted(found):
-        if out and ref_row == out[-1][2] and start == out[-1][1] - window + 1 and ref_start - start == out[-1][3] - out[-1][0]:  # the reference goes on
-            out[-1] = (out[-1][0], start + n + window - 1, *out[-1][2:])
+    """Greedy factors (start, end, ref_row, ref_start) in words, from stretches of look-ups (start, n, ref_row, ref_start); they may overlap at their edges.
+
+    Stretches along one place are one match, whichever blocks they come from. A factor takes the match that goes on longest from its
+    first window, the first place of those that end together.
+    """
+    matches: list[list[int]] = []  # start, end (of windows), ref_row, ref_start - start
+    for ref_row, shift, start, n in sorted((r, q - at, at, n) for at, n, r, q in found):
+        if matches and matches[-1][2:] == [ref_row, shift] and start <= matches[-1][1]:
+            matches[-1][1] = max(matches[-1][1], start + n)
         else:
-            out.append((start, start + n + window - 1, ref_row, ref_start))
+            matches.append([start, start + n, ref_row, shift])
+    matches.sort()
+    out, open_, i, at = [], [], 0, 0
+    while i < len(matches) or open_:
+        if not open_ or -open_[0][0] <= at:  # nothing goes on here: the next start that is found
+            open_ = []
+            if i == len(matches):
+                break
+            at = max(at, matches[i][0])
+        while i < len(matches) and matches[i][0] <= at:
+            start, end, ref_row, shift = matches[i]
+            i += 1
+            if end > at:
+                heapq.heappush(open_, (-end, ref_row, shift))
+        if open_ and -open_[0][0] > at:
+            end, ref_row, shift = -open_[0][0], *open_[0][1:]
+            out.append((at, end + window - 1, ref_row, at + shift))
+            at = end
     return out
 
 
@@ -207,12 +227,12 @@ def keep(words: list[bytes], spans: list[tuple]) -> list[bytes]:
     return kept + words[at:]
 
 
-def duplicate_spans(docs: DataFrame, window: int = 35) -> DataFrame:
+def duplicate_spans(docs: DataFrame, window: int = 35, places: int = PLACES) -> DataFrame:
     """doc_id, row_id, n_words, spans (start, end, ref_row, ref_start in words), n_removed and kept_sha256 of each row of `docs`.
 
     Words are maximal runs without white space, unchanged. Null and short texts have no span. A row that stands twice is
-    found in the other one; a factor's reference is the row of that row_id, null for rows without repeated anchors. Of equal
-    windows the first in order of row_id and start is the reference, so ties are settled. Very long texts are indexed like
+    found in the other one; a factor's reference is the row of that row_id, null for rows without repeated anchors. A factor is
+    the longest match among the first `places` other places of its windows, in order of row_id and start; ties go to the first. Very long texts are indexed like
     others, in stretches. Null ids are allowed; an empty table gives no rows; columns beside doc_id and text are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -260,7 +280,7 @@ def duplicate_spans(docs: DataFrame, window: int = 35) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(index_rows(words, some.column("row_id").to_numpy(), some.column("hashes").flatten().to_numpy().view(np.uint64), hot, blocks))
 
     windows = suspects.select("row_id", "packed", "hashes", "hot", "n_words").mapInArrow(index, "block int, row_id long, start int, hot boolean, keys binary")
-    found = common.durable(windows.repartitionById(blocks, F.col("block")).drop("block").mapInArrow(parse_block, FOUND))
+    found = common.durable(windows.repartitionById(blocks, F.col("block")).drop("block").mapInArrow(lambda batches: parse_block(batches, places), FOUND))
     all_found = found.where("a is null").select("row_id", "start", "n", "ref_row", "ref_start").union(across_blocks(found))
     by_row = all_found.groupBy("row_id").agg(F.collect_list(F.struct("start", "n", "ref_row", "ref_start")).alias("found"))
 
