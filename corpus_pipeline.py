@@ -56,6 +56,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm import common
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = common.durable(stage(spark, docs, sf_dir))
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, common.durable(stage(spark, docs, sf_dir))
+        if i:
+            common.discard(before)  # the next stage's table holds what is left of it
     return STAGES[-1][1](spark, docs, sf_dir)

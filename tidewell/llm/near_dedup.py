@@ -190,6 +190,8 @@ def components(docs: DataFrame, size: int = 5, threshold: str = "0.8") -> DataFr
         return pa.table({"u": pa.array([node[a] for a, _ in found], pa.int64()), "v": pa.array([node[b] for _, b in found], pa.int64())})
 
     linked = common.durable(grouped.groupBy("root", "i", "j").applyInArrow(compare, "u long, v long"))
+    for past in (shared, clusters, wanted, sets, large):  # what the links were made from
+        common.discard(past)
     roots = common.durable(connected(linked))
     lows = common.durable(roots.join(nodes.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n")))
     # a component of many nodes is labelled through the short table of such ones; its rows meet nothing in the other join, under keys of their own
@@ -198,6 +200,8 @@ def components(docs: DataFrame, size: int = 5, threshold: str = "0.8") -> DataFr
     parts = roots.join(many, "root", "left").withColumn("of", F.when(F.col("of_many").isNull(), F.col("root")).otherwise(-1 - F.col("node")))
     labels = parts.join(few, "of", "left").select("node", F.coalesce("of_many.component_id", "component_id").alias("component_id"))
     found = common.durable(nodes.select("node", *same, "low").join(labels, "node", "left").select(*same, F.coalesce("component_id", "low").alias("component_id")))
+    for past in (nodes, linked, roots, lows, many):
+        common.discard(past)
     out = signed.select("doc_id", *common.ROW_KEY, *same).join(found, same, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     kept = F.col("component_id").eqNullSafe(F.col("doc_id"))
     return out.select("doc_id", *common.ROW_KEY, "n_shingles", "component_id", kept.alias("kept"))
