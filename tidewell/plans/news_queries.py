@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +39,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scored rows as the stored table that views read, kept in memory or on disk: a view's condition on a score must not be
-    pushed into the scoring, which it would repeat for each column that the condition names."""
-    return scored(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    """The scored rows as views read them: no condition on a score is pushed into the scoring, which `score` sees to."""
+    return scored(spark, sf_dir)
 
 
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
