@@ -47,7 +47,7 @@ def hits_of(text: str, patterns: list[str]) -> str:
     be looked for at the start of these few strings, however long the text is.
     """
     found = by_start([x for p in dict.fromkeys(patterns) for x in openings(p)])
-    return f"array_distinct(regexp_extract_all(concat(' ', {text}), r'[^a-z0-9_](?=({found}[\\s\\S]{{0,96}}))', 1))"
+    return f"array_distinct(regexp_extract_all(concat(' ', {text}), r'\\W(?=({found}[\\s\\S]{{0,96}}))', 1))"
 
 
 def terms(text: str) -> str:
