@@ -31,7 +31,7 @@ from . import common
 TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 CHUNK = 1 << 20
 #: Bounds of a block of queries, of a shard, of a block of a posting list (about), and of the sample that gives first bounds.
-QUERY_ITEMS, QUERY_BYTES, SHARD_ROWS, SHARD_POSTINGS, BLOCK_ROWS, SAMPLE_ROWS = 4096, 16 << 20, 16_384, 3_000_000, 32, 16_384
+QUERY_ITEMS, QUERY_BYTES, SHARD_ROWS, SHARD_POSTINGS, BLOCK_ROWS, SAMPLE_ROWS = 4096, 16 << 20, 8_192, 1_500_000, 32, 16_384
 SKETCH = 32
 LAST = np.iinfo(np.int64).max
 
