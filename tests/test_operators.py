@@ -162,6 +162,19 @@ def test_claims_survive_a_replayed_batch(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
+def test_claims_of_two_writers(spark, tmp_path):
+    from tidewell.sources import commits
+
+    path = f"file://{tmp_path}/log"
+    batch = lambda *ids: spark.createDataFrame([(i,) for i in ids], "event_id string")
+    one, two = streams.claims(path, "one", 4), streams.claims(path, "two", 4)
+    one(batch("e1", "e1", "e2"), 0)
+    one(batch("e1", "e1", "e2"), 0)
+    two(batch("e2", "e3"), 0)
+    one(batch("e4", None), 1)
+    assert sorted(r.event_id or "" for r in commits.Log(spark, path).read("claims").collect()) == ["", "e1", "e2", "e3", "e4"]
+
+
 def test_monthly_partitions_are_pruned(spark, tmp_path):
     path = str(tmp_path / "ticks")
     df = spark.createDataFrame([(1, dt.datetime(2026, 7, 31)), (2, NOW)], "id int, ts timestamp")

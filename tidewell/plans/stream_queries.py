@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..sources import commits
 from ..streaming import state, streams
 from . import stand_ins as S
 
@@ -108,10 +109,20 @@ def stream_sweep(spark, sf_dir):
     return made.groupBy("id").agg(F.max("attempt").alias("attempts"), F.count_if(F.col("kind") == "notify").alias("notified"), F.count_if(F.col("kind") == "alert").alias("alerts"))
 
 
-QUERIES = {f.__name__: f for f in (stream_dedup, stream_hourly, stream_bars_ext, stream_feed, stream_carried, stream_prices, stream_unseen, stream_listing, stream_sweep)}
+def stream_claims(spark, sf_dir):
+    """Events that a stream brings several times, claimed in buckets of the commit log."""
+    at = _folder(spark)
+    rows = S.read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat_ws(":", "user_id", "event_type").alias("event_id"))
+    query = _delivered(spark, rows, at).select("event_id").writeStream.foreachBatch(streams.claims(f"{at}/ledger", "router", 8)).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return commits.Log(spark, f"{at}/ledger").read("claims")
+
+
+QUERIES = {f.__name__: f for f in (stream_dedup, stream_hourly, stream_bars_ext, stream_feed, stream_carried, stream_prices, stream_unseen, stream_listing, stream_sweep, stream_claims)}
 _CARRIED = """SELECT event_type AS symbol, arg_max(value, struct_pack(t := ts, i := event_id)) AS value, max(CASE WHEN n = 2 THEN value END) AS previous, arg_min(value, struct_pack(t := ts, i := event_id)) AS session_open
 FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) GROUP BY 1"""
 ORACLE_SQL = {
+    "stream_claims": "SELECT DISTINCT user_id || ':' || event_type AS event_id FROM events",
     "stream_prices": _CARRIED,
     "stream_unseen": "SELECT event_type AS symbol, event_id AS id, value FROM events",
     "stream_listing": """SELECT CAST(row_number() OVER (ORDER BY ts DESC, event_id DESC) AS int) AS place, event_id AS id, CASE event_type WHEN 'purchase' THEN 'critical' ELSE 'major' END AS classification

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import commits
+
 
 def change_feed(spark: SparkSession, path: str, schema) -> DataFrame:
     """Inserts into an append-only Parquet table, as a stream; `ts` as an instant, for watermarks."""
@@ -89,17 +91,22 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
 
 
 def claim(path: str):
-    """A foreachBatch writer that appends events whose id the ledger at `path` lacks; a replayed batch appends nothing twice."""
+    """A foreachBatch writer that appends events whose id the ledger at `path` lacks; a replayed batch appends nothing twice. It reads the whole ledger: `claims` doesn't."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark, new = batch.sparkSession, batch.dropDuplicates(["event_id"])
-        try:
-            seen = spark.read.parquet(path).select("event_id")
-        except Exception as e:  # the first batch finds no ledger
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        else:
-            new = new.join(seen, "event_id", "left_anti")
+        if commits.names(spark, path):  # the first batch finds no ledger
+            new = new.join(spark.read.parquet(path).select("event_id"), "event_id", "left_anti")
         new.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
 
     return write
+
+
+def claims(path: str, writer: str, buckets: int = 64):
+    """A foreachBatch writer of claims into the commit log at `path`: each event_id once whoever brings it, each epoch of the writer once, and a batch
+    reads only what may hold its ids, not the ledger."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        commits.Log(batch.sparkSession, path).insert_ignore("claims", batch, ["event_id"], writer, epoch, buckets=buckets)
+
+    return write
