@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import scoring, text
 
+# Score components with the score and class that they must give.
 SCORES = [
     ((80, 60, 90, 70, 50), "71.00", "major"), ((100, 90, 100, 80, 70), "89.50", "critical"), ((100,) * 5, "100.00", "critical"), ((0,) * 5, "0.00", "noise"), ((100, 90, 80, 100, 70), "90.50", "critical"),
     ((50,) * 5, "50.00", "noise"), ((90, 85, 95, 88, 60), "84.85", "critical"), ((12.34, 56.78, 90.12, 34.56, 78.9), "47.32", "noise"), ((99.99, 0, 0, 0, 0), "30.00", "noise"), ((63.2, 71.5, 48.8, 55.1, 90.4), "65.16", "major"),

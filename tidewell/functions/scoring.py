@@ -190,8 +190,13 @@ def confidence(value: Column) -> Column:
 
 
 def session_label(hour: Column) -> Column:
-    return F.when(hour < 7, "ASIE").when(hour < 12, "LONDRES").when(hour < 17, "LONDRES / NEW YORK").when(hour < 21, "NEW YORK").otherwise("HORS SESSION")
+    return _steps(hour, V.SESSIONS, lambda x, edge: x < edge, V.NO_SESSION)
 
 
 def conviction(score: Column) -> Column:
-    return F.when(score.isNull(), "—").when(score >= 85, "FORTE").when(score >= 65, "MOYENNE").when(score >= 40, "FAIBLE").otherwise("NO TRADE")
+    return F.when(score.isNull(), V.NO_SCORE).otherwise(_steps(score, V.CONVICTIONS, lambda x, edge: x >= edge, V.NO_CONVICTION))
+
+
+def _steps(x: Column, steps: list[tuple[int, str]], fits, otherwise: str) -> Column:
+    """The label of the first step that fits."""
+    return F.coalesce(*[F.when(fits(x, edge), label) for edge, label in steps], F.lit(otherwise))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Tables that everyone, and those that signed-in readers may select.
-PUBLIC = ["instruments", "data_sources", "market_ticks", "news_events", "performance_scorecard"]
-SIGNED_IN = ["ai_analyses", "ai_scenarios", "ai_analysis_news", "alerts", "ingestion_runs", "ai_events"]
+from ..functions import values as V
+
+PUBLIC, SIGNED_IN = V.PUBLIC, V.SIGNED_IN
 
 
 def readable(role: str) -> list[str]:

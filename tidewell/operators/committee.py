@@ -80,7 +80,6 @@ def capped(confidence: Column, cap: Column) -> Column:
     return F.least(confidence, F.round(cap * 100).cast("int"))
 
 
-UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
 def event_errors(e: DataFrame, triggered: Column) -> DataFrame:
@@ -88,7 +87,7 @@ def event_errors(e: DataFrame, triggered: Column) -> DataFrame:
     event_id = F.trim(F.coalesce("event_id", F.lit("")))
     return e.withColumn("errors", F.array_compact(F.array(
         F.when(event_id == "", "event_id_missing"), F.when(F.length(event_id) > 200, "event_id_long"), F.when(~F.coalesce(F.col("event_type").isin(V.DOMAINS["committee_event"]), F.lit(False)), "event_type"),
-        F.when(F.trim(F.coalesce("source", F.lit(""))) == "", "source"), F.when(triggered.isNull(), "triggered_at"), F.when(~F.col("news_event_id").rlike(UUID), "news_event_id"),
+        F.when(F.trim(F.coalesce("source", F.lit(""))) == "", "source"), F.when(triggered.isNull(), "triggered_at"), F.when(~F.col("news_event_id").rlike(V.UUID), "news_event_id"),
         F.when(~F.col("news_score").between(0, 100) | F.isnan("news_score"), "news_score"),
     )))
 
@@ -174,7 +173,7 @@ def with_fallbacks(replies: DataFrame) -> DataFrame:
     given = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
     empty = F.array().cast("array<string>")
     raised = F.filter(F.concat(F.coalesce("contradictions", empty), F.coalesce("bias_flags", empty)), lambda x: F.length(x) > 0)
-    lines = F.transform(F.array(*map(F.lit, V.HORIZONS)), lambda h: F.concat(h, F.lit(" : invalidation à "), F.coalesce(F.try_element_at(F.col("levels"), h).cast("string"), F.lit("null"))))
+    lines = F.transform(F.array(*map(F.lit, V.HORIZONS)), lambda h: F.concat(h, F.lit(V.INVALIDATION), F.coalesce(F.try_element_at(F.col("levels"), h).cast("string"), F.lit("null"))))
     return replies.withColumns({
         "drivers": F.when(given("drivers"), F.col("drivers")).otherwise(F.array("main_driver")), "risks": F.when(given("risks"), F.col("risks")).otherwise(raised),
         "invalidations": F.when(given("invalidations"), F.col("invalidations")).otherwise(lines),
