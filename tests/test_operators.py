@@ -289,3 +289,12 @@ def test_cards_are_written_once_a_day(spark):
     twice = committee.upsert_cards(cards, committee.daily_cards(outcomes.where("evaluation_date = '2024-01-01'").withColumn("y", F.lit(0))))
     assert twice.count() == 9 and {r.prediction_accuracy for r in twice.where("evaluation_date = '2024-01-01'").collect()} == {0.0}
     assert {r.evaluation_date for r in committee.degraded(cards).collect()} == {"2024-01-02"}
+
+
+def test_quotes_as_texts(spark):
+    from tidewell.operators import display
+
+    x = spark.createDataFrame([(1, 2.5), (2, -0.25), (3, 0.0), (4, None), (5, float("nan")), (6, float("inf")), (7, 1e-10)], "i int, x double")
+    got = {r.i: (r.a, r.b, r.c) for r in x.select("i", display.shown(F.col("x"), 1).alias("a"), display.shown_signed(F.col("x")).alias("b"), display.moves(F.col("x")).alias("c")).collect()}
+    none = ("N/A", "N/A", "flat")
+    assert got == {1: ("2.5", "+2.50", "up"), 2: ("-0.3", "-0.25", "down"), 3: ("0.0", "0.00", "flat"), 4: none, 5: none, 6: none, 7: ("0.0", "+0.00", "flat")}

@@ -40,3 +40,30 @@ def tradable(activation: Column) -> Column:
 def displayable(s: DataFrame) -> DataFrame:
     """Scenarios with numbers and an activation condition that is long enough."""
     return s.where(F.col("target").isNotNull() & F.col("invalidation").isNotNull() & F.col("probability").isNotNull() & (F.length(F.trim("activation_condition")) >= V.MIN_ACTIVATION))
+
+
+def shown(x: Column, decimals: int = 2) -> Column:
+    """A number with fixed decimals, for a listing; N/A for what is none."""
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), "N/A").otherwise(F.format_string(f"%.{decimals}f", x))
+
+
+def shown_signed(x: Column, decimals: int = 2) -> Column:
+    """As `shown`, with a plus sign before what is above 0."""
+    return F.concat(F.when(x > 0, F.when(F.isnan(x) | (x == float("inf")), "").otherwise("+")).otherwise(""), shown(x, decimals))
+
+
+def moves(x: Column) -> Column:
+    """up, down or flat; what is no number, or within a billionth of 0, is flat."""
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")) | (F.abs(x) < 1e-9), "flat").when(x > 0, "up").otherwise("down")
+
+
+def quote_lines(ticks: DataFrame, session_open: Column) -> DataFrame:
+    """id with the texts of a quote: price, change against the session's opening price, in points and percent, spread, direction and hour of the day.
+
+    ticks: id, ts, close, bid, ask, spread. A missing spread is ask less bid; an opening price of 0 gives 0 percent.
+    """
+    change = F.col("close") - session_open
+    share = F.when(session_open != 0, change / session_open * 100).otherwise(0.0)
+    return ticks.select(
+        "id", shown(F.col("close")).alias("price"), F.concat(shown_signed(change), F.lit("  "), shown_signed(share), F.lit("%")).alias("change"), shown(F.coalesce("spread", F.col("ask") - F.col("bid"))).alias("spread"),
+        moves(change).alias("direction"), F.coalesce(F.date_format("ts", "HH:mm"), F.lit("--:--")).alias("at"))

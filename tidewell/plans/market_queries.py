@@ -236,6 +236,11 @@ def search_parse(spark, sf_dir):
     return payloads.parse_articles(raw).select("title", "content", "domain", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
+def quote_display(spark, sf_dir):
+    ticks = S.read(spark, sf_dir, "events").selectExpr("event_id as id", "if(event_id % 17 = 0, cast(null as timestamp), cast(ts as timestamp)) as ts", "if(event_id % 13 = 0, cast(null as double), event_id % 500 / 4.0D) as close", "event_id % 7 / 2.0D as bid", "event_id % 11 / 2.0D as ask", "if(event_id % 3 = 0, 1.5D, cast(null as double)) as spread")
+    return display.quote_lines(ticks, F.lit(64.0))
+
+
 def ohlc_ext(spark, sf_dir):
     at = F.struct("ts", "id")
     bars = S.points(spark, sf_dir).where("value > 0").groupBy("symbol", F.window("ts", "1 hour").alias("w")).agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"))
@@ -274,7 +279,7 @@ def rule_violations(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     rule_violations, integrity_probes, data_sources, reply_lists,
     validate_point, rejection_counts, tick_stamp, market_latest, market_snapshot, insert_ignore, engine_last_run, reclaim_stale, run_counters, fk_audit, audit_chain, change_vs_previous, macro_impact, session_conviction,
-    ts_number_parse, macro_last_obs, quote_parse, month_partitions, constraint_violations, instruments, access_matrix, acknowledge, ohlc_ext, feed_parse, search_parse,
+    ts_number_parse, macro_last_obs, quote_parse, month_partitions, constraint_violations, instruments, access_matrix, acknowledge, ohlc_ext, feed_parse, search_parse, quote_display,
     run_open, run_close, event_close, event_claim, notified_patch, inserted_join, touched_rows, updated_at, recent_runs, news_run_status, closed_domains,
 )}
 
@@ -355,6 +360,9 @@ p AS (SELECT symbol, count(*) AS n, max(ts) AS last FROM ({S.POINTS}) GROUP BY 1
     "access_matrix": " UNION ALL ".join(f"SELECT '{r}' AS role, '{t}' AS table_name, count(*) AS n FROM events WHERE event_id % {len(access.PUBLIC + access.SIGNED_IN) + 1} = {(access.PUBLIC + access.SIGNED_IN).index(t)}" for r in ("anon", "authenticated", "service") for t in access.readable(r)),
     "acknowledge": """WITH s AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'pending' WHEN 'view' THEN 'triggered' ELSE 'resolved' END AS st FROM events), a AS (SELECT st, st <> 'resolved' AND event_id % 3 = 0 AS ack FROM s)
 SELECT CASE WHEN ack THEN 'acknowledged' ELSE st END AS status, count(*) AS n, count(*) FILTER (ack) AS n_times FROM a GROUP BY 1""",
+    "quote_display": """WITH t AS (SELECT event_id AS id, CASE WHEN event_id % 17 <> 0 THEN ts END AS ts, CASE WHEN event_id % 13 <> 0 THEN (event_id % 500) / 4.0::double END AS c, CASE WHEN event_id % 3 = 0 THEN 1.5::double ELSE (event_id % 11) / 2.0::double - (event_id % 7) / 2.0::double END AS s FROM events)
+SELECT id, CASE WHEN c IS NULL THEN 'N/A' ELSE printf('%.2f', c) END AS price, CASE WHEN c IS NULL THEN 'N/A  N/A%' ELSE concat(CASE WHEN c > 64 THEN '+' ELSE '' END, printf('%.2f', c - 64), '  ', CASE WHEN c > 64 THEN '+' ELSE '' END, printf('%.2f', round((c - 64) / 64 * 100, 2)), '%') END AS change,
+printf('%.2f', s) AS spread, CASE WHEN c IS NULL OR c = 64 THEN 'flat' WHEN c > 64 THEN 'up' ELSE 'down' END AS direction, coalesce(strftime(ts, '%H:%M'), '--:--') AS at FROM t""",
     "feed_parse": "SELECT 'Gold note ' || event_id AS title, CASE WHEN event_id % 3 = 0 THEN 'desk.example.net' ELSE 'site' || (user_id % 7) || '.org' END AS domain, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events",
     "search_parse": "SELECT 'Yields & gold ' || event_id AS title, 'd' || user_id || ' c' AS content, 'site' || (user_id % 7) || '.org' AS domain, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE event_id % 11 <> 0 AND event_id % 5 <> 0",
     "ohlc_ext": f"""WITH p AS ({S.POINTS}) SELECT symbol, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, arg_min(value, struct_pack(t := ts, i := id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, struct_pack(t := ts, i := id)) AS close
