@@ -95,3 +95,22 @@ def test_seen_rows_may_age(spark, hours):
     stream = spark.readStream.format("rate").load().selectExpr("'a' as symbol", "timestamp as ts", "value as id", "1D as value")
     plan = state.unseen(stream, ttl_hours=hours)._jdf.queryExecution().analyzed().toString()
     assert ("ProcessingTime" in plan) == bool(hours)
+
+
+def test_the_sweep_keeps_ids_apart_that_share_a_part(spark, tmp_path):
+    feed = Feed(spark, tmp_path, "id long, kind string, ts timestamp, action string, score double", lambda s: state.sweep(s, grace_s=90, every_s=60, most=2))
+    news = [(i, "news", at(i % 7), "RECALC_H1_H2", 60.0 + i % 40) for i in range(2**60, 2**60 + 5000)]
+    feed.deliver(*news, (None, "news", at(0), "RECALC_H1_H2", 99.0), (None, "news", at(3), "RECALC_H1_H2", 99.0), (7, "news", None, "RECALC_H1_H2", 99.0))
+    feed.deliver(*[(r[0], "ack", at(50), None, None) for r in news if r[0] % 3 == 0], (2**60, "ack", None, None, None), (-1, "news", at(93), "RECALC_H1_H2", 60.0))
+    start = int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp())
+    expected = lambda until: sorted(
+        x
+        for i, _, t, _, score in [*[r for r in news if r[0] % 3 and r[0] != 2**60], (-99, "", at(0), "", 99.0), (-1, "", at(93), "", 60.0)]
+        for s in [(t - at(0)).seconds]
+        for x in [(i, "notify", k, s + 30 + 60 * k) for k in (1, 2)] + [(i, "alert", 2, s + 150)] * (score >= 80)
+        if x[3] <= until
+    )
+    made = lambda: sorted((-99 if r.id is None else r.id, r.kind, r.attempt, r.at_ms // 1000 - start) for r in feed.run().collect())
+    assert made() == expected(93)
+    feed.deliver((2**60 + 1, "news", at(400), "RECALC_H1_H2", 99.0))
+    assert made() == expected(400)
