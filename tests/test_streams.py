@@ -114,3 +114,14 @@ def test_the_sweep_keeps_ids_apart_that_share_a_part(spark, tmp_path):
     assert made() == expected(93)
     feed.deliver((2**60 + 1, "news", at(400), "RECALC_H1_H2", 99.0))
     assert made() == expected(400)
+
+
+def test_an_unbounded_set_forgets_nothing_and_touches_only_its_rows(spark, tmp_path):
+    feed = Feed(spark, tmp_path, TICKS, lambda s: state.unseen(s, parts=1, most=0))
+    feed.deliver(*[("a", at(i), i, float(i)) for i in range(1, 1200)])
+    feed.deliver(*[("a", at(i), i, float(i)) for i in range(1, 1200)], ("b", at(1), 1, 1.0), ("a", at(1), 1, 1.0))
+    assert feed.run().count() == 1200
+    feed.deliver(("a", at(0), 5000, 0.0), ("a", at(1), 1, 1.0))  # older than all; repeated after a restart
+    assert sorted((r.key, r.id) for r in feed.run().collect()) == [("a", i) for i in [*range(1, 1200), 5000]] + [("b", 1)]
+    with pytest.raises(ValueError):
+        state.unseen(spark.readStream.schema(TICKS).parquet(f"{tmp_path}/in"), most=0, ttl_hours=1)

@@ -85,8 +85,8 @@ def stream_prices(spark, sf_dir):
 def stream_unseen(spark, sf_dir):
     at = _folder(spark)
     with state.rocksdb(spark):
-        # the set holds more than a part's rows, so each row is told from its repetitions however late they come
-        rows = streams.run_once(state.unseen(_delivered(spark, _ticks(spark, sf_dir), at), most=1_000_000), f"{at}/table", f"{at}/progress")
+        # no bound, so each row is told from its repetitions however late they come
+        rows = streams.run_once(state.unseen(_delivered(spark, _ticks(spark, sf_dir), at), most=0), f"{at}/table", f"{at}/progress")
     return rows.select(F.col("key").alias("symbol"), "id", "value")
 
 
