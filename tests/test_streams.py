@@ -125,3 +125,27 @@ def test_an_unbounded_set_forgets_nothing_and_touches_only_its_rows(spark, tmp_p
     assert sorted((r.key, r.id) for r in feed.run().collect()) == [("a", i) for i in [*range(1, 1200), 5000]] + [("b", 1)]
     with pytest.raises(ValueError):
         state.unseen(spark.readStream.schema(TICKS).parquet(f"{tmp_path}/in"), most=0, ttl_hours=1)
+
+
+def test_few_rows_of_a_batch_reach_the_state_and_the_ends_are_among_them(spark):
+    rows = spark.range(0, 60_000, 1, 2).selectExpr("if(id % 7 = 0, null, concat('k', id % 5)) as key", "hash(id % 9000) % 500 as at", "id % 9000 as id", "cast(id as double) as value")
+    rows = rows.withColumn("at", rows["at"].cast("long")).union(spark.sql("select 'k1', cast(null as long), 1L, 1D"))
+    for most, oldest in ((2, True), (60, False)):
+        kept = state.ends(rows, "key", most, oldest).collect()
+        assert len(kept) <= 9 * 6 * (most + oldest)  # Arrow batches by keys
+        for key in (None, "k0", "k1", "k2", "k3", "k4"):
+            places = lambda found: sorted({(r["at"], r["id"]) for r in found if r["key"] == key and r["at"] is not None})
+            mine, all_ = places(kept), places(rows.collect())
+            assert mine[-most:] == all_[-most:] and (not oldest or mine[0] == all_[0])
+
+
+def test_state_of_few_groups_lies_in_few_partitions(spark, tmp_path):
+    before = spark.conf.get(state.PARTITIONS), spark.conf.get(state.PROVIDER)
+    spark.createDataFrame([("a", at(1), 1, 1.0)], TICKS).write.parquet(f"{tmp_path}/in")
+    for most, expected in ((2, "2"), (64, before[0]), (None, before[0])):
+        with state.rocksdb(spark, most):
+            assert spark.conf.get(state.PARTITIONS) == expected
+            if most == 2:
+                streams.run_once(state.prices(spark.readStream.schema(TICKS).parquet(f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/progress")
+        assert (spark.conf.get(state.PARTITIONS), spark.conf.get(state.PROVIDER)) == before
+    assert {p.name for p in (tmp_path / "progress/state/0").iterdir() if p.name.isdigit()} == {"0", "1"}

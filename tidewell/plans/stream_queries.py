@@ -77,7 +77,7 @@ def stream_carried(spark, sf_dir):
 
 def stream_prices(spark, sf_dir):
     at = _folder(spark)
-    with state.rocksdb(spark):
+    with state.rocksdb(spark, 16):
         changes = streams.run_once(state.prices(_delivered(spark, _ticks(spark, sf_dir), at)), f"{at}/table", f"{at}/progress")
     return state.latest(changes)
 
