@@ -149,3 +149,13 @@ def test_state_of_few_groups_lies_in_few_partitions(spark, tmp_path):
                 streams.run_once(state.prices(spark.readStream.schema(TICKS).parquet(f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/progress")
         assert (spark.conf.get(state.PARTITIONS), spark.conf.get(state.PROVIDER)) == before
     assert {p.name for p in (tmp_path / "progress/state/0").iterdir() if p.name.isdigit()} == {"0", "1"}
+
+
+def test_a_listing_hands_few_rows_to_its_state(spark, tmp_path):
+    rows = [(i, at(i * 7919 % 20_000), f"t{i}") for i in range(20_000)]
+    feed = Feed(spark, tmp_path, "id long, ts timestamp, title string", lambda s: state.newest(s, "news", ["title"], parts=2, most=5))
+    feed.deliver(*rows, (99_999, None, "no time"))
+    listing = [(r.place, r.id) for r in state.newest_listing(feed.run()).orderBy("place").collect()]
+    assert listing == [(k + 1, r[0]) for k, r in enumerate(sorted(rows, key=lambda r: r[1], reverse=True)[:5])]
+    plan = state.newest(spark.readStream.schema(feed.schema).parquet(f"{tmp_path}/in"), "news", ["title"])._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" in plan
